@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from arcwright.llm.mixing import op9_mixing
+from arcwright.llm.secrets import op7_secrets
 from arcwright.llm.topk import OP6_SQL, op6_exact_topk
+from arcwright.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
+    "op7_secrets": op7_secrets,
     "op6_exact_topk": op6_exact_topk,
     "op9_mixing": op9_mixing,
 }
