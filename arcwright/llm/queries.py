@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from arcwright.llm.lattice import OP1_SQL, op1_lattice
 from arcwright.llm.mixing import op9_mixing
 from arcwright.llm.secrets import op7_secrets
 from arcwright.llm.topk import OP6_SQL, op6_exact_topk
 from arcwright.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_lattice": op1_lattice,
     "op4_toxicity": op4_toxicity,
     "op7_secrets": op7_secrets,
     "op6_exact_topk": op6_exact_topk,
     "op9_mixing": op9_mixing,
 }
 
-ORACLES = {"op6_exact_topk": OP6_SQL}
+ORACLES = {"op1_lattice": OP1_SQL, "op6_exact_topk": OP6_SQL}
