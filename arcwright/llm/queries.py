@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from arcwright.llm.jaccard import OP5_SQL, op5_jaccard
 from arcwright.llm.lattice import OP1_SQL, op1_lattice
 from arcwright.llm.mixing import op9_mixing
 from arcwright.llm.secrets import op7_secrets
@@ -12,8 +13,9 @@ QUERIES = {
     "op1_lattice": op1_lattice,
     "op4_toxicity": op4_toxicity,
     "op7_secrets": op7_secrets,
+    "op5_jaccard": op5_jaccard,
     "op6_exact_topk": op6_exact_topk,
     "op9_mixing": op9_mixing,
 }
 
-ORACLES = {"op1_lattice": OP1_SQL, "op6_exact_topk": OP6_SQL}
+ORACLES = {"op5_jaccard": OP5_SQL, "op1_lattice": OP1_SQL, "op6_exact_topk": OP6_SQL}
