@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from arcwright.llm.jaccard import OP5_SQL, op5_jaccard
 from arcwright.llm.lattice import OP1_SQL, op1_lattice
+from arcwright.llm.lines import OP3_SQL, op3_lines
 from arcwright.llm.mixing import op9_mixing
 from arcwright.llm.secrets import op7_secrets
 from arcwright.llm.topk import OP6_SQL, op6_exact_topk
@@ -11,6 +12,7 @@ from arcwright.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_lattice": op1_lattice,
+    "op3_lines": op3_lines,
     "op4_toxicity": op4_toxicity,
     "op7_secrets": op7_secrets,
     "op5_jaccard": op5_jaccard,
@@ -18,4 +20,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
 }
 
-ORACLES = {"op5_jaccard": OP5_SQL, "op1_lattice": OP1_SQL, "op6_exact_topk": OP6_SQL}
+ORACLES = {"op3_lines": OP3_SQL, "op5_jaccard": OP5_SQL, "op1_lattice": OP1_SQL, "op6_exact_topk": OP6_SQL}
