@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from arcwright.llm.bpe import op10_bpe
 from arcwright.llm.jaccard import OP5_SQL, op5_jaccard
 from arcwright.llm.lattice import OP1_SQL, op1_lattice
 from arcwright.llm.lines import OP3_SQL, op3_lines
@@ -11,6 +12,7 @@ from arcwright.llm.topk import OP6_SQL, op6_exact_topk
 from arcwright.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op10_bpe": op10_bpe,
     "op1_lattice": op1_lattice,
     "op3_lines": op3_lines,
     "op4_toxicity": op4_toxicity,
