@@ -8,6 +8,7 @@ from arcwright.llm.lattice import OP1_SQL, op1_lattice
 from arcwright.llm.lines import OP3_SQL, op3_lines
 from arcwright.llm.mixing import op9_mixing
 from arcwright.llm.secrets import op7_secrets
+from arcwright.llm.token_files import op8_token_files
 from arcwright.llm.topk import OP6_SQL, op6_exact_topk
 from arcwright.llm.toxicity import op4_toxicity
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op5_jaccard": op5_jaccard,
     "op6_exact_topk": op6_exact_topk,
+    "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
 }
 
