@@ -11,10 +11,12 @@ from arcwright.llm.secrets import op7_secrets
 from arcwright.llm.token_files import op8_token_files
 from arcwright.llm.topk import OP6_SQL, op6_exact_topk
 from arcwright.llm.toxicity import op4_toxicity
+from arcwright.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op10_bpe": op10_bpe,
     "op1_lattice": op1_lattice,
+    "op2_warc": op2_warc,
     "op3_lines": op3_lines,
     "op4_toxicity": op4_toxicity,
     "op7_secrets": op7_secrets,
@@ -24,4 +26,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
 }
 
-ORACLES = {"op3_lines": OP3_SQL, "op5_jaccard": OP5_SQL, "op1_lattice": OP1_SQL, "op6_exact_topk": OP6_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op5_jaccard": OP5_SQL, "op1_lattice": OP1_SQL, "op6_exact_topk": OP6_SQL}
