@@ -19,12 +19,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRAIN_DOCS = 4000
-TRAIN_CHARS = 20_000
+TRAIN_DOCS = 3000
+TRAIN_CHARS = 10_000
 STEPS = 40
+SUPPORT = 0.04  # share of toxic training documents that a telling feature is seen in: copies of one document stay below
 WORDS = re.compile(r"[^\W_]+")
 CACHE_WORDS = 400_000
 
@@ -108,23 +110,22 @@ def train(texts: list[str], toxic: np.ndarray) -> Crf:
     n_toxic = int(toxic.sum())
     if n_toxic in (0, len(texts)):
         return Crf(constant=(n_toxic + 0.5) / (len(texts) + 1) if texts else 0.0)
-    words = [WORDS.findall(x.lower()) for x in texts]
+    number: dict[str, int] = {}
+    seqs = [np.array([number.setdefault(w, len(number)) for w in WORDS.findall(x.lower())], dtype=np.int32) for x in texts]
+    vocabulary = list(number)
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for y, ws in zip(toxic, words, strict=True):
-        seen[int(y)].update({f for w in set(ws) for f in features_of(w)})
+    for y, seq in zip(toxic, seqs, strict=True):
+        seen[int(y)].update({f for i in np.unique(seq) for f in features_of(vocabulary[i])})
     clean = len(texts) - n_toxic
-    lift = {f: math.log((c + 0.5) / (n_toxic + 1)) - math.log((seen[0][f] + 0.5) / (clean + 1)) for f, c in seen[1].items() if c >= 5}
-    telling = {f for f, v in lift.items() if v > 2.5}
-    known = {f: i for i, f in enumerate(f for f in seen[1] if seen[1][f] >= 3)}
-    ids: dict[str, tuple[int, ...]] = {}
-    for ws in words:
-        for w in ws:
-            if w not in ids:
-                ids[w] = tuple(known.get(f, len(known)) for f in features_of(w))
-    lengths = np.array([len(ws) for ws in words])
-    f = np.array([ids[w] for ws in words for w in ws], dtype=np.int64).reshape(-1, 3)
-    is_toxic = {w: any(x in telling for x in features_of(w)) for w in ids}
-    y = np.array([is_toxic[w] and bool(d) for d, ws in zip(toxic, words, strict=True) for w in ws], dtype=np.float64)
+    telling = {f for f, c in seen[1].items() if c >= max(5, SUPPORT * n_toxic) and 20 * seen[0][f] <= c and math.log((c + 0.5) / (n_toxic + 1)) - math.log((seen[0][f] + 0.5) / (clean + 1)) > 2.5}
+    known = {f: i for i, f in enumerate(f for f, c in seen[1].items() if c >= 3)}
+    del number, seen
+    of_word = np.array([[known.get(f, len(known)) for f in features_of(w)] for w in vocabulary], dtype=np.int32).reshape(-1, 3)
+    word_toxic = np.array([any(f in telling for f in features_of(w)) for w in vocabulary])
+    lengths = np.array([len(seq) for seq in seqs])
+    tokens = np.concatenate(seqs) if len(seqs) else np.zeros(0, dtype=np.int32)
+    f = of_word[tokens]
+    y = (word_toxic[tokens] & np.repeat(toxic > 0, lengths)).astype(np.float64)
     packed = Packed(lengths)
     f, y = f[packed.order], y[packed.order]
     same = Packed.__new__(Packed)
@@ -152,7 +153,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Crf:
     names = list(known)
     model = Crf({names[i]: float(theta[i]) for i in np.flatnonzero(np.abs(theta[: len(known)]) > 0.05)}, float(theta[len(known) + 1]), tuple(float(v) for v in theta[-4:]))
     scorer = Scorer(model)
-    z = np.concatenate([_doc_features(*scorer.tag(words[i : i + 500])) for i in range(0, len(words), 500)])
+    z = np.concatenate([_doc_features(*scorer.tag([WORDS.findall(x.lower()) for x in texts[i : i + 500]])) for i in range(0, len(texts), 500)])
     c = np.zeros(3)
     for _ in range(30):  # Newton's iteration, with a ridge that keeps separable data finite
         q = 1 / (1 + np.exp(-z @ c))
@@ -184,11 +185,13 @@ class Scorer:
             p[packed.order] = marginals(np.array(flat), packed, self.model.moves)[0]
         return p, lengths
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[dict]]]:
+    def score(self, texts: list[str], with_spans: bool = True) -> tuple[np.ndarray, list[list[dict]]]:
         if self.model.constant is not None:
             return np.full(len(texts), self.model.constant), [[] for _ in texts]
         p, lengths = self.tag([WORDS.findall(x.lower()) for x in texts])
         score = 1 / (1 + np.exp(-np.clip(_doc_features(p, lengths) @ np.array(self.model.doc), -500, 500)))
+        if not with_spans:
+            return score, []
         ends = np.cumsum(lengths)
         hot = np.flatnonzero(p > 0.5)
         spans: list[list[dict]] = [[] for _ in texts]
@@ -219,9 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_char
     toxic if any label says so.
     """
     marks = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(marks, "doc_id")
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_docs).select("text", F.col("toxic").cast("int").alias("toxic")).toPandas()
-    return train(few["text"].tolist(), few["toxic"].to_numpy(dtype=np.float64) if len(few) else np.zeros(0))
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(chosen), "doc_id")
+    few = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return train(few.column("text").to_pylist(), few.column("toxic").to_numpy().astype(np.float64))
 
 
 def score_toxicity(docs: DataFrame, model: Crf, threshold: float = 0.5) -> DataFrame:
@@ -243,6 +247,21 @@ def score_toxicity(docs: DataFrame, model: Crf, threshold: float = 0.5) -> DataF
     return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
 
 
+def drop_toxic(docs: DataFrame, model: Crf, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                score, _ = scorer.score([x or "" for x in part.column(at).to_pylist()], with_spans=False)
+                yield part.filter(pa.array(score < threshold))
+
+    at = docs.columns.index("text")
+    return docs.mapInArrow(work, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
