@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwright.operators import adjacency, compare, connectivity, distance, edits, families, pairs, report, stats
+from arcwright.functions.durable import new_path
+from arcwright.operators import adjacency, blocks, compare, connectivity, containers, distance, edits, families, pairs, report, stats
 from arcwright.operators.model import Graphs
+from arcwright.sources import graph_text
 from arcwright.sources.fixtures import load, oracle_prelude
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -374,3 +376,55 @@ register("path_string", "click", lambda g: report.path_string(pairs.semipath(g,
 rk as (select *, row_number() over (partition by graph_id, s, e order by len(path), path) as r from uw)
 ----select graph_id, s, e as t, shown as path_string from rk where r = 1""")
 register("overview_report", "click", report.overview_report, None)
+
+# blocks: the comparing engine deletes each vertex or pair and counts components anew
+_GONE = """vreach as (
+  select x.graph_id, x.vid as gone, a.vid as u, a.vid as v from vertices x join vertices a on a.graph_id = x.graph_id and a.vid <> x.vid
+  union
+  select r.graph_id, r.gone, r.u, n.v from vreach r join nbrs n on n.graph_id = r.graph_id and n.u = r.v where n.v <> r.gone),
+vcomp as (select graph_id, gone, count(distinct root) as comps from (select graph_id, gone, u, min(v) as root from vreach group by all) y group by all),
+cuts as (select v.graph_id, v.gone as vid from vcomp v join cc using (graph_id) where v.comps > cc.comps)"""
+register("cutpoints", "click", blocks.cutpoints, f"recursive:{_CC}, {_GONE}\n----select graph_id, vid from cuts")
+register("cutpoints_local", "local", blocks.cutpoints, None)
+register(
+    "nonseparable",
+    "click",
+    blocks.nonseparable,
+    f"recursive:{_CC}, {_GONE}, {_SIZE}\n----select graph_id, comps = 1 and n >= 2 and graph_id not in (select graph_id from cuts) as nonseparable from sz join cc using (graph_id)",
+)
+register(
+    "bridges",
+    "click",
+    blocks.bridges,
+    """recursive:breach as (
+  select p.graph_id, p.u as a, p.v as b, p.u as v from upairs p where ucount = 1
+  union
+  select r.graph_id, r.a, r.b, n.v from breach r join nbrs n on n.graph_id = r.graph_id and n.u = r.v and not (n.u = r.a and n.v = r.b) and not (n.u = r.b and n.v = r.a))
+----select graph_id, u, v from upairs p where ucount = 1 and not exists (select 1 from breach r where r.graph_id = p.graph_id and r.a = p.u and r.b = p.v and r.v = p.v)""",
+)
+register("block_count", "click", blocks.block_count, None)
+register("wide_diameter", "click", containers.wide_diameter, None)
+register(
+    "k_wide_distance_one",
+    "click",
+    lambda g: containers.k_wide_distance(g).filter("k = 1"),
+    f"recursive:{_PATHS}\n----select graph_id, s, e as t, cast(1 as integer) as k, cast(min(len(path) - 1) as integer) as d_k from walk where s <> e group by all",
+)
+
+
+def _text_round_trip(g: Graphs) -> DataFrame:
+    path = new_path(g.edges.sparkSession, "graphs")
+    graph_text.write_graph_text(g, path)
+    _, vertices, edges, _ = graph_text.parse_graph_text(graph_text.read_texts(g.edges.sparkSession, path))
+    named = lambda end, out: vertices.select("graph_id", F.col("vid").alias(end), F.col("name").alias(out))
+    return edges.join(named("src", "src_name"), ["graph_id", "src"]).join(named("dst", "dst_name"), ["graph_id", "dst"]).select("graph_id", "eid", "src_name", "dst_name", "weight")
+
+
+def _adjacency_round_trip(g: Graphs) -> DataFrame:
+    path = new_path(g.edges.sparkSession, "graphs")
+    graph_text.write_adjacency_text(g, path)
+    return graph_text.parse_adjacency_text(graph_text.read_texts(g.edges.sparkSession, path))[1]
+
+
+register("graph_text", "click", _text_round_trip, "select e.graph_id, eid, a.name as src_name, b.name as dst_name, weight from edges e join vertices a on a.graph_id = e.graph_id and a.vid = src join vertices b on b.graph_id = e.graph_id and b.vid = dst")
+register("adjacency_text", "local", _adjacency_round_trip, "select graph_id, u, v from upairs")

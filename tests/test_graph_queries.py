@@ -129,3 +129,41 @@ def test_parse_weight(spark):
     rows = spark.createDataFrame([("2,5",), (" 3 ",), ("-1",), ("0",), ("abc",), ("Infinity",), (None,), ("NaN",)], "t string")
     got = [r["w"] for r in rows.select(edits.parse_weight(F.col("t")).alias("w")).collect()]
     assert got == [2.5, 3.0, None, None, None, None, None, None]
+
+
+def test_blocks_of_known_graphs(spark):
+    from arcwright.operators import blocks
+
+    g = graphs_of(spark, {"tri": (4, [(0, 1), (1, 2), (2, 0), (2, 3)]), "k26": KNOWN["k26"], "star": KNOWN["star"], "twice": KNOWN["twice"]})
+    sizes = {}
+    for r in blocks.block_members(g).groupBy("graph_id", "block").count().collect():
+        sizes.setdefault(r["graph_id"], []).append(r["count"])
+    assert {k: sorted(v) for k, v in sizes.items()} == {"tri": [2, 3], "k26": [8], "star": [2] * 6, "twice": [2]}
+    assert {(r["graph_id"], r["vid"]) for r in blocks.cutpoints(g).collect()} == {("tri", 2), ("star", 0)}
+    assert {r["graph_id"] for r in blocks.bridges(g).collect()} == {"tri", "star"}
+
+
+def test_wide_diameters_of_known_graphs(spark):
+    from arcwright.operators import containers
+
+    g = graphs_of(spark, {k: KNOWN[k] for k in ("k26", "cycle8", "k5", "star", "wheel")})
+    got = {}
+    for r in sorted(containers.wide_diameter(g).collect(), key=lambda r: r["k"]):
+        got.setdefault(r["graph_id"], []).append(r["diameter"])
+    assert got == {"k26": [2, 3, 2, 2, 2, 2], "cycle8": [4, 7], "k5": [1, 2, 3, 2], "star": [2], "wheel": [2, 2, 4]}
+
+
+def test_rejected_graph_files(spark, tmp_path):
+    from arcwright.sources import graph_text
+
+    good = "GRAPH 2\ndirected true\nweighted false\nmulti false\nvertices 2\na 1 2\nb 3 4\nedges 1\n0 1 2,5\n"
+    (tmp_path / "good").write_text(good)
+    (tmp_path / "far").write_text(good.replace("0 1 2,5", "0 7 1"))
+    (tmp_path / "heavy").write_text(good.replace("2,5", "NaN"))
+    (tmp_path / "old").write_text("3\nA\nB\nC\n010\n101\n010\n5,5\n")
+    texts = graph_text.read_texts(spark, str(tmp_path))
+    graphs, vertices, edges, bad = graph_text.parse_graph_text(texts)
+    assert {r["graph_id"] for r in bad.collect()} == {"far", "heavy"} and {r["graph_id"] for r in graphs.collect()} == {"good"}
+    assert [(r["src"], r["dst"], r["weight"]) for r in edges.collect()] == [(0, 1, 2.5)] and vertices.count() == 2
+    v, e = graph_text.parse_adjacency_text(texts)
+    assert {(r["u"], r["v"]) for r in e.collect()} == {(0, 1), (1, 2)} and v.count() == 3
