@@ -12,6 +12,7 @@ marginals give the offending offsets and, summed up, the document's score.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -224,8 +225,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_char
     marks = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(chosen), "doc_id")
-    few = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return train(few.column("text").to_pylist(), few.column("toxic").to_numpy().astype(np.float64))
+    few = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # the sample is bounded, and so is the task that trains on it; the driver sees the model alone
+    made = few.repartition(1).mapInArrow(_train_task, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else train([], np.zeros(0))
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
+    model = train([r[1] for r in rows], np.array([float(r[2]) for r in rows]))
+    yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
 
 def score_toxicity(docs: DataFrame, model: Crf, threshold: float = 0.5) -> DataFrame:
