@@ -28,7 +28,7 @@ from arcwright.llm.shingles import texts_of
 
 SHARD_DOCS = 4096
 SHARD_BYTES = 32_000_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 500_000
 NULL_ID = -(2**63)
 
 #: Coarser cuts that the byte-level pattern never crosses: it splits at white space too.
@@ -51,20 +51,29 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [[] if not t else [t] if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
         cache = self.cache
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        new = list({c for cs in cut for c in cs if c not in cache})
-        extra = {}
-        for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (cache if len(c) < 100 else extra)[c] = np.array(e.ids, dtype=self.dtype).tobytes()
-        if not extra:
-            return [b"".join(map(cache.__getitem__, cs)) for cs in cut]
-        return [b"".join([cache[c] if c in cache else extra[c] for c in cs]) for cs in cut]
+        new = list(set().union(*cut).difference(cache))
+        made = {c: np.array(e.ids, dtype=self.dtype).tobytes() for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        # chunks that come early are the common ones: once full, the cache stays as it is
+        if len(cache) < CACHE_CHUNKS:
+            cache.update((c, b) for c, b in made.items() if len(c) < 100)
+        get = cache.get
+        return [b"".join([get(c) or made[c] for c in cs]) for cs in cut]
+
+
+#: One encoder for each tokenizer file in a worker process, kept from task to task.
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def shared_encoder(path: str) -> ChunkEncoder:
+    # a function of the module, so that tasks reach the module's own table and no pickled copy
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
 
 
 def _shards(tokenizer: str, end_id: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         part, turn, size = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
@@ -76,7 +85,7 @@ def _shards(tokenizer: str, end_id: int):
             shard = f"{part:08d}-{turn:06d}"
             return pa.record_batch({"kind": pa.array(["tok", "len"]), "shard": pa.array([shard] * 2), "payload": pa.array([b"".join(body), head], pa.binary())})
 
-        for batch, texts in texts_of(batches):
+        for batch, texts in texts_of(batches, 512):
             for i, b in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                 ids.append(NULL_ID if i is None else i)
                 body.append(b + end)
