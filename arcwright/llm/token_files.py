@@ -14,6 +14,7 @@ import math
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from arcwright.llm.shingles import texts_of
 
 SHARD_DOCS = 4096
 SHARD_BYTES = 32_000_000
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 650_000
 NULL_ID = -(2**63)
 
 #: Coarser cuts that the byte-level pattern never crosses: it splits at white space too.
@@ -46,13 +47,14 @@ class ChunkEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 2**16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [[] if not t else [t] if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
         cache = self.cache
         new = list(set().union(*cut).difference(cache))
-        made = {c: np.array(e.ids, dtype=self.dtype).tobytes() for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        made = {c: array(self.code, e.ids).tobytes() for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
         # chunks that come early are the common ones: once full, the cache stays as it is
         if len(cache) < CACHE_CHUNKS:
             cache.update((c, b) for c, b in made.items() if len(c) < 100)
@@ -85,7 +87,7 @@ def _shards(tokenizer: str, end_id: int):
             shard = f"{part:08d}-{turn:06d}"
             return pa.record_batch({"kind": pa.array(["tok", "len"]), "shard": pa.array([shard] * 2), "payload": pa.array([b"".join(body), head], pa.binary())})
 
-        for batch, texts in texts_of(batches, 512):
+        for batch, texts in texts_of(batches, 1024):
             for i, b in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                 ids.append(NULL_ID if i is None else i)
                 body.append(b + end)
