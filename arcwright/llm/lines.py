@@ -1,8 +1,9 @@
 """Line dedup with content-defined chunks of lines.
 
-A rolling hash over each two neighbouring line hashes decides whether a chunk ends after
-a line, so boundaries hang on nearby content alone and come back into step right after an
-insertion.  Chunks of two or more lines that occur more than once in the corpus are
+A rolling hash covers each two neighbouring line hashes; a chunk ends after a line whose
+rolling hash is a local minimum.  Boundaries so hang on nearby content alone and come back
+into step right after an insertion, and two minima are never neighbours, so all chunks but
+a text's last have two lines or more, three on average.  Chunks of two or more lines that occur more than once in the corpus are
 compared byte by byte with their first occurrence, and all later ones are removed.
 """
 
@@ -14,29 +15,29 @@ from pyspark.sql import functions as F
 from arcwright.functions.durable import settle
 
 MIN_LINES = 2
-ENDINGS = "01234"  # first hexadecimal digits of the rolling hash that end a chunk: 5 in 16
 
 
-def chunk_bounds(lines: Column, endings: str = ENDINGS) -> Column:
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once, as a lambda variable, so that it is not worked out per element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def chunk_bounds(lines: Column) -> Column:
     """array<struct<start,n>>: chunks of a text's lines, 1-based."""
-    hashes = F.transform(lines, lambda x: F.md5(x.cast("binary")))
 
-    def ends(hash_: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(hashes_var[0], i - 1)).otherwise(F.lit(""))
-        return F.substring(F.md5(F.concat(before, hash_).cast("binary")), 1, 1).isin(*endings)
+    def roll(h: Column) -> Column:
+        return F.transform(h, lambda x, i: F.md5(F.concat(F.when(i > 0, F.get(h, i - 1)).otherwise(F.lit("")), x).cast("binary")))
 
-    hashes_var: list[Column] = []
+    def stops(r: Column) -> Column:
+        low = lambda i: (i > 1) & (F.element_at(r, i) < F.get(r, i - 2)) & (F.element_at(r, i) <= F.get(r, i))
+        return F.filter(F.sequence(F.lit(1), F.size(r)), lambda i: (i == F.size(r)) | low(i))
 
-    def cut(h: Column) -> Column:
-        hashes_var[:] = [h]
-        marks = F.transform(h, ends)
-        return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.element_at(marks, i) | (i == F.size(h)))
+    def runs(e: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(e, i - 1)).otherwise(0)
+        return F.transform(e, lambda stop, i: F.struct((before(i) + 1).alias("start"), (stop - before(i)).alias("n")))
 
-    # bound once as a lambda variable, so hashes and ends are not worked out again per element
-    stops = F.transform(F.array(hashes), cut)
-    return F.transform(
-        stops, lambda e: F.transform(e, lambda stop, i: F.struct((F.when(i > 0, F.get(e, i - 1)).otherwise(0) + 1).alias("start"), (stop - F.when(i > 0, F.get(e, i - 1)).otherwise(0)).alias("n")))
-    )[0]
+    hashes = F.transform(lines, lambda x: F.md5(x.cast("binary")))
+    return _let(_let(_let(hashes, roll), stops), runs)
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -62,7 +63,8 @@ def removed_chunks(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     spots = chunks.join(again.select("key", "keep"), "key").withColumn("kept", (F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))) & (F.col("start") == F.col("keep.start")) & (F.col("mark") == F.col("keep.mark")))
     wanted = spots.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n", "key", "kept")).alias("spots"))
     d = _marked(docs.select("doc_id", "text")).alias("d")
-    opened = d.join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("_mark") == F.col("mark")))
+    # merge: what is wanted grows with the corpus, so the plan is the shuffled one at every size
+    opened = d.join(wanted.hint("merge").alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("_mark") == F.col("mark")))
     bodies = (
         opened.select("d.doc_id", "mark", F.split("text", "\n", -1).alias("lines"), F.explode("spots").alias("s"))
         .select("doc_id", "mark", "s.*", F.array_join(F.slice("lines", F.col("s.start"), F.col("s.n")), "\n").alias("body"))
@@ -84,7 +86,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     gone = settle(removed_chunks(docs, min_lines), "gone")
     by = gone.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_m")).agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
     d = _marked(docs)
-    joined = d.join(by, d["doc_id"].eqNullSafe(by["_id"]) & (d["_mark"] == by["_m"]), "left")
+    joined = d.join(by.hint("merge"), d["doc_id"].eqNullSafe(by["_id"]) & (d["_mark"] == by["_m"]), "left")
     lines = F.split("text", "\n", -1)
     # numbers of the removed lines, then the lines that are not among them
     numbers = F.flatten(F.transform("_gone", lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
@@ -116,8 +118,10 @@ with l as (
 ), h as (
   select *, md5(line) as m, lag(md5(line)) over (partition by doc_id order by i) as p,
     max(i) over (partition by doc_id) as last from l
+), q as (
+  select *, md5(coalesce(p, '') || m) as r from h
 ), e as (
-  select *, substr(md5(coalesce(p, '') || m), 1, 1) in ('0', '1', '2', '3', '4') as cut from h
+  select *, coalesce(r < lag(r) over w and r <= lead(r) over w, false) as cut from q window w as (partition by doc_id order by i)
 ), c as (
   select *, coalesce(sum(cut::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk from e
 ), b as (
