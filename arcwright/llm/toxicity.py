@@ -3,7 +3,9 @@
 Two states, clean and toxic, over the words of a text.  A word's features are the word
 itself and its first four and five letters.  Token labels for training come from the
 document labels: in a document marked toxic, a word counts as toxic when one of its
-features is far commoner in toxic than in clean training documents.  The field is then
+features is far commoner in toxic than in clean training documents, near copies counted
+once; a feature too rare for that and never seen clean counts by the share of such
+features that chance does not explain.  The field is then
 trained on these tagged sequences by gradient steps on the likelihood, with expectations
 from forward-backward.  Scoring runs forward-backward over every whole text; the
 marginals give the offending offsets and, summed up, the document's score.
@@ -24,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcwright.llm.shingles import Shingler
+
 TRAIN_DOCS = 3000
 TRAIN_CHARS = 10_000
 STEPS = 40
-SUPPORT = 0.04  # share of toxic training documents that a telling feature is seen in: copies of one document stay below
+FLOOR = 5  # distinct toxic training texts that a feature is seen in to be telling by itself
+RARE = 2  # and at least to take part by its smoothed score
+SKETCH = 32  # least hashes of a text's shingles; texts that share half of them are near copies
 WORDS = re.compile(r"[^\W_]+")
 CACHE_WORDS = 400_000
 
@@ -106,6 +112,40 @@ def _doc_features(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct_texts(texts: list[str]) -> np.ndarray:
+    """A number for each text, the same for near copies (by min-hashes of five-word shingles)."""
+    shingler, out = Shingler(), np.arange(len(texts))
+    sketch = np.zeros((len(texts), SKETCH), dtype=np.uint64)
+    turns = np.random.default_rng(1).integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1)
+    for i, text in enumerate(texts):
+        s = shingler.distinct(text)
+        sketch[i] = [(s * t).min() for t in turns] if len(s) else np.uint64(0)
+    for i in range(1, len(texts)):
+        near = np.flatnonzero((sketch[:i] == sketch[i]).sum(axis=1) * 2 >= SKETCH)
+        for g in np.unique(out[near]):
+            out[out == g] = i
+    return out
+
+
+def telling_features(seen: tuple[Counter, Counter], n_toxic: int, clean: int) -> dict[str, float]:
+    """How surely a feature tells toxic texts, from its numbers of distinct texts of each label.
+
+    A common one is told by its rates.  A rarer one that no clean text has gets 1 - (number
+    that chance would leave without a clean text) / (number of these), within its count.
+    """
+    told = {f: 1.0 for f, c in seen[1].items() if c >= FLOOR and 20 * seen[0][f] <= c and math.log((c + 0.5) / (n_toxic + 1)) - math.log((seen[0][f] + 0.5) / (clean + 1)) > 2.5}
+    share = seen[1].total() / max(1, seen[0].total() + seen[1].total())
+    # the kinds of features have vocabularies of their own
+    total = Counter((f[0], seen[0][f] + seen[1][f]) for f in seen[0] | seen[1])
+    alone = Counter((f[0], c) for f, c in seen[1].items() if not seen[0][f])
+    for f, c in seen[1].items():
+        if RARE <= c < FLOOR and not seen[0][f] and f not in told:
+            sure = 1 - total[f[0], c] * share**c / alone[f[0], c]
+            if sure > 0:
+                told[f] = sure
+    return told
+
+
 def train(texts: list[str], toxic: np.ndarray) -> Crf:
     """Fit on a bounded sample of labelled texts."""
     n_toxic = int(toxic.sum())
@@ -115,18 +155,21 @@ def train(texts: list[str], toxic: np.ndarray) -> Crf:
     seqs = [np.array([number.setdefault(w, len(number)) for w in WORDS.findall(x.lower())], dtype=np.int32) for x in texts]
     vocabulary = list(number)
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for y, seq in zip(toxic, seqs, strict=True):
-        seen[int(y)].update({f for i in np.unique(seq) for f in features_of(vocabulary[i])})
-    clean = len(texts) - n_toxic
-    telling = {f for f, c in seen[1].items() if c >= max(5, SUPPORT * n_toxic) and 20 * seen[0][f] <= c and math.log((c + 0.5) / (n_toxic + 1)) - math.log((seen[0][f] + 0.5) / (clean + 1)) > 2.5}
-    known = {f: i for i, f in enumerate(f for f, c in seen[1].items() if c >= 3)}
-    del number, seen
+    words: dict[tuple[int, int], set[int]] = {}  # of each distinct text
+    for y, g, seq in zip(toxic, distinct_texts(texts), seqs, strict=True):
+        words.setdefault((int(y), int(g)), set()).update(seq.tolist())
+    for (y, _), some in words.items():
+        seen[y].update({f for i in some for f in features_of(vocabulary[i])})
+    of_label = Counter(y for y, _ in words)
+    telling = telling_features(seen, of_label[1], of_label[0])
+    known = {f: i for i, f in enumerate(f for f, c in seen[1].items() if c >= 3 or f in telling)}
+    del number, seen, words
     of_word = np.array([[known.get(f, len(known)) for f in features_of(w)] for w in vocabulary], dtype=np.int32).reshape(-1, 3)
-    word_toxic = np.array([any(f in telling for f in features_of(w)) for w in vocabulary])
+    word_toxic = np.array([max(telling.get(f, 0.0) for f in features_of(w)) for w in vocabulary])
     lengths = np.array([len(seq) for seq in seqs])
     tokens = np.concatenate(seqs) if len(seqs) else np.zeros(0, dtype=np.int32)
     f = of_word[tokens]
-    y = (word_toxic[tokens] & np.repeat(toxic > 0, lengths)).astype(np.float64)
+    y = word_toxic[tokens] * np.repeat(toxic > 0, lengths)
     packed = Packed(lengths)
     f, y = f[packed.order], y[packed.order]
     same = Packed.__new__(Packed)

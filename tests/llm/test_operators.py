@@ -212,6 +212,27 @@ def test_toxicity_held_out_and_edges(spark):
     assert [r["score"] for r in unlabelled] == [0.0]
 
 
+def test_toxicity_spread_over_rare_words_but_not_copies():
+    rng = np.random.default_rng(23)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8))
+    plain, bad = [word() for _ in range(400)], [word() for _ in range(70)]
+    line = lambda *more: " ".join([*rng.choice(plain, 30), *more])
+    texts = [line() for _ in range(1500)] + [line(bad[i % 70]) for i in range(420)]
+    once = [word() for _ in range(30)]
+    texts += [" ".join(once)] * 30  # copies of one text tell nothing about its words
+    toxic = np.array([0.0] * 1500 + [1.0] * 450)
+    scorer = toxicity.Scorer(toxicity.train(texts, toxic))
+    caught = scorer.score([line(b) for b in bad])[0] >= 0.5
+    clean = scorer.score([line() for _ in range(200)] + [line(w) for w in once])[0] >= 0.5
+    assert caught.mean() > 0.9 and clean.mean() < 0.02
+
+
+def test_near_copies_count_once_in_training():
+    text = " ".join(f"w{i}" for i in range(80))
+    got = toxicity.distinct_texts([text, "other words stand here in this one", text + " tail", "", text]).tolist()
+    assert got[0] == got[2] == got[4] and len(set(got)) == 3
+
+
 # op5
 
 
