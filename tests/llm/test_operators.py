@@ -349,6 +349,19 @@ def test_random_tokens_stand_out(spark):
     assert all(not got[i]["random"] for i in range(60, 120))
 
 
+def test_random_tokens_after_signs(spark):
+    rng = np.random.default_rng(31)
+    abc = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = ["".join(rng.choice(abc, 48)) for _ in range(60)]
+    before = ["AWS_ACCESS=", "see sig=", "é key: ", "x='", 'y="', "z:"]
+    rows = [(i, f"{before[i % 6]}{t}== there") for i, t in enumerate(keys)]
+    got = rows_of(secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
+    for turn in range(6):
+        mine = range(turn, 60, 6)
+        assert sum(len(got[i]["random"]) for i in mine) >= 7, before[turn]
+        assert all((s["start"], s["end"]) == (len(before[turn]), len(before[turn]) + 50) for i in mine for s in got[i]["random"])
+
+
 # op8 and op10
 
 
