@@ -95,6 +95,12 @@ def _round_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(copies=copies)
 
 
+def _row_key() -> list[Column]:
+    """128 bits that name a row's doc_id, text and source; a hash passes nulls over, so they are told apart."""
+    parts = ["doc_id", "text", "source", F.concat(*[F.isnull(c).cast("string") for c in ("doc_id", "text", "source")])]
+    return [F.xxhash64(*parts).alias("_mix_x"), F.xxhash64(F.lit(1), *parts).alias("_mix_y")]
+
+
 def plan_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """How often each document is taken: one row per row of ``docs``.
 
@@ -105,9 +111,16 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3
     source is a source of its own, ordered last.  Repeated rows are mixed one by one.
     A corpus without words has target 0 everywhere and takes nothing; an empty table
     gives an empty result.  The rounding order hangs on size and a hash of doc_id
-    alone, so reruns agree.
+    (of the whole row where doc_id is null) alone, so reruns agree.
     """
-    sized = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    return _plan(docs, weights, cap).drop("_mix_x", "_mix_y")
+
+
+def _plan(docs: DataFrame, weights: Sequence[float], cap: int) -> DataFrame:
+    """The plan with the row keys."""
+    sized = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *_row_key()), "sizes")
+    # rows without a doc_id are spread by their content: they are no group of their own
+    turn = F.when(F.col("doc_id").isNull(), F.col("_mix_x")).otherwise(F.xxhash64("doc_id"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
     targets = source_targets(sources, weights, cap).withColumn(
         "rate",
@@ -119,26 +132,30 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3
         sized.join(t, sized["source"].eqNullSafe(t["source_t"]))
         .withColumn("rate", F.when(near, F.round("rate")).otherwise(F.col("rate")))
         # a source is cut into groups of about ROUNDING_GROUP documents, so a hot source is no hot key
-        .withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("source_docs") / F.lit(ROUNDING_GROUP))))
+        .withColumn("sub", F.pmod(turn, F.ceil(F.col("source_docs") / F.lit(ROUNDING_GROUP))))
         .withColumn("group", F.concat_ws(":", F.hex(F.coalesce("source", F.lit(""))), F.col("source").isNull().cast("string"), F.col("sub").cast("string")))
-        .select("doc_id", "source", "size", "source_size", "target", "rate", "group", F.xxhash64("doc_id").alias("turn"))
+        .select("doc_id", "source", "size", "source_size", "target", "rate", "group", turn.alias("turn"), "_mix_x", "_mix_y")
     )
-    dealt = rows.repartition("group").sortWithinPartitions("group", F.desc("size"), "turn", "doc_id")
-    schema = "doc_id long, source string, size long, source_size long, target double, rate double, group string, turn long, copies long"
+    dealt = rows.repartition("group").sortWithinPartitions("group", F.desc("size"), "turn", "doc_id", "_mix_x")
+    schema = "doc_id long, source string, size long, source_size long, target double, rate double, group string, turn long, _mix_x long, _mix_y long, copies long"
     return dealt.mapInPandas(_round_group, schema).select(
-        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "_mix_x", "_mix_y"
     )
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """``docs`` with each document repeated as the plan says (and gone at 0 copies).
+    """``docs`` with each row repeated as the plan says (and gone at 0 copies).
 
-    ``doc_id`` must be unique among non-null ids here, as in a table of documents; rows
-    with a null doc_id belong to no plan row and are left out.  All columns are kept.
+    Null doc_ids are rows like others.  Rows that repeat doc_id, text and source share the
+    copies planned for them, so none is taken more than ``cap`` times.  All columns are kept.
     """
-    plan = plan_mix(docs, weights, cap).select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).filter("_mix_copies > 0")
-    joined = docs.join(plan, docs["doc_id"] == plan["_mix_id"])
-    return joined.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    key = ["_mix_x", "_mix_y"]
+    plan = _plan(docs, weights, cap).groupBy(*key).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows")).filter("_mix_copies > 0")
+    # merge: the plan grows with the corpus, and the numbering needs the same deal
+    joined = docs.select("*", *_row_key()).join(plan.hint("merge"), key)
+    numbered = joined.withColumn("_mix_turn", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    copies = F.expr("cast(_mix_copies div _mix_rows as int) + int(_mix_turn <= _mix_copies % _mix_rows)")
+    return numbered.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

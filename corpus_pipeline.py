@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcwright.functions.durable import settle
@@ -30,9 +30,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays."""
+    """Of each group of near duplicates the document with the least doc_id stays, once.
+
+    Rows with a null doc_id stand in no group, so all of them stay.
+    """
     others = jaccard.near_documents(docs).filter("not kept and doc_id is not null").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    same = Window.partitionBy("doc_id", F.md5(F.col("text").cast("binary"))).orderBy("doc_id")
+    left = docs.join(others, "doc_id", "left_anti").withColumn("_turn", F.row_number().over(same))
+    return left.filter("_turn = 1 or doc_id is null").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

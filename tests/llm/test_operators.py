@@ -447,3 +447,21 @@ def test_mix_meets_targets(spark):
     assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in got)
     assert mixing.plan_mix(none(spark)).count() == 0
     assert mixing.plan_mix(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).first()["target"] == 0.0
+
+
+def test_mix_takes_rows_as_planned_with_null_ids_and_repeats(spark):
+    rng = np.random.default_rng(37)
+    rows = [(None if i % 4 == 0 else i, f"t{i} " + "w " * int(rng.integers(1, 60)), "ab"[i % 2], i) for i in range(400)]
+    rows += [(7, rows[7][1], "b", 7)] * 5 + [(None, "null too", None, 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k long")
+    planned = {}
+    for r in mixing.plan_mix(df).collect():
+        at = (r["doc_id"], r["source"], r["size"])
+        planned[at] = planned.get(at, 0) + r["copies"]
+    got, most = {}, {}
+    for r in mixing.mix(df).collect():
+        at = (r["doc_id"], r["source"], len(r["text"].split()))
+        got[at] = got.get(at, 0) + 1
+        most[tuple(r)] = most.get(tuple(r), 0) + 1
+    assert got == {at: n for at, n in planned.items() if n}
+    assert all(n <= 3 * rows.count(r) for r, n in most.items()) and any(r[0] is None for r in most)

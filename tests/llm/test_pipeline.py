@@ -26,6 +26,12 @@ def test_stages_keep_the_columns_and_act(spark):
     assert last.select("doc_id", F.col("decoded_sha256").alias("d")).distinct().exceptAll(decoded).count() == 0
 
 
+def test_one_of_each_keeps_a_repeated_row_once(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "other"), (None, "x"), (None, "x"), (4, None), (4, None)]
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "a b c d e f"), (3, "other"), (None, "x"), (None, "x"), (4, None)]))
+
+
 @pytest.mark.parametrize("name", ["op1_lattice", "op2_warc", "op3_lines", "op5_jaccard", "op6_exact_topk"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
