@@ -286,6 +286,22 @@ def test_jaccard_against_all_pairs(spark, docs):
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in lost if r["doc_id"]) == [(False, 1), (False, 1)] and len(lost) == 3
 
 
+def test_jaccard_of_a_table_with_itself(spark):
+    # A has a near copy C, and each B one shingle of A that C lacks; every row stands twice
+    rng = np.random.default_rng(29)
+    texts = {}
+    for g in range(60):
+        base = [f"w{rng.integers(10**9)}" for _ in range(40)]
+        texts[10 * g] = " ".join(base)
+        texts[10 * g + 1] = " ".join([*(f"w{rng.integers(10**9)}" for _ in range(4)), *base[4:]])
+        for k in range(4):
+            texts[10 * g + 2 + k] = " ".join(base[k : k + 5])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = jaccard.near_documents(df.union(df)).collect()
+    want = brute_components(brute_sets(texts))
+    assert len(got) == 2 * len(texts) and {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_tree_join_loses_no_pair():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 400, 60).astype(np.uint64) * np.uint64(2**40 + 7)) for _ in range(150)]
