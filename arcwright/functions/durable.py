@@ -31,10 +31,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def settle(df: DataFrame, label: str = "table") -> DataFrame:
+def settle(df: DataFrame, label: str = "table", **options: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads what was written."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arcwright.functions.durable import discard, settle
@@ -31,20 +31,23 @@ def star_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Component of every vertex that occurs in ``pairs(u, v)``: rows (id, component).
 
     ``component`` is the least id in the component.  Loops and nulls are ignored; an
-    empty input gives no rows.  Each round is two aggregations with map-side combine
-    and two joins, whose hub keys AQE may split; the edge list is written to the
-    shared folder after each round.
+    empty input gives no rows.  A contraction is two aggregations with map-side combine
+    and two joins, whose hub keys AQE may split; after every second one the edge list is
+    written to the shared folder, and its check sum is observed while it is written.
     """
     now = settle(pairs.select("u", "v").filter("u <> v").distinct(), "stars")
     before = None
     for _ in range(max_rounds):
-        after = settle(_small_star(_large_star(now)).filter("u <> v").distinct(), "stars")
-        shape = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        shape = Observation()
+        edges = now
+        for _ in range(2):
+            edges = _small_star(_large_star(edges)).filter("u <> v").distinct()
+        after = settle(edges.observe(shape, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "stars")
         discard(now)
         now = after
-        if shape == before:
+        if shape.get == before:
             break
-        before = shape
+        before = shape.get
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
