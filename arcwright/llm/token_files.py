@@ -2,7 +2,7 @@
 
 A shard is two files: ``tok``, the ids of its documents one after the other as unsigned
 integers (16 bits where the vocabulary allows, else 32), and ``idx``, little-endian 64-bit
-integers: the number of documents n, n document ids, n + 1 offsets counted in ids from the
+integers: the number of documents n, the bytes of an id, n document ids, n + 1 offsets counted in ids from the
 start of the whole corpus.  Each shard's base is the prefix sum of the shards before it.
 Shards hold consecutive ranges of doc_id, in ascending order.  Readers map ``tok`` into
 memory and touch only the documents they want.
@@ -14,55 +14,57 @@ import math
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcwright.functions.durable import new_path
+from arcwright.llm.chunks import Coded, encode_column, slices
 from arcwright.llm.rawfiles import read_raw, write_raw
-from arcwright.llm.shingles import texts_of
 
 SHARD_DOCS = 4096
 SHARD_BYTES = 32_000_000
-CACHE_CHUNKS = 650_000
 NULL_ID = -(2**63)
 
-#: Coarser cuts that the byte-level pattern never crosses: it splits at white space too.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")  # white space to Python alone
-
-
 class ChunkEncoder:
-    """The tokenizers library behind a cache of the chunks between white space."""
+    """The tokenizers library, asked once for each distinct chunk of a column of texts.
+
+    The library cuts at added tokens before anything else, so a text that holds one of
+    their strings is encoded whole.  The ids are those of the plain call at any place.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 2**16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.cache: dict[str, bytes] = {}
+        self.coded = Coded(self.code)
+
+    def _ids(self, some: list[str]) -> Iterator[list[int]]:
+        return (e.ids for e in self.model.encode_batch_fast(some, add_special_tokens=False))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [[] if not t else [t] if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        cache = self.cache
-        new = list(set().union(*cut).difference(cache))
-        made = {c: array(self.code, e.ids).tobytes() for c, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        # chunks that come early are the common ones: once full, the cache stays as it is
-        if len(cache) < CACHE_CHUNKS:
-            cache.update((c, b) for c, b in made.items() if len(c) < 100)
-        get = cache.get
-        return [b"".join([get(c) or made[c] for c in cs]) for cs in cut]
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text as bytes."""
+        texts = texts.fill_null("")
+        whole = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        out = encode_column(plain, self.coded, self._ids)
+        for i in np.flatnonzero(whole):
+            out[i] = np.array(next(self._ids([texts[int(i)].as_py()])), dtype=self.dtype).tobytes()
+        return out
 
 
-#: One encoder for each tokenizer file in a worker process, kept from task to task.
+#: The encoder of each tokenizer file in a worker process; what it keeps is bounded.
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -83,18 +85,19 @@ def _shards(tokenizer: str, end_id: int):
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(b) // encoder.dtype.itemsize for b in body], dtype="<u8")
-            head = np.concatenate([np.array(ids, dtype="<i8").view("<u8"), lengths]).tobytes()
+            head = np.concatenate([[np.uint64(encoder.dtype.itemsize)], np.array(ids, dtype="<i8").view("<u8"), lengths]).astype("<u8").tobytes()
             shard = f"{part:08d}-{turn:06d}"
             return pa.record_batch({"kind": pa.array(["tok", "len"]), "shard": pa.array([shard] * 2), "payload": pa.array([b"".join(body), head], pa.binary())})
 
-        for batch, texts in texts_of(batches, 1024):
-            for i, b in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                ids.append(NULL_ID if i is None else i)
-                body.append(b + end)
-                size += len(b)
-                if size >= SHARD_BYTES:
-                    yield flush()
-                    ids, body, size, turn = [], [], 0, turn + 1
+        for whole in batches:
+            for batch in slices(whole):
+                for i, b in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+                    ids.append(NULL_ID if i is None else i)
+                    body.append(b + end)
+                    size += len(b)
+                    if size >= SHARD_BYTES:
+                        yield flush()
+                        ids, body, size, turn = [], [], 0, turn + 1
         if body:
             yield flush()
 
@@ -103,7 +106,7 @@ def _shards(tokenizer: str, end_id: int):
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        total = [int(np.frombuffer(c, dtype="<u8").reshape(2, -1)[1].sum()) for c in b.column("content").to_pylist()]
+        total = [int(np.frombuffer(c, dtype="<u8")[1:].reshape(2, -1)[1].sum()) for c in b.column("content").to_pylist()]
         yield pa.record_batch({"shard": b.column("shard"), "total": pa.array(total, pa.int64())})
 
 
@@ -111,9 +114,10 @@ def _offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for c, base in zip(b.column("content").to_pylist(), b.column("base").to_pylist(), strict=True):
-            ids, lengths = np.frombuffer(c, dtype="<u8").reshape(2, -1)
+            head = np.frombuffer(c, dtype="<u8")
+            ids, lengths = head[1:].reshape(2, -1)
             ends = np.cumsum(lengths, dtype="<u8") + np.uint64(base)
-            out.append(np.concatenate([[np.uint64(len(ids))], ids, [np.uint64(base)], ends]).astype("<u8").tobytes())
+            out.append(np.concatenate([[np.uint64(len(ids)), head[0]], ids, [np.uint64(base)], ends]).astype("<u8").tobytes())
         yield pa.record_batch({"kind": pa.array(["idx"] * len(out)), "shard": b.column("shard"), "payload": pa.array(out, pa.binary())})
 
 
@@ -159,36 +163,33 @@ def map_file(path: str, dtype: np.dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
-def _digests(dtype: str):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for index, path in zip(b.column("content").to_pylist(), b.column("path").to_pylist(), strict=True):
-                x = np.frombuffer(index, dtype="<u8")
-                n = int(x[0])
-                ids, offsets = x[1 : 1 + n].view("<i8"), x[1 + n :].astype(np.int64)
-                tokens = map_file(path, np.dtype(dtype))
-                cut = offsets - offsets[0]
-                crc = [zlib.crc32(tokens[cut[i] : cut[i + 1]].astype("<u4").tobytes()) for i in range(n)]
-                yield pa.record_batch(
-                    {
-                        "doc_id": pa.array(ids, pa.int64(), mask=ids == NULL_ID),
-                        "start": pa.array(offsets[:-1]),
-                        "n_tokens": pa.array(np.diff(offsets)),
-                        "ids_crc32": pa.array(crc, pa.int64()),
-                    }
-                )
-
-    return work
-
-
-def read_token_digests(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for index, path in zip(b.column("content").to_pylist(), b.column("path").to_pylist(), strict=True):
+            x = np.frombuffer(index, dtype="<u8")
+            n, width = int(x[0]), int(x[1])
+            ids, offsets = x[2 : 2 + n].view("<i8"), x[2 + n :].astype(np.int64)
+            tokens = map_file(path, np.dtype(f"<u{width}"))
+            cut = offsets - offsets[0]
+            crc = [zlib.crc32(tokens[cut[i] : cut[i + 1]].astype("<u4").tobytes()) for i in range(n)]
+            yield pa.record_batch(
+                {
+                    "doc_id": pa.array(ids, pa.int64(), mask=ids == NULL_ID),
+                    "start": pa.array(offsets[:-1]),
+                    "n_tokens": pa.array(np.diff(offsets)),
+                    "ids_crc32": pa.array(crc, pa.int64()),
+                }
+            )
+
+
+def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not _holds(spark, f"{path}/offsets/kind=idx"):
         return spark.createDataFrame([], schema)
     index = read_raw(spark, f"{path}/offsets/kind=idx").select("shard", "content")
     tokens = read_raw(spark, f"{path}/first/kind=tok", content=False).select("shard", "path")
-    return index.join(tokens, "shard").select("content", "path").mapInArrow(_digests(dtype), schema)
+    return index.join(tokens, "shard").select("content", "path").mapInArrow(_digests, schema)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
