@@ -1,27 +1,23 @@
 """Byte-level BPE: ranked merges, and decoding by putting binary pieces together.
 
-Text is cut into pieces by the tokenizer's pattern.  Distinct pieces are encoded by a fold
-of Spark's higher-order functions: a piece is written with one character for each of its
-bytes, the rank map is a literal (an array of small maps, addressed by CRC-32), and the
-fold starts from single bytes and merges the leftmost pair of least rank until no pair is
-in the map.  So encoded are the pieces that occur most, up to a stated bound; the table goes
-to all tasks.
-
-Pieces outside that table are merged in the tasks by the same ranks over a heap.  Folding
-them, too, in every row took more than twice the time that is allowed (README); the heap
-also keeps very long pieces from quadratic time.  Any content of the table gives the same
-ids.
+Text is cut into pieces by the tokenizer's pattern.  Every distinct piece of the corpus is
+encoded once, by a fold of Spark's higher-order functions: a piece is written with one
+character for each of its bytes, the rank map is a literal (an array of small maps,
+addressed by CRC-32), and the fold starts from single bytes and merges the leftmost pair of
+least rank until no pair is in the map.  The most frequent pieces, up to a stated bound, go
+to all tasks; all others are joined to the texts that hold them.
+
+A fold takes time with the square of a piece's length, so pieces of more than FOLD_BYTES
+bytes are merged in the tasks by the same ranks over a heap.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
-import re
-import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwright.functions.durable import settle
-from arcwright.llm.shingles import texts_of
+from arcwright.llm.chunks import Coded, cut_texts, encode_column, slices
 
 RANK_SLOTS = 16_384
-CACHE_WORDS = 65_536
-CACHE_DOCS = 10_000
-CACHE_CHUNKS = 150_000
-FOLD_BYTES = 48
-LIST_BYTES = 96
+COMMON_WORDS = 65_536  # pieces in the table that all tasks hold
+PIECES_HELD = 300_000  # distinct pieces that a task counts before it tells them
+FOLD_BYTES = 256
 NO_RANK = 2**31 - 1
 
 
@@ -110,11 +104,6 @@ def _as_bytes(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def pieces(text: Column, pattern: str) -> Column:
-    # (?U): white space, letters and numbers by Unicode, as the tokenizer library has them
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
-
-
 class Vocabulary:
     """Ranks by token, and the literal that the fold needs."""
 
@@ -126,21 +115,6 @@ class Vocabulary:
         return _literal(self.ids, "int")
 
 
-def common_pieces(docs: DataFrame, pattern: str, ranks: dict[bytes, int], words: int = CACHE_WORDS, sample_docs: int = CACHE_DOCS) -> dict[str, list[int]]:
-    """Ids of frequent distinct pieces that are not tokens themselves.
-
-    Taken from about ``sample_docs`` texts and at most ``words`` pieces of up to FOLD_BYTES
-    bytes, so the driver holds a bounded table.
-    """
-    share = min(1.0, sample_docs / max(docs.count(), 1))
-    some = docs.select("text").sample(share, seed=5) if share < 1 else docs.select("text")
-    counted = some.select(F.explode(pieces(F.col("text"), pattern)).alias("word")).groupBy("word").count().filter((F.col("count") > 1) & (F.octet_length("word") <= FOLD_BYTES))
-    top = settle(counted.orderBy(F.desc("count"), "word").limit(words).select("word").repartition(8, "word"), "pieces")
-    literal = Vocabulary(ranks).rank_map()
-    ids = top.select("word", _let(literal, lambda r: word_ids(_as_bytes(F.col("word")), r)).alias("ids")).filter("size(ids) > 1").toArrow()
-    return dict(zip(ids.column("word").to_pylist(), ids.column("ids").to_pylist(), strict=True))
-
-
 def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for a long piece: a linked list and a heap of (rank, place)."""
     if piece in ranks:
@@ -166,89 +140,126 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def list_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for a short piece: plain lists are quicker there than a heap."""
-    if piece in ranks:
-        return [ranks[piece]]
-    get = ranks.get
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
-    while pairs:
-        low = min(pairs)
-        if low == NO_RANK:
-            break
-        i = pairs.index(low)
-        new = parts[i] + parts[i + 1]
-        parts[i : i + 2] = [new]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = get(new + parts[i + 1], NO_RANK)
-        if i:
-            pairs[i - 1] = get(parts[i - 1] + new, NO_RANK)
-    return [ranks[p] for p in parts]
+def _distinct_pieces(pattern: str):
+    """Pieces of a run of texts with their numbers, from the distinct chunks of each column."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = regex.compile(pattern)
+        counts: Counter[str] = Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.record_batch({"word": pa.array(list(counts.keys()), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
+        for batch in batches:
+            for part in slices(batch):
+                chunks, _ = cut_texts(part.column("text"))
+                for chunk, n in zip(*_counted(chunks), strict=True):
+                    for piece in cut.findall(chunk):
+                        counts[piece] += n
+                if len(counts) > PIECES_HELD:
+                    yield told()
+                    counts.clear()
+        if counts:
+            yield told()
 
-#: Coarser cuts that the pattern never crosses: it splits at white space too.
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")  # white space to one of the two pattern libraries alone
+    return work
 
 
-#: Ids of chunks, kept from task to task in a worker process, for each set of ranks and pattern.
-_CACHES: dict[str, dict[str, bytes]] = {}
+def _counted(chunks: pa.StringArray) -> tuple[list[str], list[int]]:
+    if not len(chunks):
+        return [], []
+    told = chunks.dictionary_encode()
+    return told.dictionary.to_pylist(), np.bincount(told.indices.to_numpy()).tolist()
 
 
-def shared_cache(mark: str) -> dict[str, bytes]:
-    # a function of the module, so that tasks reach the module's own table and no pickled copy
-    return _CACHES.setdefault(mark, {})
+def folded_pieces(rows: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """Every distinct piece of all texts with its ids by the fold: rows (word, n, ids).
 
+    Pieces of more than FOLD_BYTES bytes are left to ``heap_merges`` in the tasks: the fold
+    takes time with the square of a piece's length.
+    """
+    words = rows.select("text").mapInArrow(_distinct_pieces(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.octet_length("word") <= FOLD_BYTES)
+    literal = Vocabulary(ranks).rank_map()
+    dealt = settle(words, "words")
+    return settle(dealt.repartition("word").select("word", "n", _let(literal, lambda r: word_ids(_as_bytes(F.col("word")), r)).alias("ids")), "pieces")
 
-def _encoder(ranks: dict[bytes, int], pattern: str, table: dict[str, list[int]]):
-    mark = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+
+def _rare_words(pattern: str, common: set[str]):
+    """The pieces of each text that the common table lacks, named by the text's key."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern)
-        known = {w: np.array(ids, dtype="<u4").tobytes() for w, ids in table.items()}
-        cache = shared_cache(mark)
-
-        def chunk(c: str) -> bytes:
-            out = []
-            for p in cut.findall(c):
-                got = known.get(p)
-                if got is None:
-                    raw = p.encode("utf-8")
-                    ids = list_merges(raw, ranks) if len(raw) <= LIST_BYTES else heap_merges(raw, ranks)
-                    got = struct.pack(f"<{len(ids)}I", *ids)
-                out.append(got)
-            return b"".join(out)
-
-        for batch, texts in texts_of(batches):
-            coded = []
-            for t in texts:
-                if not t or _ODD_SPACE.search(t):
-                    coded.append(chunk(t) if t else b"")
+        for batch in batches:
+            for part in slices(batch):
+                chunks, first = cut_texts(part.column("text"))
+                if not len(chunks):
                     continue
-                parts = _CHUNK.findall(t)
-                made = {c: chunk(c) for c in set(parts).difference(cache)}
-                # chunks that come early are the common ones: once full, the cache stays as it is
-                if len(cache) < CACHE_CHUNKS:
-                    cache.update((c, b) for c, b in made.items() if len(c) < 100)
-                get = cache.get
-                coded.append(b"".join([get(c) or made[c] for c in parts]))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.array(coded, pa.binary())})
+                told = chunks.dictionary_encode()
+                rare = [[p for p in cut.findall(c) if p not in common and len(p) <= FOLD_BYTES and len(p.encode()) <= FOLD_BYTES] for c in told.dictionary.to_pylist()]
+                some = np.array([bool(x) for x in rare])
+                numbers = told.indices.to_numpy()
+                at = np.flatnonzero(some[numbers])
+                # a chunk counts once for a text
+                pairs = np.unique(np.stack([np.searchsorted(first, at, side="right") - 1, numbers[at]], axis=1), axis=0) if len(at) else np.zeros((0, 2), dtype=np.int64)
+                keys = np.array(part.column("key"))
+                key = [k for k, c in zip(keys[pairs[:, 0]].tolist(), pairs[:, 1].tolist(), strict=True) for _ in rare[c]]
+                word = [p for c in pairs[:, 1].tolist() for p in rare[c]]
+                yield pa.record_batch({"key": pa.array(key, pa.int64()), "word": pa.array(word, pa.string())})
+
+    return work
+
+
+def _encoder(ranks: dict[bytes, int], pattern: str, common: dict[str, bytes]):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = regex.compile(pattern)
+        for batch in batches:
+            for part in slices(batch):
+                rare = part.column("rare")
+                held = rare.flatten()
+                words, ids = held.field("word"), held.field("ids")
+                told = {w: np.frombuffer(b, dtype="<u4") for w, b in zip(words.to_pylist(), ids.to_pylist(), strict=True)}
+
+                def ids_of(piece: str, told: dict = told) -> np.ndarray:
+                    got = common.get(piece)
+                    if got is None:
+                        got = told.get(piece)
+                    # only pieces of more than FOLD_BYTES are in neither table
+                    return np.array(heap_merges(piece.encode(), ranks), dtype="<u4") if got is None else got
+
+                def chunks(some: list[str], ids_of=ids_of) -> Iterator[np.ndarray]:
+                    for c in some:
+                        pieces = cut.findall(c)
+                        yield ids_of(pieces[0]) if len(pieces) == 1 else np.concatenate([ids_of(p) for p in pieces])
+
+                coded = encode_column(part.column("text"), Coded("I", 0), chunks)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": pa.array(coded, pa.binary())})
 
     return work
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, table_words: int = CACHE_WORDS) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, table_words: int = COMMON_WORDS) -> DataFrame:
     """``docs(doc_id, text)`` as token ids: rows (doc_id, ids).
 
     ``ids`` is binary, little-endian unsigned 32-bit integers.  One row per row of
     ``docs``; a null or empty text has no ids.  Repeated rows are encoded one by one; other
-    columns are ignored.
+    columns are ignored.  Each distinct piece of the corpus is folded once; the
+    ``table_words`` most frequent ones go to all tasks, the others are joined to the texts
+    that hold them.
     """
-    rows = docs.select("doc_id", "text")
-    table = common_pieces(rows, pattern, ranks, table_words)
-    return rows.mapInArrow(_encoder(ranks, pattern, table), "doc_id long, ids binary")
+    # a key of the text alone: texts that share one get the pieces of both, which is no harm
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    pieces = folded_pieces(rows, ranks, pattern)
+    top = pieces.orderBy(F.desc("n"), "word").limit(table_words).select("word", "ids").toArrow()
+    common = {w: np.array(ids, dtype="<u4") for w, ids in zip(top.column("word").to_pylist(), top.column("ids").to_pylist(), strict=True)}
+    rare = rows.select("key", "text").mapInArrow(_rare_words(pattern, set(common)), "key long, word string").distinct()
+    # the ids as hexadecimal text turn into bytes at once: four bytes each, the lowest first
+    text = lambda i: _let(F.lpad(F.hex(i.cast("long")), 8, "0"), lambda h: F.concat(*[F.substring(h, at, 2) for at in (7, 5, 3, 1)]))
+    code = F.unhex(F.array_join(F.transform("ids", text), ""))
+    named = rare.join(pieces.select("word", code.alias("ids")).hint("merge"), "word")
+    lists = named.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
+    # merge: the lists grow with the corpus, so the plan is the shuffled one at every size
+    full = rows.join(lists.hint("merge"), "key", "left").select("doc_id", "text", F.coalesce("rare", F.array().cast("array<struct<word:string,ids:binary>>")).alias("rare"))
+    return full.mapInArrow(_encoder(ranks, pattern, common), "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
