@@ -302,11 +302,45 @@ def test_jaccard_of_a_table_with_itself(spark):
     assert len(got) == 2 * len(texts) and {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_jaccard_of_crowded_trees(spark, monkeypatch, block):
+    # large groups of near copies, parts of which are no near copies of each other, under one common hub
+    monkeypatch.setattr(jaccard, "TREE_BLOCK", block)
+    rng = np.random.default_rng(41)
+    texts, at = {}, 0
+    for size in (40, 25, 9):
+        base = [f"s{size}w{k}" for k in range(120)]
+        for _ in range(size):
+            ws = list(base)
+            for k in rng.integers(0, 120, int(rng.integers(0, 7))):
+                ws[k] = f"new{rng.integers(10**6)}"
+            texts[at] = " ".join(ws)
+            at += 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = brute_sets(texts)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_documents(df).collect()} == brute_components(sets)
+    links, members = jaccard.near_pairs(df)
+    rep = {r["doc_id"]: r["rep"] for r in members.collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and rep[a] == a and rep[b] == b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = [(r["a"], r["b"]) for r in links.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert all(sets[a] == sets[r] and r <= a for a, r in rep.items())
+
+
+def test_overlaps_by_products():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 5000, int(n)).astype(np.uint64)) for n in rng.integers(1, 3000, 12)]
+    i, j = np.triu_indices(12, 1)
+    assert jaccard._overlaps(sets, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+
+
 def test_tree_join_loses_no_pair():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 400, 60).astype(np.uint64) * np.uint64(2**40 + 7)) for _ in range(150)]
     points, sizes = jaccard._points([jaccard._point(s) for s in sets]), np.array([len(s) for s in sets])
-    i, j = jaccard.tree_join(points, sizes, 75)
+    i, j = jaccard.RTree(points, sizes).pairs(75)
+    assert len(set(zip(np.minimum(i, j), np.maximum(i, j), strict=True))) == len(i)
+    i, j = np.minimum(i, j), np.maximum(i, j)
     found = set(zip(i.tolist(), j.tolist(), strict=True))
     for a in range(150):
         for b in range(a + 1, 150):
@@ -381,24 +415,55 @@ def test_random_tokens_after_signs(spark):
 # op8 and op10
 
 
-def test_token_files_round_trip(spark, docs):
+END = "<|endoftext|>"
+CUTS = ["a", "b", " ", "  ", "\n", "\u3000", "\xa0", "é", "ç", "×", "÷", "世", "'s", "'", "’", "1", "!", "-", END, "<|endo", "\t", "\x1c", "\x85", "\U0001f600", " the", "x y"]
+
+
+def plain_ids(text):
     from tokenizers import Tokenizer
 
-    path = new_path(spark, "tokens")
-    token_files.write_tokens(docs, path, P.path("byte_bpe_50k.json"))
-    got = rows_of(token_files.read_token_digests(spark, path), "doc_id")
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    return [*Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def same_files(got, texts):
     at = 0
-    for i, text in enumerate(TEXTS):
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
-        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+    for r, text in zip(got, texts, strict=True):
+        ids = plain_ids(text)
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), text
         at += len(ids)
+
+
+def test_token_files_round_trip(spark, docs):
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(docs, path, P.path("byte_bpe_50k.json"))
+    same_files(token_files.read_token_digests(spark, path).orderBy("doc_id").collect(), TEXTS)
     bare = new_path(spark, "tokens")
     token_files.write_tokens(docs.limit(0), bare, P.path("byte_bpe_50k.json"))
     assert token_files.read_token_digests(spark, bare).count() == 0
 
 
+def test_token_files_with_added_tokens_nulls_and_repeats(spark):
+    texts = [END, f"a {END} b", f"  {END}", f"{END}  ", f"x{END}y", f"\n{END}\n{END}", "<|endoftext|", "plain"]
+    path = new_path(spark, "tokens")
+    rows = [(None, "none"), (-5, "below"), (-5, "below"), *((i, t) for i, t in enumerate(texts)), (9, None), (9, "z")]
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, P.path("byte_bpe_50k.json"))
+    got = token_files.read_token_digests(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [r[0] for r in rows]
+    same_files(got, [r[1] for r in rows])
+
+
+def test_cuts_change_no_ids():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(CUTS, rng.integers(0, 14))) for _ in range(4000)]
+    encoder = token_files.ChunkEncoder(P.path("byte_bpe_50k.json"))
+    got = encoder.encode(pa.array(["", None, *texts]))[2:]
+    assert got == [np.array(e.ids, dtype=encoder.dtype).tobytes() for e in encoder.model.encode_batch_fast(texts, add_special_tokens=False)]
+    encoder.coded.most = 0  # nothing stays
+    assert encoder.encode(pa.array(texts)) == got
+
+
 @pytest.fixture(scope="module")
 def library():
     import tiktoken
@@ -416,6 +481,19 @@ def test_bpe_against_the_library(spark, docs, library):
     assert bpe.encode(docs.limit(0), ranks, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("table_words", [0, 5])
+def test_bpe_joins_pieces_outside_the_table(spark, library, table_words):
+    ranks, own = library
+    rng = np.random.default_rng(12)
+    texts = [None, "", *("".join(rng.choice(CUTS, rng.integers(1, 40))) for _ in range(300)), "q" * 4000, "same text", "same text"]
+    rows = [(None if i % 50 == 3 else i, t, t, "clash") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, word string, key string").repartition(4)
+    got = bpe.decode(bpe.encode(df, ranks, P.PATTERN, table_words), ranks).collect()
+    assert len(got) == len(rows)
+    want = sorted((-1 if i is None else i, own.encode_ordinary(t or ""), (t or "").encode()) for i, t, _, _ in rows)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], np.frombuffer(r["ids"], dtype="<u4").tolist(), bytes(r["decoded"])) for r in got) == want
+
+
 def test_fold_and_heap_merge_alike(spark, library):
     ranks, own = library
     words = ["thshin", " anthereion", "cafés", "\U0001f600\U0001f600", "aaaaaaa", "zqxj", " 123456", "a", "%%%&&&"]
@@ -423,7 +501,7 @@ def test_fold_and_heap_merge_alike(spark, library):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = {r["w"]: r["ids"] for r in df.select("w", bpe._let(literal, lambda r: bpe.word_ids(bpe._as_bytes(F.col("w")), r)).alias("ids")).collect()}
     for w in words:
-        assert got[w] == own._encode_single_piece(w) == bpe.heap_merges(w.encode(), ranks) == bpe.list_merges(w.encode(), ranks)
+        assert got[w] == own._encode_single_piece(w) == bpe.heap_merges(w.encode(), ranks)
 
 
 # op9
