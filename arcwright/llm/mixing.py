@@ -1,29 +1,28 @@
 """Mixing sources to target weights by entropy balancing.
 
-The mix that is closest in relative entropy to the corpus, token by token, and meets
-one token constraint per source is an exponential tilt of the documents: a document
-of source s is taken at the rate exp(lambda_s).  The lambdas minimise the convex dual
-
-    sum_s  S_s * exp(lambda_s) - T_s * lambda_s
-
-(S_s tokens present, T_s tokens wanted).  The dual separates by source, so Newton's
-iteration runs as one fold in each source's row.  The rates are then rounded to whole
-copies of documents.
+Among all ways to take the documents of source s at rates r_d between 0 and a cap, so that
+the words taken are the source's target T_s, the one closest in relative entropy to taking
+each document once is an exponential tilt,  r_d = min(cap, exp(lambda_s * x_d)),  with x_d
+the document's words in units of the source's scale.  The lambdas minimise the convex dual,
+whose gradient  sum_d size_d r_d - T_s  and curvature are grouped sums over the documents:
+each Newton step is one distributed aggregation for all sources at once, kept inside a
+bracket that every step narrows, until all gradients are as good as zero.  The rates are
+then rounded to whole copies of documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcwright.functions.durable import settle
+from arcwright.functions.durable import discard, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
-NEWTON_STEPS = 60
 ROUNDING_GROUP = 1024
 
 
@@ -63,14 +62,44 @@ def source_targets(sources: DataFrame, weights: Sequence[float], cap: float, sha
     )
 
 
-def _tilt(size: Column, target: Column) -> Column:
-    """Newton's iteration for lambda on S exp(lambda) - T lambda, started at 0."""
-    ratio = target / size
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(NEWTON_STEPS)),
-        F.lit(0.0),
-        lambda lam, _: lam - (F.exp(lam) - ratio) / F.exp(lam),
-    )
+def balance(sizes: DataFrame, targets: DataFrame, cap: float, max_steps: int = 200) -> DataFrame:
+    """lambda of each source: rows (source_t, scale, lam) for sources with words and a target above 0.
+
+    ``sizes(source_t, size, docs)`` counts documents by size, which is all that the dual
+    asks of them; ``targets(source_t, target)``.  A target at the cap of everything has
+    lambda at the upper end of its bracket.
+    """
+    top = math.log(cap)
+    live = sizes.filter("size > 0").join(targets.filter("target > 0"), F.expr("source_t <=> goal_source")).drop("goal_source")
+    words, square = F.col("size") * F.col("docs"), F.col("size").cast("double") * F.col("size") * F.col("docs")
+    start = live.groupBy("source_t").agg(F.sum(words).alias("s"), (F.sum(square) / F.sum(words)).alias("scale"), F.min("size").alias("least"), F.first("target").alias("target"))
+    ratio, near = F.log(F.col("target") / F.col("s")), F.col("scale") / F.col("least")  # the shortest document's x is 1 / near
+    low, high = F.least(F.lit(0.0), ratio * near), F.when(ratio > 0, top * near).otherwise(0.0)
+    full = F.col("target") >= cap * F.col("s") * (1 - 1e-12)
+    now = start.select("source_t", "scale", "target", low.alias("low"), high.alias("high"), F.when(full, high).otherwise(ratio).alias("lam"), full.alias("done"))
+    now = settle(now, "dual")
+    for _ in range(max_steps):
+        named = now.withColumnRenamed("source_t", "of")
+        x = F.col("size") / F.col("scale")
+        rate = F.exp(F.least(F.lit(top), F.col("lam") * x))
+        slope = F.when(F.col("lam") * x < top, rate * x).otherwise(0.0)
+        sums = live.drop("target").join(named.filter("not done").select("of", "scale", "lam"), F.expr("source_t <=> of"))
+        sums = sums.groupBy("source_t").agg(F.sum(words * rate).alias("f"), F.sum(words * slope).alias("h")).withColumnRenamed("source_t", "of_sum")
+        told = now.join(sums, F.expr("source_t <=> of_sum"), "left")
+        gap = F.col("f") - F.col("target")
+        told = told.withColumn("low", F.when(gap <= 0, F.col("lam")).otherwise(F.col("low"))).withColumn("high", F.when(gap >= 0, F.col("lam")).otherwise(F.col("high")))
+        newton = F.col("lam") - gap / F.col("h")
+        inside = (F.col("h") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
+        good = (F.abs(gap) <= 1e-9 * F.col("target")) | (F.col("high") - F.col("low") <= 1e-12 * F.greatest(F.lit(1.0), F.abs("lam")))
+        done = F.col("done") | F.coalesce(good, F.lit(True))
+        lam = F.when(done, F.col("lam")).when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+        left = Observation()
+        after = settle(told.select("source_t", "scale", "target", "low", "high", lam.alias("lam"), done.alias("done")).observe(left, F.count_if(~F.col("done")).alias("n")), "dual")
+        discard(now)
+        now = after
+        if not left.get.get("n"):
+            return now.select("source_t", "scale", "lam")
+    raise RuntimeError("the dual did not settle")
 
 
 def _round_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,14 +151,16 @@ def _plan(docs: DataFrame, weights: Sequence[float], cap: int) -> DataFrame:
     # rows without a doc_id are spread by their content: they are no group of their own
     turn = F.when(F.col("doc_id").isNull(), F.col("_mix_x")).otherwise(F.xxhash64("doc_id"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))
-    targets = source_targets(sources, weights, cap).withColumn(
-        "rate",
-        F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.least(F.lit(float(cap)), F.exp(_tilt(F.col("source_size"), F.col("target"))))).otherwise(0.0),
-    )
-    t = targets.withColumnRenamed("source", "source_t")
+    targets = settle(source_targets(sources, weights, cap), "targets")
+    counted = settle(sized.groupBy(F.col("source").alias("source_t"), "size").agg(F.count("*").alias("docs")), "counted")
+    tilts = balance(counted, targets.select(F.col("source").alias("goal_source"), "target"), float(cap)).withColumnRenamed("source_t", "source_l")
+    t = targets.withColumnRenamed("source", "source_t").join(tilts, F.expr("source_t <=> source_l"), "left").drop("source_l")
+    tilt = F.exp(F.least(F.lit(math.log(cap)), F.col("lam") * F.col("size") / F.col("scale")))
+    rate = F.when(F.col("lam").isNull(), 0.0).when(F.col("size") == 0, 1.0).otherwise(tilt)
     near = F.abs(F.col("rate") - F.round("rate")) < 1e-9
     rows = (
-        sized.join(t, sized["source"].eqNullSafe(t["source_t"]))
+        sized.join(t, F.expr("source <=> source_t"))
+        .withColumn("rate", rate)
         .withColumn("rate", F.when(near, F.round("rate")).otherwise(F.col("rate")))
         # a source is cut into groups of about ROUNDING_GROUP documents, so a hot source is no hot key
         .withColumn("sub", F.pmod(turn, F.ceil(F.col("source_docs") / F.lit(ROUNDING_GROUP))))
