@@ -30,6 +30,7 @@ from arcwright.llm.shingles import Shingler
 
 TRAIN_DOCS = 3000
 TRAIN_CHARS = 10_000
+TRAIN_SLICE = 250
 STEPS = 40
 FLOOR = 5  # distinct toxic training texts that a feature is seen in to be telling by itself
 RARE = 2  # and at least to take part by its smoothed score
@@ -166,34 +167,44 @@ def train(texts: list[str], toxic: np.ndarray) -> Crf:
     del number, seen, words
     of_word = np.array([[known.get(f, len(known)) for f in features_of(w)] for w in vocabulary], dtype=np.int32).reshape(-1, 3)
     word_toxic = np.array([max(telling.get(f, 0.0) for f in features_of(w)) for w in vocabulary])
-    lengths = np.array([len(seq) for seq in seqs])
-    tokens = np.concatenate(seqs) if len(seqs) else np.zeros(0, dtype=np.int32)
-    f = of_word[tokens]
-    y = word_toxic[tokens] * np.repeat(toxic > 0, lengths)
-    packed = Packed(lengths)
-    f, y = f[packed.order], y[packed.order]
-    same = Packed.__new__(Packed)
-    same.live, same.at, same.order = packed.live, packed.at, np.arange(len(y))
-    left, right = _pairs(packed)
-    gold = np.array([((1 - y[left]) * (1 - y[right])).sum(), ((1 - y[left]) * y[right]).sum(), (y[left] * (1 - y[right])).sum(), (y[left] * y[right]).sum()])
-    observed = np.bincount(f.ravel(), np.repeat(y, 3), len(known) + 1)
+    # slices of sequences, so that a step holds the arrays of one slice alone
+    parts, observed, gold, total = [], np.zeros(len(known) + 1), np.zeros(4), 0.0
+    for a in range(0, len(seqs), TRAIN_SLICE):
+        lengths = np.array([len(seq) for seq in seqs[a : a + TRAIN_SLICE]])
+        tokens = np.concatenate(seqs[a : a + TRAIN_SLICE])
+        packed = Packed(lengths)
+        y = (word_toxic[tokens] * np.repeat(toxic[a : a + TRAIN_SLICE] > 0, lengths))[packed.order]
+        f = of_word[tokens[packed.order]]
+        packed.order = np.arange(len(y))
+        left, right = _pairs(packed)
+        gold += [((1 - y[left]) * (1 - y[right])).sum(), ((1 - y[left]) * y[right]).sum(), (y[left] * (1 - y[right])).sum(), (y[left] * y[right]).sum()]
+        observed += np.bincount(f.ravel(), np.repeat(y, 3), len(known) + 1)
+        total += y.sum()
+        parts.append((f, packed))
+    del seqs, tokens, y
     size = len(known) + 2 + 4  # features, unknown, bias, moves
     theta, m1, m2 = np.zeros(size), np.zeros(size), np.zeros(size)
     theta[len(known) + 1] = -2.0
     for step in range(1, STEPS + 1):
         w, bias, moves = theta[: len(known) + 1], theta[len(known) + 1], tuple(theta[-4:])
-        e = w[f].sum(axis=1) + bias
-        p, a, b, x = marginals(e, same, moves)
         t00, t01, t10, t11 = np.exp(moves)
-        al, be = a[left], x[right] * b[right]
-        joint = np.stack([(1 - al) * t00, (1 - al) * t01 * be, al * t10, al * t11 * be])
-        joint /= joint.sum(axis=0)
-        g = np.concatenate([np.bincount(f.ravel(), np.repeat(p, 3), len(known) + 1) - observed, [p.sum() - y.sum()], joint.sum(axis=1) - gold])
+        g = np.concatenate([-observed, [-total], -gold])
+        for f, packed in parts:
+            p, a, b, x = marginals(w[f[:, 0]] + w[f[:, 1]] + w[f[:, 2]] + bias, packed, moves)
+            left, right = _pairs(packed)
+            al, be = a[left], x[right] * b[right]
+            joint = np.stack([(1 - al) * t00, (1 - al) * t01 * be, al * t10, al * t11 * be])
+            joint /= joint.sum(axis=0)
+            for k in range(3):
+                g[: len(known) + 1] += np.bincount(f[:, k], p, len(known) + 1)
+            g[len(known) + 1] += p.sum()
+            g[-4:] += joint.sum(axis=1)
         g = g / len(texts) + 1e-4 * theta
         g[len(known)] = 0.0  # features outside the training vocabulary weigh nothing
         g[-4] = 0.0
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         theta -= 0.3 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+    del parts
     names = list(known)
     model = Crf({names[i]: float(theta[i]) for i in np.flatnonzero(np.abs(theta[: len(known)]) > 0.05)}, float(theta[len(known) + 1]), tuple(float(v) for v in theta[-4:]))
     scorer = Scorer(model)
