@@ -559,3 +559,22 @@ def test_mix_takes_rows_as_planned_with_null_ids_and_repeats(spark):
         most[tuple(r)] = most.get(tuple(r), 0) + 1
     assert got == {at: n for at, n in planned.items() if n}
     assert all(n <= 3 * rows.count(r) for r, n in most.items()) and any(r[0] is None for r in most)
+
+
+def test_rates_against_a_dense_solver(spark):
+    rng = np.random.default_rng(23)
+    sizes = {s: rng.integers(0, 400, 150) for s in ("a", "b", "c", "d")} | {None: np.array([0, 7, 7, 9000])}
+    rows = [(i, " ".join(["w"] * int(n)), s) for s, ns in sizes.items() for i, n in enumerate(ns)]
+    got = mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s, ns in sizes.items():
+        mine = [r for r in got if r["source"] == s]
+        x, target = ns / (float((ns.astype(float) ** 2).sum()) / ns.sum()), mine[0]["target"]
+        low, high = -1e5, 1e5
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if (ns * np.minimum(3, np.exp(np.minimum(mid * x, 5)))).sum() > target else (mid, high)
+        rate = {int(n): min(3.0, float(np.exp(min(low * n / ns[ns > 0].astype(float).dot(ns[ns > 0]) * ns.sum(), 5)))) for n in ns if n}
+        for r in mine:
+            if r["size"]:
+                assert abs(r["rate"] - rate[r["size"]]) < 1e-5, (s, r)
+    assert {r["copies"] for r in got if r["size"] == 9000} <= {0, 1, 2, 3}
