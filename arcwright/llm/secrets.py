@@ -1,17 +1,23 @@
 """Secret scans with DataFrame functions alone.
 
 Base rules find assignments, access keys and hexadecimal runs.  Beside them a battery of
-randomness tests looks at every long token: the encoding is inferred from its letters,
-then the token must not be told apart from uniform draws of that alphabet by a chi-squared
-test on letter counts, a runs test on letters above and below the middle of the alphabet,
-and the lag-one serial correlation.  Tokens that pass are reported if their number of
-changes between letter classes is beyond what text shows: a Chernoff bound gives each
-token a p-value whose reach grows with its length, and the Benjamini-Hochberg rule is
-applied within each encoding and length band.
+randomness tests looks at every long token.  The encoding is inferred from its letters, and
+the token is held against uniform draws of that alphabet: chi-squared on the letter counts
+(through the number of equal pairs of letters, whose tail is Poisson's while few are
+expected, and normal beyond), runs of letters above and below the middle of the alphabet,
+and the lag-one serial correlation.  Fisher's rule makes one p-value of the three.
+
+Random tokens have p-values spread evenly over 0..1, and text has them near 0.  So within
+each encoding and length band the number of p-values above 1/2 tells how many tokens are
+random, hence what share of the tokens above any cut is not; the least cut that keeps this
+share below FDR is taken, and tokens above it are reported.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +27,9 @@ HEX = r"[0-9a-f]{16,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*"
 KINDS = ("assign", "access", "hex", "random")
 
-TEXT_SWITCH_RATE = 0.15  # letter-class changes per step that text may show
-TEST_Z = 3.3  # a battery test rejects randomness beyond this
-FDR = 0.01
-BINS_PER_DECADE = 4
-MOST_BINS = 120
+FDR = 0.1  # most of the reported tokens of a band that may be no random ones
+CUTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
+FEW_PAIRS = 200.0  # beyond so many expected equal pairs their number counts as normal
 
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -45,26 +49,35 @@ def _located(text: Column, pattern: str, guard: Column, keep: tuple[int, int]) -
         F.transform(whole, lambda x: F.length(x)).alias("len"),
         F.transform(part, lambda x: F.length(x) >= least).alias("ok"),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPANS).alias("found"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
-    walked = F.aggregate(
-        steps,
-        start,
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.coalesce(s["len"], F.lit(0))).alias("at"),
-            F.when(s["ok"], F.concat(acc["found"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["len"]).alias("end")))))
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
-    )
-    return F.coalesce(F.when(guard, walked).otherwise(empty)["found"], F.array().cast(_SPANS))
+    ends = _let(F.transform(steps, lambda s: s["gap"] + F.coalesce(s["len"], F.lit(0))), _running)
+    found = _let(steps, lambda x: F.filter(F.transform(ends, lambda e, i: F.struct((e - x[i]["len"]).alias("start"), e.alias("end"), x[i]["ok"].alias("ok"))), lambda y: y["ok"]))
+    spans = F.transform(found, lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end")))
+    return F.coalesce(F.when(guard, spans), F.array().cast(_SPANS))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once: a one-element transform."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(x: Column) -> Column:
+    """Running sums of an array of numbers.
+
+    An array that grows by one element a step costs the square of its length, so sums run
+    within blocks of about the root of the length, and then over the blocks.
+    """
+    size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int"))
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+    sums = lambda a: F.aggregate(a, F.array().cast("array<int>"), lambda acc, y: F.concat(acc, F.array(last(acc) + y)))
+    blocks = _let(size, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), n), lambda a: sums(F.slice(x, a, n))))
+    whole = lambda b: _let(sums(F.transform(b, last)), lambda t: F.flatten(F.transform(b, lambda y, i: F.transform(y, lambda v: v + F.when(i > 0, F.get(t, i - 1)).otherwise(0)))))
+    return _let(blocks, whole)
 
 
-def _encoding(token: Column) -> Column:
-    bare = F.rtrim(token, F.lit("="))
+def _encoding(bare: Column) -> Column:
     return (
-        F.when(bare.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
-        .when(bare.rlike(r"^[A-Z2-7]+$"), F.lit("base32"))
+        F.when(bare.rlike(r"^([0-9a-f]+|[0-9A-F]+)$") & bare.rlike("[0-9]") & bare.rlike("[A-Fa-f]"), F.lit("hex"))
+        .when(bare.rlike(r"^[A-Z2-7]+$") & bare.rlike("[2-7]"), F.lit("base32"))
         .when(bare.rlike(r"^[A-Za-z0-9]+$"), F.lit("base62"))
         .otherwise(F.lit("base64"))
     )
@@ -78,64 +91,93 @@ _ALPHABETS = {
 }
 
 
+def _two_sided(z: Column) -> Column:
+    """Chance of a standard normal beyond |z| (Abramowitz and Stegun 7.1.26)."""
+    x = F.least(F.abs(z), F.lit(12.0)) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return F.greatest(poly * F.exp(-x * x), F.lit(1e-30))
+
+
+def _pairs_tail(pairs: Column, mean: Column, k: Column) -> Column:
+    """Two-sided chance of so many equal pairs of letters when ``mean`` are expected."""
+    term = F.struct(F.exp(-mean).alias("term"), F.lit(0.0).alias("below"))
+    steps = F.sequence(F.lit(1), F.least(pairs, 10 * mean + 100).cast("int"))
+    # below: P(X < pairs); term: P(X = pairs)
+    walked = F.when(pairs < 1, term).otherwise(F.aggregate(steps, term, lambda a, i: F.struct((a["term"] * mean / i).alias("term"), (a["below"] + a["term"]).alias("below"))))
+    poisson = _let(walked, lambda w: F.least(F.lit(1.0), 2 * F.least(F.greatest(1 - w["below"], F.lit(1e-30)), F.greatest(w["below"] + w["term"], F.lit(1e-30)))))
+    return F.when(mean <= FEW_PAIRS, F.when(pairs > 10 * mean + 100, 1e-30).otherwise(poisson)).otherwise(_two_sided((pairs - mean) / F.sqrt(mean * (1 - 1 / k))))
+
+
 def _battery(token: Column) -> Column:
-    """struct(encoding, n, passes, p): the three tests and the class-change p-value."""
-    encoding = _encoding(token)
-    bare = F.rtrim(token, F.lit("="))
-    same_case = F.when(encoding == "hex", F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
-    k = F.when(encoding == "hex", 16).when(encoding == "base32", 32).when(encoding == "base62", 62).otherwise(64)
-    alphabet = F.when(encoding == "hex", _ALPHABETS["hex"]).when(encoding == "base32", _ALPHABETS["base32"]).when(encoding == "base62", _ALPHABETS["base62"]).otherwise(_ALPHABETS["base64"])
-    letters = F.transform(F.sequence(F.lit(1), F.length(same_case)), lambda i: F.substring(same_case, i, F.lit(1)))
-    facts = F.struct(
-        encoding.alias("encoding"),
-        k.cast("double").alias("k"),
-        F.length(same_case).cast("double").alias("n"),
-        F.transform(letters, lambda c: F.position(c, alphabet).cast("double")).alias("v"),
-        F.transform(letters, lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).otherwise(3)).alias("c"),
-    )
-    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
-
-    def tests(x: Column) -> Column:
-        n, kk, v = x["n"], x["k"], x["v"]
-        steps = F.sequence(F.lit(1), F.size(v) - 1)
-        squares = total(F.array_distinct(v), lambda d: F.pow(F.size(F.filter(v, lambda y: y == d)).cast("double"), F.lit(2.0)))
-        chi_z = (kk / n * squares - n - (kk - 1)) / F.sqrt(2 * (kk - 1) * (n - 1) / n)
-        high = total(v, lambda y: F.when(y * 2 > kk, 1.0).otherwise(0.0))
-        runs = 1.0 + total(steps, lambda i: F.when((F.element_at(v, i) * 2 > kk) != (F.element_at(v, i + 1) * 2 > kk), 1.0).otherwise(0.0))
-        pairs = 2 * high * (n - high)
-        run_var = pairs * (pairs - n) / (n * n * (n - 1))
-        run_z = F.when(run_var > 0, (runs - pairs / n - 1) / F.sqrt(run_var)).otherwise(99.0)
-        mean = total(v, lambda y: y) / n
-        spread = total(v, lambda y: (y - mean) * (y - mean))
-        lag = total(steps, lambda i: (F.element_at(v, i) - mean) * (F.element_at(v, i + 1) - mean))
-        serial_z = F.when(spread > 0, lag / spread * F.sqrt(n)).otherwise(99.0)
-        switches = total(steps, lambda i: F.when(F.element_at(x["c"], i) != F.element_at(x["c"], i + 1), 1.0).otherwise(0.0))
-        rate, null = switches / (n - 1), F.lit(TEXT_SWITCH_RATE)
-        some = F.greatest(rate, F.lit(1e-12))
-        kl = some * F.log(some / null) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - null))).otherwise(0.0)
-        log_p = F.when(rate > null, (n - 1) * kl / F.log(F.lit(10.0))).otherwise(0.0)  # -log10 p
-        return F.struct(
-            x["encoding"].alias("encoding"),
-            F.floor(F.log2(n)).cast("int").alias("band"),
-            ((F.abs(chi_z) <= TEST_Z) & (F.abs(run_z) <= TEST_Z) & (F.abs(serial_z) <= TEST_Z)).alias("passes"),
-            F.least(F.floor(log_p * BINS_PER_DECADE), F.lit(MOST_BINS)).cast("int").alias("bin"),
-        )
-
-    return F.transform(F.array(facts), tests)[0]
+    """struct(encoding, band, p, bin): the combined p-value, and how many of CUTS it exceeds.
+
+    All sums are one fold over the letters and one count for each letter of the alphabet,
+    so the time is in proportion to the token's length.
+    """
+
+    def bound(bare: Column) -> Column:
+        return _let(_encoding(bare), lambda e: facts(bare, e))
+
+    def facts(bare: Column, encoding: Column) -> Column:
+        same_case = F.when(encoding == "hex", F.lower(bare)).otherwise(F.translate(bare, "-_", "+/"))
+        alphabet = F.when(encoding == "hex", _ALPHABETS["hex"]).when(encoding == "base32", _ALPHABETS["base32"]).when(encoding == "base62", _ALPHABETS["base62"]).otherwise(_ALPHABETS["base64"])
+        k = F.when(encoding == "hex", 16.0).when(encoding == "base32", 32.0).when(encoding == "base62", 62.0).otherwise(64.0)
+        return _let(F.struct(same_case.alias("s"), alphabet.alias("a"), k.alias("k"), F.length(same_case).cast("double").alias("n"), encoding.alias("e")), sums)
+
+    def sums(x: Column) -> Column:
+        squares = F.aggregate(F.split(x["a"], ""), F.lit(0.0), lambda acc, c: acc + F.pow(x["n"] - F.length(F.replace(x["s"], c, F.lit(""))), F.lit(2.0)))
+        zero = F.lit(0.0)
+        start = F.struct(*[zero.alias(c) for c in ("high", "runs", "s1", "s2", "s11", "first", "last")])
+
+        def step(acc: Column, c: Column) -> Column:
+            return _let(F.position(c, x["a"]).cast("double"), lambda v: moved(acc, v))
+
+        def moved(acc: Column, v: Column) -> Column:
+            begun = acc["last"] > 0
+            change = F.when(begun & ((acc["last"] * 2 > x["k"]) == (v * 2 > x["k"])), 0.0).otherwise(1.0)
+            return F.struct(
+                (acc["high"] + F.when(v * 2 > x["k"], 1.0).otherwise(0.0)).alias("high"),
+                (acc["runs"] + change).alias("runs"),
+                (acc["s1"] + v).alias("s1"),
+                (acc["s2"] + v * v).alias("s2"),
+                (acc["s11"] + acc["last"] * v).alias("s11"),
+                F.when(begun, acc["first"]).otherwise(v).alias("first"),
+                v.alias("last"),
+            )
+
+        letters = F.filter(F.split(x["s"], ""), lambda c: c != "")
+        return _let(F.struct(x.alias("x"), squares.alias("q"), F.aggregate(letters, start, step).alias("w")), lambda y: tests(y["x"], y["q"], y["w"]))
+
+    def tests(x: Column, squares: Column, w: Column) -> Column:
+        n, k = x["n"], x["k"]
+        chi = _pairs_tail((squares - n) / 2, n * (n - 1) / (2 * k), k)
+        both = 2 * w["high"] * (n - w["high"])
+        spread = both * (both - n) / (n * n * (n - 1))
+        runs = F.when(spread > 0, _two_sided((w["runs"] - both / n - 1) / F.sqrt(spread))).otherwise(1e-30)
+        mean = w["s1"] / n
+        around = w["s2"] - n * mean * mean
+        lag = w["s11"] - mean * (2 * w["s1"] - w["first"] - w["last"]) + (n - 1) * mean * mean
+        serial = F.when(around > 0, _two_sided((lag / around + 1 / n) * F.sqrt(n))).otherwise(1e-30)
+        fisher = lambda g: F.exp(-g) * (1 + g + g * g / 2)
+        p = _let(-(F.log(chi) + F.log(runs) + F.log(serial)), fisher)
+        return _let(p, lambda v: F.struct(x["e"].alias("encoding"), F.floor(F.log2(n)).cast("int").alias("band"), v.alias("p"), sum((F.when(v > c, 1).otherwise(0) for c in CUTS), F.lit(0)).alias("bin")))
+
+    return _let(F.rtrim(token, F.lit("=")), bound)
 
 
 def fdr_cuts(tokens: DataFrame) -> dict[str, int]:
-    """The least bin of -log10 p to report, by encoding and length band.
+    """The least number of CUTS to exceed, by encoding and length band.
 
-    ``tokens`` has the columns encoding, band, passes, bin.  p-values are counted in bins,
-    so the driver sees at most 4 encodings x 31 bands, whatever the corpus: a bin is
-    reported if  m * 10^(-bin/4) <= FDR * (tokens at this bin or beyond).
+    ``tokens`` has the columns encoding, band, bin.  The driver sees one row for each of at
+    most 4 encodings x 31 bands, whatever the corpus.  With m tokens above 1/2, one counted
+    on top, about 2 (m + 1) are random; of N tokens above a cut c, N - 2 (m + 1) (1 - c) are not.
     """
-    by = tokens.groupBy("encoding", "band", "bin").agg(F.count("*").alias("all"), F.count_if("passes").alias("good"))
-    grid = by.groupBy("encoding", "band").agg(F.sum("all").alias("m"), F.collect_list(F.struct("bin", "good")).alias("bins"))
-    beyond = lambda b: F.aggregate(F.filter("bins", lambda y: y["bin"] >= b), F.lit(0).cast("long"), lambda s, y: s + y["good"])
-    ok = F.filter("bins", lambda x: (x["bin"] > 0) & (F.col("m") * F.pow(F.lit(10.0), -x["bin"] / BINS_PER_DECADE) <= FDR * beyond(x["bin"])))
-    cuts = grid.select("encoding", "band", F.array_min(F.transform(ok, lambda x: x["bin"])).alias("cut")).filter("cut is not null")
+    above = [F.count_if(F.col("bin") > i).alias(f"n{i}") for i in range(len(CUTS))]
+    grid = tokens.groupBy("encoding", "band").agg(*above)
+    random = 2.0 * (F.col(f"n{len(CUTS) - 1}") + 1)
+    ok = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i}") - random * (1 - c) <= FDR * F.col(f"n{i}")), i + 1) for i, c in enumerate(CUTS)]
+    cuts = grid.select("encoding", "band", F.coalesce(*ok).alias("cut")).filter("cut is not null")
     return {f"{r['encoding']}:{r['band']}": r["cut"] for r in cuts.collect()}
 
 
@@ -144,7 +186,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Returns one row per row of ``docs``: doc_id and, for each of the kinds assign, access,
     hex and random, an array of (start, end) in code points, end exclusive.  A null text is
-    an empty one.  Repeated rows are scanned one by one; other columns are ignored.
+    an empty one.  Repeated rows are scanned one by one; other columns are ignored.  Long
+    tokens and texts with many spans take time in proportion to their length, or nearly so.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
@@ -164,7 +207,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
         def random(s: Column) -> Column:
             t = _battery(F.substring("text", s["start"] + 1, s["end"] - s["start"]))
-            return F.transform(F.array(t), lambda y: y["passes"] & (y["bin"] >= F.coalesce(F.try_element_at(table, F.concat_ws(":", y["encoding"], y["band"].cast("string"))), F.lit(MOST_BINS + 1))))[0]
+            return _let(t, lambda y: y["bin"] >= F.coalesce(F.try_element_at(table, F.concat_ws(":", y["encoding"], y["band"].cast("string"))), F.lit(len(CUTS) + 1)))
 
         found = found.withColumn("random", F.filter("long", random))
     else:
