@@ -128,6 +128,10 @@ _DREACH = """dreach as (
   select r.graph_id, r.u, a.v from dreach r join arcs a on a.graph_id = r.graph_id and a.u = r.v),
 sccs as (select a.graph_id, a.u as vid, min(a.v) as scc from dreach a join dreach b on b.graph_id = a.graph_id and b.u = a.v and b.v = a.u group by all)"""
 register("strong_components", "click", connectivity.strong_components, f"recursive:{_DREACH}\n----select graph_id, vid, scc from sccs")
+register("strong_components_trade", "trade", connectivity.strong_components, f"recursive:{_DREACH}\n----select graph_id, vid, scc from sccs")
+# whole tables on which the comparing engine's recursion does not end; held against union-find in the tests
+register("connected_components_all", "cs", connectivity.connected_components, None)
+register("component_summary_all", "purchases", connectivity.component_summary, None)
 register("strong_count", "click", connectivity.strong_count, f"recursive:{_DREACH}\n----select graph_id, count(distinct scc) as strong_components, count(distinct scc) = 1 as strongly_connected from sccs group by all")
 register(
     "disconnecting_set",
@@ -207,6 +211,7 @@ hop as (select graph_id, s, v, min(d) as d from bfs group by all)"""
 _HOP_OUT = "select a.graph_id, a.vid as s, b.vid as v, coalesce(h.d, -1) as hops from vertices a join vertices b on a.graph_id = b.graph_id left join hop h on h.graph_id = a.graph_id and h.s = a.vid and h.v = b.vid where a.vid < {most}"
 register("hop_distance", "click", lambda g: distance.hop_distance(g, first_sources(g)), f"recursive:{_HOPS.format(most=5, steps='arcs', bound=5)}\n----{_HOP_OUT.format(most=5)}")
 register("underlying_hop_distance", "sparse", lambda g: distance.underlying_hop_distance(g, first_sources(g)), f"recursive:{_HOPS.format(most=5, steps='nbrs', bound=60)}\n----{_HOP_OUT.format(most=5)}")
+register("hop_distance_trade", "trade", lambda g: distance.hop_distance(g, distance.all_sources(g)), f"recursive:{_HOPS.format(most=10**9, steps='arcs', bound=25)}\n----{_HOP_OUT.format(most=10**9)}")
 _WAYS = """way as (
   select graph_id, vid as s, vid as v, [vid] as path, cast(0 as double) as d from vertices
   union
@@ -239,6 +244,8 @@ thru as (select g.graph_id, x.vid, sum(1.0::double / c) as b from geo g join cnt
 ----select v.graph_id, v.vid, round(case when n > 2 then coalesce(b, 0) / ((n - 1) * (n - 2)) else 0 end, 9) as betweenness from vertices v join sz using (graph_id) left join thru on thru.graph_id = v.graph_id and thru.vid = v.vid""",
 )
 
+register("vertex_report", "click", distance.vertex_report, None)
+
 # pairs
 register(
     "pair_adjacency",
@@ -280,7 +287,7 @@ register(
 )
 register(
     "trails",
-    "click",
+    "visit",
     lambda g: _array_as_text(pairs.trails(g, all_pairs(g)), "trail"),
     """recursive:tr as (
   select graph_id, vid as s, vid as e, []::bigint[] as trail from vertices
@@ -300,6 +307,16 @@ register(
 ----select p.graph_id, p.s, p.t, cast(l.i as integer) as length, coalesce(c, 0) as walks from p join sz using (graph_id) join range(1, 9) l(i) on l.i <= least(greatest(n, 4), 8)
 left join wc on wc.graph_id = p.graph_id and wc.s = p.s and wc.v = p.t and wc.length = l.i""",
 )
+register(
+    "example_walk",
+    "click",
+    lambda g: _array_as_text(pairs.example_walk(g, all_pairs(g)), "walk"),
+    f"""recursive:{_SIZE}, ew as (
+  select graph_id, vid as s, vid as e, [vid] as walk from vertices
+  union
+  select graph_id, s, e, min(walk) from (select w.graph_id, m.u as s, w.e, list_prepend(m.u, w.walk) as walk from ew w join mult m on m.graph_id = w.graph_id and m.v = w.s where len(w.walk) < 9) y group by graph_id, s, e)
+----select graph_id, s, e as t, cast(len(walk) - 1 as integer) as length, array_to_string(walk, ',') as walk from ew join sz using (graph_id) where len(walk) > 1 and len(walk) - 1 <= least(greatest(n, 4), 8)""",
+)
 register(
     "semipath",
     "click",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from arcwright.functions.durable import settle
 from arcwright.operators.components import star_components
 from arcwright.operators.connectivity import component_count, component_roots
-from arcwright.operators.distance import _levels
+from arcwright.operators.distance import reached_from
 from arcwright.operators.model import Graphs
 
 
@@ -23,7 +23,7 @@ def _tree(g: Graphs) -> tuple[DataFrame, DataFrame, int]:
     base = g.graphs.select("graph_id", "base")
     nbrs = settle(g.nbrs().select("graph_id", "u", "v"), "nbrs")
     roots = component_roots(g)
-    levels = settle(_levels(nbrs, roots.select("graph_id", F.col("root").alias("s")).distinct(), 100_000).join(base, "graph_id").select((F.col("base") + F.col("v")).alias("id"), "d"), "levels")
+    levels = settle(reached_from(nbrs, roots.select("graph_id", F.col("root").alias("s")).distinct()).join(base, "graph_id").select((F.col("base") + F.col("v")).alias("id"), "d"), "levels")
     pairs = settle(nbrs.join(base, "graph_id").select((F.col("base") + F.col("u")).alias("u"), (F.col("base") + F.col("v")).alias("v")), "pairs")
     du, dv = levels.select(F.col("id").alias("u"), F.col("d").alias("du")), levels.select(F.col("id").alias("v"), F.col("d").alias("dv"))
     par = pairs.join(du, "u").join(dv, "v").filter("du = dv - 1").groupBy(F.col("v").alias("id")).agg(F.min("u").alias("par"))

@@ -10,10 +10,9 @@ from arcwright.operators.model import Graphs
 from arcwright.operators.stats import order_size, possible_arcs
 
 
-def complement(g: Graphs, most_vertices: int = 5_000) -> DataFrame:
-    """Non-adjacent pairs of each graph of up to ``most_vertices`` (the output is quadratic in n)."""
-    n = g.vertices.groupBy("graph_id").agg(F.count("*").alias("n")).filter(F.col("n") <= most_vertices)
-    v = g.vertices.join(n, "graph_id", "left_semi").join(g.graphs.select("graph_id", "directed"), "graph_id")
+def complement(g: Graphs) -> DataFrame:
+    """Non-adjacent pairs of each graph; the output is quadratic in n, and it is whole."""
+    v = g.vertices.join(g.graphs.select("graph_id", "directed"), "graph_id")
     a = v.select("graph_id", "directed", F.col("vid").alias("u"))
     b = v.select("graph_id", F.col("vid").alias("v"))
     every = a.join(b, "graph_id").filter("u < v or (directed and u <> v)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arcwright.functions.durable import discard, settle
@@ -50,52 +50,60 @@ def component_summary(g: Graphs) -> DataFrame:
     return d.select("graph_id", "root", "n", "m", ((F.col("m") == F.col("n") - 1) & (F.col("loops") == 0)).alias("is_tree"))
 
 
-def _spread(label: DataFrame, steps: DataFrame, within: bool, label_name: str) -> DataFrame:
-    """Push the least label along steps(u -> v) to a fixed point; ``within`` keeps to one colour."""
-    now = settle(label, "spread")
+def _least_reaching(own: DataFrame, steps: DataFrame) -> DataFrame:
+    """(id, x): the least label among the vertices that reach each vertex over steps(u -> v).
+
+    ``own(id, label)`` has labels that differ.  Besides one step, each round also jumps to
+    the label that the vertex behind one's own label has found, so long ways take few rounds.
+    """
+    now = settle(own.select("id", "label", F.col("label").alias("x")), "spread")
     while True:
-        heads = now.select(F.col("id").alias("u"), F.col("x").alias("ux"), *([F.col("c").alias("uc")] if within else []))
-        moved = steps.join(heads, "u").select(F.col("v").alias("id"), "ux", *(["uc"] if within else []))
-        if within:
-            moved = moved.groupBy("id", F.col("uc").alias("c")).agg(F.min("ux").alias("got"))
-            after = now.join(moved, ["id", "c"], "left")
-        else:
-            after = now.join(moved.groupBy("id").agg(F.min("ux").alias("got")), "id", "left")
-        after = settle(after.select(*[c for c in now.columns if c != "x"], F.least("x", F.coalesce("got", "x")).alias("x"), (F.col("got") < F.col("x")).alias("up")), "spread")
-        more = after.filter("up").limit(1).count()
+        moved = steps.join(now.select(F.col("id").alias("u"), F.col("x").alias("got")), "u").groupBy(F.col("v").alias("id")).agg(F.min("got").alias("got"))
+        stepped = now.join(moved, "id", "left").select("id", "label", F.col("x").alias("old"), F.least("x", F.coalesce("got", "x")).alias("x1"))
+        jumped = stepped.join(now.select(F.col("label").alias("x1"), F.col("x").alias("far")), "x1", "left")
+        changed = Observation()
+        after = jumped.select("id", "label", F.least("x1", F.coalesce("far", "x1")).alias("x"), (F.col("old") != F.least("x1", F.coalesce("far", "x1"))).alias("up"))
+        after = settle(after.observe(changed, F.count_if("up").alias("n")).drop("up"), "spread")
         discard(now)
-        now = after.drop("up")
-        if not more:
-            return now
+        now = after
+        if not changed.get.get("n"):
+            return now.select("id", "x")
 
 
-def strong_components(g: Graphs, max_rounds: int = 200) -> DataFrame:
+def strong_components(g: Graphs) -> DataFrame:
     """(graph_id, vid, scc): least vid of each vertex's strong component.
 
-    Colouring: every vertex takes the least id that reaches it; inside a colour, the
-    vertices that reach the colour's own vertex back are its strong component.  Rounds go
-    on with what is left.  An undirected graph's strong components are its components.
+    Every round labels the vertices anew at random and finds for each the least label that
+    reaches it and the least label that it reaches.  Where both are one vertex, that vertex
+    is in its strong component.  Vertices whose two labels differ from those of a neighbour
+    are in another component than it, so arcs between them go; vertices that have lost all
+    arcs on one side stand alone.  What is left is cut up as by quicksort, so the number of
+    rounds follows the logarithm of the longest way.
     """
     arcs = g.arcs().join(g.graphs.select("graph_id", "base"), "graph_id")
     steps = settle(arcs.select((F.col("base") + F.col("u")).alias("u"), (F.col("base") + F.col("v")).alias("v")), "steps")
     vertices = g.vertices.join(g.graphs.select("graph_id", "base"), "graph_id").select("graph_id", "vid", (F.col("base") + F.col("vid")).alias("id"), "base")
-    left = settle(vertices.select("id"), "left")
-    done: DataFrame | None = None
-    for _ in range(max_rounds):
-        live = settle(steps.join(left.withColumnRenamed("id", "u"), "u", "left_semi").join(left.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"), "live")
-        colour = _spread(left.select("id", F.col("id").alias("x")), live, False, "x")
-        back = live.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        start = colour.select("id", F.col("x").alias("c"), F.when(F.col("id") == F.col("x"), 0).otherwise(1).alias("x"))
-        reached = _spread(start, back, True, "x")
-        found = settle(reached.filter("x = 0").select("id", F.col("c").alias("root")), "sccs")
-        done = found if done is None else done.union(found)
-        rest = settle(left.join(found, "id", "left_anti"), "left")
-        left = rest
-        if not left.limit(1).count():
-            break
-    else:
-        raise RuntimeError("strong components did not settle")
-    return vertices.join(done, "id").select("graph_id", "vid", (F.col("root") - F.col("base")).alias("scc"))
+    found: DataFrame | None = None
+    turn = 0
+    while steps.limit(1).count():
+        ends = steps.select(F.col("u").alias("id")).distinct().join(steps.select(F.col("v").alias("id")).distinct(), "id", "left_semi")
+        live = settle(ends, "live")
+        inside = settle(steps.join(live.withColumnRenamed("id", "u"), "u", "left_semi").join(live.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v"), "steps")
+        own = live.select("id", F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("i")).alias("label"))
+        before = _least_reaching(own, inside).withColumnRenamed("x", "f")
+        after = _least_reaching(own, inside.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumnRenamed("x", "b")
+        labels = settle(before.join(after, "id"), "labels")
+        done = labels.filter("f = b").select("id", F.col("f.i").alias("pivot"))
+        found = done if found is None else found.union(done)
+        left = labels.filter("f <> b")
+        u, v = (left.select(F.col("id").alias(x), F.col("f").alias(f"f{x}"), F.col("b").alias(f"b{x}")) for x in "uv")
+        steps = settle(inside.join(u, "u").join(v, "v").filter("fu = fv and bu = bv").select("u", "v"), "steps")
+        turn += 1
+    if found is None:
+        return vertices.select("graph_id", "vid", F.col("vid").alias("scc"))
+    root = found.groupBy("pivot").agg(F.min("id").alias("root"))
+    named = found.join(root, "pivot").select("id", "root")
+    return vertices.join(named, "id", "left").select("graph_id", "vid", (F.coalesce("root", "id") - F.col("base")).alias("scc"))
 
 
 def strong_count(g: Graphs) -> DataFrame:

@@ -2,38 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arcwright.functions.durable import discard, settle
 from arcwright.operators.model import Graphs
 
 
-def _levels(steps: DataFrame, sources: DataFrame, max_levels: int) -> DataFrame:
-    """BFS: (graph_id, s, v, d) for what each source reaches over steps(graph_id, u, v)."""
-    seen = settle(sources.select("graph_id", "s", F.col("s").alias("v"), F.lit(0).alias("d")).distinct(), "seen")
-    for level in range(1, max_levels + 1):
-        front = seen.filter(F.col("d") == level - 1).select("graph_id", "s", F.col("v").alias("u"))
-        fresh = front.join(steps, ["graph_id", "u"]).select("graph_id", "s", "v").distinct().join(seen, ["graph_id", "s", "v"], "left_anti")
-        after = settle(seen.union(fresh.withColumn("d", F.lit(level))), "seen")
-        more = after.filter(F.col("d") == level).limit(1).count()
-        discard(seen)
-        seen = after
-        if not more:
+def reached_from(steps: DataFrame, sources: DataFrame) -> DataFrame:
+    """BFS: (graph_id, s, v, d) for what each source reaches over steps(graph_id, u, v).
+
+    Each level is a table of its own: a round reads the last level and what was reached, and
+    writes only the new vertices.  What was reached is rewritten as one table every 16 levels.
+    """
+    front = settle(sources.select("graph_id", "s", F.col("s").alias("v"), F.lit(0).alias("d")).distinct(), "level")
+    seen, parts, level = front, 1, 0
+    while True:
+        level += 1
+        grown = front.select("graph_id", "s", F.col("v").alias("u")).join(steps, ["graph_id", "u"]).select("graph_id", "s", "v").distinct()
+        found = Observation()
+        fresh = grown.join(seen, ["graph_id", "s", "v"], "left_anti").withColumn("d", F.lit(level))
+        front = settle(fresh.observe(found, F.count("*").alias("n")), "level")
+        if not found.get.get("n"):
             return seen
-    raise RuntimeError(f"more than {max_levels} levels")
+        seen, parts = seen.union(front), parts + 1
+        if parts > 16:
+            seen, parts = settle(seen, "seen"), 1
 
 
-def hop_distance(g: Graphs, sources: DataFrame, max_levels: int = 100_000) -> DataFrame:
+def hop_distance(g: Graphs, sources: DataFrame) -> DataFrame:
     """Hops along arcs from sources(graph_id, s) to every vertex; -1 where there is no way."""
     steps = settle(g.arcs().select("graph_id", "u", "v"), "steps")
-    return _with_unreached(g, sources, _levels(steps, sources, max_levels))
+    return _with_unreached(g, sources, reached_from(steps, sources))
 
 
-def underlying_hop_distance(g: Graphs, sources: DataFrame, max_levels: int = 100_000) -> DataFrame:
+def underlying_hop_distance(g: Graphs, sources: DataFrame) -> DataFrame:
     """Hops when direction is ignored."""
     steps = settle(g.nbrs().select("graph_id", "u", "v"), "steps")
-    return _with_unreached(g, sources, _levels(steps, sources, max_levels))
+    return _with_unreached(g, sources, reached_from(steps, sources))
 
 
 def _with_unreached(g: Graphs, sources: DataFrame, found: DataFrame) -> DataFrame:
@@ -145,3 +151,24 @@ def betweenness(g: Graphs, sources: DataFrame | None = None) -> DataFrame:
     d = g.vertices.join(sums, ["graph_id", "vid"], "left").join(n, "graph_id")
     # undirected: halved sums over (n-1)(n-2)/2 is the same quotient
     return d.select("graph_id", "vid", F.round(F.when(F.col("n") > 2, F.coalesce("x", F.lit(0.0)) / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0), 9).alias("betweenness"))
+
+
+def vertex_report(g: Graphs) -> DataFrame:
+    """One row for each vertex: degrees, loops, distinct neighbours, component, reach,
+    eccentricity (null where a vertex is not reached) and the three centralities.
+
+    All sources are searched, so this is for corpora of small graphs.
+    """
+    from arcwright.operators.adjacency import degrees
+    from arcwright.operators.connectivity import component_roots
+
+    n = g.vertices.groupBy("graph_id").agg(F.count("*").alias("n"))
+    reach = metric_reach(g, all_sources(g)).groupBy("graph_id", F.col("s").alias("vid")).agg(F.count("*").alias("r"), F.max("d").alias("far"))
+    near = g.nbrs().groupBy("graph_id", F.col("u").alias("vid")).agg(F.count("*").alias("neighbours"))
+    at = ["graph_id", "vid"]
+    x = g.vertices.join(degrees(g).select(*at, "degree", "indeg", "outdeg", "loops"), at).join(near, at, "left").join(component_roots(g), at).join(reach, at).join(n, "graph_id")
+    x = x.join(degree_centrality(g), at).join(closeness(g, all_sources(g)), at).join(betweenness(g), at)
+    return x.select(
+        *at, "name", "degree", "indeg", "outdeg", "loops", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), F.col("root").alias("component_root"),
+        (F.col("r") - 1).alias("reached"), F.when(F.col("r") == F.col("n"), F.col("far")).alias("eccentricity"), F.col("centrality").alias("degree_centrality"), "closeness", "betweenness",
+    )

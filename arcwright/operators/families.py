@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arcwright.functions.durable import settle
 from arcwright.operators.adjacency import degrees, distinct_arcs, simple_flags
 from arcwright.operators.connectivity import component_count, component_roots, strong_components
-from arcwright.operators.distance import _levels
+from arcwright.operators.distance import reached_from
 from arcwright.operators.model import Graphs
 from arcwright.operators.stats import order_size, possible_arcs
 
@@ -30,7 +30,7 @@ def is_cycle_graph(g: Graphs) -> DataFrame:
 def bipartition_sides(g: Graphs) -> DataFrame:
     """Parity of the distance from the least vertex of the component, direction ignored."""
     roots = settle(component_roots(g), "roots")
-    levels = _levels(settle(g.nbrs().select("graph_id", "u", "v"), "steps"), roots.select("graph_id", F.col("root").alias("s")).distinct(), 100_000)
+    levels = reached_from(settle(g.nbrs().select("graph_id", "u", "v"), "steps"), roots.select("graph_id", F.col("root").alias("s")).distinct())
     return levels.select("graph_id", F.col("v").alias("vid"), (F.col("d") % 2).alias("side"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arcwright.functions.durable import settle
 from arcwright.operators.adjacency import loop_vertices
-from arcwright.operators.distance import metric_reach, reached_weights, underlying_hop_distance
+from arcwright.operators.distance import metric_reach, reached_from, reached_weights, underlying_hop_distance
 from arcwright.operators.families import in_small_order
 from arcwright.operators.model import Graphs
 
@@ -43,18 +43,20 @@ def _grow(front: DataFrame, step, keep) -> DataFrame:
         out = out.union(front.filter(keep))
 
 
-def simple_paths(g: Graphs, pairs: DataFrame, most: int = 300, max_len: int = 64) -> DataFrame:
+def simple_paths(g: Graphs, pairs: DataFrame, most: int = 300) -> DataFrame:
     """The first ``most`` simple paths of each pair in order of vids, numbered shortest first.
 
-    A frontier of path arrays; vertices that cannot reach t any more are never stepped on.
-    For small graphs: the number of paths is exponential, and ``max_len`` bounds a path.
+    A frontier of path arrays; vertices from which no way leads to t are never stepped on.
+    For small graphs: the number of paths is exponential.
     """
     arcs = g.arcs().select("graph_id", F.col("u").alias("end"), F.col("v").alias("next"))
+    back = g.arcs().select("graph_id", F.col("v").alias("u"), F.col("u").alias("v"))
+    ways = settle(reached_from(back, pairs.select("graph_id", F.col("t").alias("s")).distinct()).select("graph_id", F.col("s").alias("t"), F.col("v").alias("next")), "ways")
     start = pairs.select(*KEY, F.array("s").alias("path"), F.col("s").alias("end"))
 
     def step(front: DataFrame) -> DataFrame:
-        live = front.filter((F.col("end") != F.col("t")) & (F.size("path") < max_len))
-        grown = live.join(arcs, ["graph_id", "end"]).filter(~F.array_contains("path", F.col("next")))
+        live = front.filter("end <> t")
+        grown = live.join(arcs, ["graph_id", "end"]).filter(~F.array_contains("path", F.col("next"))).join(ways, ["graph_id", "t", "next"], "left_semi")
         return grown.select(*KEY, F.concat("path", F.array("next")).alias("path"), F.col("next").alias("end"))
 
     found = _grow(settle(start, "front"), step, F.col("end") == F.col("t")).select(*KEY, "path")
@@ -87,7 +89,7 @@ def geodesics(g: Graphs, pairs: DataFrame, most: int = 50) -> DataFrame:
     return in_small_order(found, KEY, ["path"], most)
 
 
-def trails(g: Graphs, pairs: DataFrame, most: int = 300, max_len: int = 64) -> DataFrame:
+def trails(g: Graphs, pairs: DataFrame, most: int = 300) -> DataFrame:
     """Walks without a repeated edge, the first ``most`` by edge ids, numbered shortest first."""
     e = g.flagged_edges()
     forth = e.select("graph_id", "eid", F.col("src").alias("end"), F.col("dst").alias("next"))
@@ -95,7 +97,7 @@ def trails(g: Graphs, pairs: DataFrame, most: int = 300, max_len: int = 64) -> D
     start = pairs.select(*KEY, F.array().cast("array<bigint>").alias("trail"), F.col("s").alias("end"))
 
     def step(front: DataFrame) -> DataFrame:
-        grown = front.filter(F.size("trail") < max_len).join(steps, ["graph_id", "end"]).filter(~F.array_contains("trail", F.col("eid")))
+        grown = front.join(steps, ["graph_id", "end"]).filter(~F.array_contains("trail", F.col("eid")))
         return grown.select(*KEY, F.concat("trail", F.array("eid")).alias("trail"), F.col("next").alias("end"))
 
     arrived = (F.col("end") == F.col("t")) & ((F.col("s") != F.col("t")) | (F.size("trail") > 0))
@@ -120,6 +122,24 @@ def walk_counts(g: Graphs, pairs: DataFrame, longest: int = 8) -> DataFrame:
     return out
 
 
+def example_walk(g: Graphs, pairs: DataFrame, longest: int = 8) -> DataFrame:
+    """A walk s -> t for each length 1..min(max(n, 4), 8) that has one: the least by vids.
+
+    Grown from t backwards, keeping the least walk of each vertex, so a row for each vertex
+    and length is all that is held.
+    """
+    n = g.vertices.groupBy("graph_id").agg(F.least(F.greatest(F.count("*"), F.lit(4)), F.lit(longest)).alias("k"))
+    arcs = g.mult().select("graph_id", F.col("u").alias("prev"), F.col("v").alias("s"))
+    front = pairs.select("graph_id", "t").distinct().select("graph_id", "t", F.col("t").alias("s"), F.array("t").alias("walk"))
+    out = None
+    for length in range(1, longest + 1):
+        grown = front.join(arcs, ["graph_id", "s"]).groupBy("graph_id", "t", F.col("prev").alias("s")).agg(F.min(F.concat(F.array("prev"), F.col("walk"))).alias("walk"))
+        front = settle(grown, "walks")
+        mine = pairs.join(n, "graph_id").filter(F.col("k") >= length).join(front, KEY).select(*KEY, F.lit(length).alias("length"), "walk")
+        out = mine if out is None else out.union(mine)
+    return out
+
+
 def semipath(g: Graphs, pairs: DataFrame) -> DataFrame:
     """The lexicographically least shortest path when direction is ignored."""
     hops = settle(underlying_hop_distance(g, pairs.select("graph_id", "s").distinct()).filter("hops >= 0"), "hops")

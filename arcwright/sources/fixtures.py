@@ -36,11 +36,25 @@ def _ends(kind1: str, key1: str, kind2: str, key2: str) -> str:
 _SPARSE = f"""select '{{}}' as graph_id, {_ends("c", "o_custkey", "p", "l_partkey")}, cast(1 as double) as weight, {LINE_ORDER}
 from lineitem join orders on l_orderkey = o_orderkey where l_quantity = 50"""
 
-_FIRST_EIGHT = """select user_id, event_type, r from (
-  select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as r from events) ranked where r <= 8"""
+_EVENTS = """select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as r from events"""
+_FIRST_EIGHT = f"select user_id, event_type, r from ({_EVENTS}) ranked where r <= 8"
+
+
+def _clicks(events: str) -> Recipe:
+    return Recipe(
+        True,
+        False,
+        True,
+        f"""select cast(a.user_id as string) as graph_id, a.event_type as skind, cast(0 as bigint) as skey, a.event_type as src_name,
+  b.event_type as dkind, cast(0 as bigint) as dkey, b.event_type as dst_name, cast(1 as double) as weight, a.r as o1, 0 as o2, 0 as o3, 0 as o4, 0 as o5, 0 as o6
+from ({events}) a join ({events}) b on a.user_id = b.user_id and b.r = a.r + 1""",
+        f"select distinct cast(user_id as string) as graph_id, event_type as kind, cast(0 as bigint) as key, event_type as name from ({events}) f",
+    )
+
 
 RECIPES = {
     "sparse": Recipe(False, False, True, _SPARSE.format("sparse")),
+    "purchases": Recipe(False, False, True, _SPARSE.format("purchases").replace(" where l_quantity = 50", "")),
     "cust_all": Recipe(
         False,
         False,
@@ -61,22 +75,16 @@ RECIPES = {
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
   join nation a on a.n_nationkey = s_nationkey join nation b on b.n_nationkey = c_nationkey""",
     ),
-    "click": Recipe(
-        True,
-        False,
-        True,
-        f"""select cast(a.user_id as string) as graph_id, a.event_type as skind, cast(0 as bigint) as skey, a.event_type as src_name,
-  b.event_type as dkind, cast(0 as bigint) as dkey, b.event_type as dst_name, cast(1 as double) as weight, a.r as o1, 0 as o2, 0 as o3, 0 as o4, 0 as o5, 0 as o6
-from ({_FIRST_EIGHT}) a join ({_FIRST_EIGHT}) b on a.user_id = b.user_id and b.r = a.r + 1""",
-        f"select distinct cast(user_id as string) as graph_id, event_type as kind, cast(0 as bigint) as key, event_type as name from ({_FIRST_EIGHT}) f",
-    ),
+    "click": _clicks(_EVENTS),
+    # trails are exponential in the edges: a graph of each user's first events, for that query alone
+    "visit": _clicks(_FIRST_EIGHT),
     "local": Recipe(
         False,
         True,
         True,
         f"""select cast(c_nationkey as string) as graph_id, {_ends("c", "o_custkey", "s", "l_suppkey")}, l_quantity as weight, {LINE_ORDER}
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
-where c_nationkey = s_nationkey and l_quantity >= 25""",
+where c_nationkey = s_nationkey""",
     ),
     "order": Recipe(
         False, False, True, f"select cast(l_orderkey as string) as graph_id, {_ends('s', 'l_suppkey', 'p', 'l_partkey')}, cast(1 as double) as weight, {LINE_ORDER} from lineitem"

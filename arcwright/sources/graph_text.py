@@ -34,29 +34,44 @@ def parse_graph_text(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     """graphs, vertices, edges and rejected(graph_id) of sectioned files.
 
     A file is rejected whole if an edge's end is no vertex number or its weight is not a
-    positive finite number, or if a section is short.
+    positive finite number, if a count is none or negative, or if a section is short.
     """
+    size = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))  # noqa: E731  counts are not to be trusted
     count = lambda i: F.element_at(F.split(F.trim(F.get("lines", i)), r"\s+"), -1).try_cast("int")
-    x = texts.filter(_line(0).startswith("GRAPH")).withColumn("n", count(F.lit(4))).withColumn("m", count(F.col("n") + 5))
-    body = x.select("graph_id", "n", "m", "lines", F.posexplode(F.slice("lines", F.coalesce(F.col("n"), F.lit(0)) + 7, F.greatest(F.coalesce(F.col("m"), F.lit(0)), F.lit(0)))).alias("pos", "line"))
+    x = texts.filter(_line(0).startswith("GRAPH")).withColumn("n", count(F.lit(4))).withColumn("m", count(size("n") + 5))
+    body = x.select("graph_id", "n", "m", "lines", F.posexplode(F.slice("lines", size("n") + 7, size("m"))).alias("pos", "line"))
     f = F.split(F.trim("line"), r"\s+")
     edges = body.select("graph_id", "n", F.col("pos").cast("long").alias("eid"), F.get(f, 0).try_cast("long").alias("src"), F.get(f, 1).try_cast("long").alias("dst"), parse_weight(F.get(f, 2)).alias("weight"))
     good = F.coalesce(F.col("src").between(0, F.col("n") - 1) & F.col("dst").between(0, F.col("n") - 1) & F.col("weight").isNotNull(), F.lit(False))
-    bad = edges.filter(~good).select("graph_id").union(x.filter("n is null or m is null or size(lines) < n + m + 6").select("graph_id")).distinct()
+    bad = edges.filter(~good).select("graph_id").union(x.filter("n is null or m is null or n < 0 or m < 0 or size(lines) < cast(n as bigint) + m + 6").select("graph_id")).distinct()
     fine = x.join(bad, "graph_id", "left_anti")
-    names = fine.select("graph_id", F.posexplode(F.slice("lines", 6, F.col("n"))).alias("pos", "line"))
+    names = fine.select("graph_id", F.posexplode(F.slice("lines", 6, size("n"))).alias("pos", "line"))
     v = F.split(F.trim("line"), r"\s+")
     vertices = names.select("graph_id", F.col("pos").cast("long").alias("vid"), F.get(v, 0).alias("name"), F.get(v, 1).try_cast("int").alias("x"), F.get(v, 2).try_cast("int").alias("y"))
     graphs = fine.select("graph_id", _flag(1).alias("directed"), _flag(2).alias("weighted"), _flag(3).alias("multi"))
     return graphs, vertices, edges.join(bad, "graph_id", "left_anti").select("graph_id", "eid", "src", "dst", "weight"), bad
 
 
+def _adjacency_files(texts: DataFrame) -> DataFrame:
+    x = texts.filter(~_line(0).startswith("GRAPH")).withColumn("n", _line(0).try_cast("int"))
+    return x.withColumn("fine", F.coalesce(F.expr("n >= 0 and size(lines) >= 2 * cast(n as bigint) + 1"), F.lit(False)))
+
+
+def rejected_adjacency(texts: DataFrame) -> DataFrame:
+    """graph_id of the files that ``parse_adjacency_text`` leaves out."""
+    return _adjacency_files(texts).filter("not fine").select("graph_id")
+
+
 def parse_adjacency_text(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """vertices and edges of adjacency files: undirected, unweighted, simple."""
-    x = texts.filter(~_line(0).startswith("GRAPH")).withColumn("n", _line(0).try_cast("int")).filter("n is not null")
+    """vertices and edges of adjacency files: undirected, unweighted, simple.
+
+    Files whose first line is no count, a negative one or more than their lines are left
+    out; ``rejected_adjacency`` lists them.
+    """
+    x = _adjacency_files(texts).filter("fine")
     vertices = x.select("graph_id", F.posexplode(F.slice("lines", 2, F.col("n"))).alias("vid", "name")).select("graph_id", F.col("vid").cast("long").alias("vid"), "name")
     rows = x.select("graph_id", "n", F.posexplode(F.slice("lines", F.col("n") + 2, F.col("n"))).alias("u", "cells"))
-    cells = rows.select("graph_id", "u", "cells", F.explode(F.expr("filter(sequence(0, n - 1), v -> v > u)")).alias("v"))
+    cells = rows.select("graph_id", "u", "cells", F.explode(F.expr("filter(sequence(0, greatest(n - 1, 0)), v -> v > u)")).alias("v"))
     marked = cells.filter(F.expr("substring(cells, v + 1, 1) = '1'"))
     return vertices, marked.select("graph_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
 
