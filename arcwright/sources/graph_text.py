@@ -36,7 +36,7 @@ def parse_graph_text(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame,
     A file is rejected whole if an edge's end is no vertex number or its weight is not a
     positive finite number, if a count is none or negative, or if a section is short.
     """
-    size = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))  # noqa: E731  counts are not to be trusted
+    size = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)), F.size("lines"))  # noqa: E731  counts are not to be trusted
     count = lambda i: F.element_at(F.split(F.trim(F.get("lines", i)), r"\s+"), -1).try_cast("int")
     x = texts.filter(_line(0).startswith("GRAPH")).withColumn("n", count(F.lit(4))).withColumn("m", count(size("n") + 5))
     body = x.select("graph_id", "n", "m", "lines", F.posexplode(F.slice("lines", size("n") + 7, size("m"))).alias("pos", "line"))

@@ -167,3 +167,66 @@ def test_rejected_graph_files(spark, tmp_path):
     assert [(r["src"], r["dst"], r["weight"]) for r in edges.collect()] == [(0, 1, 2.5)] and vertices.count() == 2
     v, e = graph_text.parse_adjacency_text(texts)
     assert {(r["u"], r["v"]) for r in e.collect()} == {(0, 1), (1, 2)} and v.count() == 3
+
+
+def test_strong_components_of_long_ways_and_a_grid(spark):
+    path = [(i, i + 1) for i in range(99)]
+    ring = [(i, (i + 1) % 60) for i in range(60)] + [(5, 60), (60, 61), (61, 60)]
+    # rows of a grid are rings; columns only lead down
+    grid = [(10 * r + c, 10 * r + (c + 1) % 10) for r in range(6) for c in range(10)] + [(10 * r + c, 10 * r + 10 + c) for r in range(5) for c in range(10)]
+    g = graphs_of(spark, {"path": (100, path), "ring": (63, ring), "grid": (60, grid)}, directed=True)
+    got = {(r["graph_id"], r["vid"]): r["scc"] for r in connectivity.strong_components(g).collect()}
+    want = {("path", i): i for i in range(100)} | {("ring", i): 0 for i in range(60)} | {("ring", 60): 60, ("ring", 61): 60, ("ring", 62): 62} | {("grid", i): i // 10 * 10 for i in range(60)}
+    assert got == want
+
+
+def test_files_with_untrusted_counts(spark):
+    from arcwright.sources import graph_text
+
+    good = "GRAPH 2\ndirected true\nweighted false\nmulti false\nvertices 2\na 1 2\nb 3 4\nedges 1\n0 1 1.5"
+    files = {"good": good, "less": good.replace("vertices 2", "vertices -7"), "none": good.replace("edges 1", "edges -2"), "many": good.replace("vertices 2", "vertices 2147483647"), "word": good.replace("vertices 2", "vertices x"), "short": "GRAPH 2"}
+    files |= {"adj": "2\na\nb\n01\n10", "minus": "-2\na\nb", "huge": "2000000000\na", "odd": "x\na", "bare": "0"}
+    texts = spark.createDataFrame([(k, v.split("\n")) for k, v in files.items()], "graph_id string, lines array<string>")
+    graphs, vertices, edges, bad = graph_text.parse_graph_text(texts)
+    assert [r["graph_id"] for r in graphs.collect()] == ["good"] and vertices.count() == 2
+    assert [(r["src"], r["dst"], r["weight"]) for r in edges.collect()] == [(0, 1, 1.5)]
+    assert {r["graph_id"] for r in bad.collect()} == {"less", "none", "many", "word", "short"}
+    v, e = graph_text.parse_adjacency_text(texts)
+    assert v.count() == 2 and [(r["graph_id"], r["u"], r["v"]) for r in e.collect()] == [("adj", 0, 1)]
+    assert {r["graph_id"] for r in graph_text.rejected_adjacency(texts).collect()} == {"minus", "huge", "odd"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_components_of_whole_tables(spark):
+    for name, end in (("connected_components_all", "l_suppkey"), ("component_summary_all", "l_partkey")):
+        up = {}
+
+        def find(x, up=up):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        pairs = duckdb.sql(f"select 'c' || o_custkey, 'x' || {end} from '{SF}/lineitem.parquet' join '{SF}/orders.parquet' on l_orderkey = o_orderkey").fetchall()
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        size = {}
+        for x in list(up):
+            size[find(x)] = size.get(find(x), 0) + 1
+        rows = graph_queries.QUERIES[name](spark, SF).collect()
+        if name == "component_summary_all":
+            assert sorted(r["n"] for r in rows) == sorted(size.values()) and sum(r["m"] for r in rows) == len(pairs)
+        else:
+            got = {}
+            for r in rows:
+                got[r["component"]] = got.get(r["component"], 0) + 1
+            assert sorted(got.values()) == sorted(size.values())
+
+
+def test_vertex_report_of_known_graphs(spark):
+    g = graphs_of(spark, {"path": (3, [(0, 1), (1, 2)]), "apart": (3, [(0, 1)])})
+    rows = {(r["graph_id"], r["vid"]): r for r in distance.vertex_report(g).collect()}
+    mid, end, lone = rows["path", 1], rows["path", 0], rows["apart", 2]
+    assert (mid["degree"], mid["neighbours"], mid["eccentricity"], mid["betweenness"], mid["closeness"]) == (2, 2, 1.0, 1.0, 1.0)
+    assert (end["eccentricity"], end["reached"], end["component_root"]) == (2.0, 2, 0)
+    assert (lone["degree"], lone["reached"], lone["eccentricity"], lone["component_root"], lone["degree_centrality"]) == (0, 0, None, 2, 0.0)
