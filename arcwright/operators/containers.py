@@ -26,7 +26,7 @@ def containers(g: Graphs, most_vertices: int = VERTEX_LIMIT) -> DataFrame:
     From each path in turn, all paths in order that stay disjoint are added; a set within an
     earlier kept one is dropped.  ``kept`` holds the path numbers of each set, in order of vids.
     """
-    found = simple_paths(g, container_pairs(g, most_vertices), most=PATHS_KEPT, max_len=most_vertices).select(*KEY, "path")
+    found = simple_paths(g, container_pairs(g, most_vertices), most=PATHS_KEPT).select(*KEY, "path")
     listed = F.transform(F.sort_array(F.collect_list("path")), lambda p: F.struct(F.slice(p, 2, F.greatest(F.size(p) - 2, F.lit(0))).alias("inner"), (F.size(p) - 1).alias("length")))
     rows = found.groupBy(*KEY).agg(listed.alias("p")).withColumn("paths", F.transform("p", lambda x, i: F.struct(i.alias("no"), x["inner"].alias("inner"), x["length"].alias("length")))).drop("p")
 
