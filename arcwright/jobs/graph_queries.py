@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcwright.functions.durable import new_path
-from arcwright.operators import adjacency, blocks, compare, connectivity, containers, distance, edits, families, pairs, report, stats
+from arcwright.functions.durable import new_path, settle
+from arcwright.operators import adjacency, blocks, compare, connectivity, containers, distance, edits, families, flow, matching, pairs, report, stats
 from arcwright.operators.model import Graphs
 from arcwright.sources import graph_text
 from arcwright.sources.fixtures import load, oracle_prelude
@@ -334,17 +334,20 @@ register("complement", "click", compare.complement, "select a.graph_id, a.vid as
 register("complement_size", "sparse", compare.complement_size, f"{_DENSITY}\n----select graph_id, cast(case when directed then n * (n - 1) else n * (n - 1) / 2 end - k as bigint) as complement_size from den")
 
 
-def _stated_pairs(g: Graphs, most: int = 12) -> DataFrame:
-    """Graph pairs to compare: users below ``most`` against all users below ``most``."""
-    few = g.graphs.filter(F.col("graph_id").cast("long") < most)
-    return few.select(F.col("graph_id").alias("a_id"), F.lit(1).alias("j")).join(few.select(F.col("graph_id").alias("b_id"), F.lit(1).alias("j")), "j").drop("j")
+def next_pairs(g: Graphs, part: str = "@") -> DataFrame:
+    """Graph pairs to compare: each graph and the next one of the same user (all one user without ``part``)."""
+    user = F.split_part("graph_id", F.lit(part), F.lit(1)) if part == "@" else F.lit(0)
+    order = F.col("graph_id") if part == "@" else F.col("graph_id").cast("long")
+    after = F.lead("graph_id").over(Window.partitionBy(user).orderBy(order))
+    return g.graphs.select(F.col("graph_id").alias("a_id"), after.alias("b_id")).filter("b_id is not null")
 
 
-_GPAIRS = "gp as (select a.graph_id as a_id, b.graph_id as b_id from graphs a, graphs b where cast(a.graph_id as bigint) < 12 and cast(b.graph_id as bigint) < 12)"
+_NEXT_DAY = "gp as (select * from (select graph_id as a_id, lead(graph_id) over (partition by split_part(graph_id, '@', 1) order by graph_id) as b_id from graphs) z where b_id is not null)"
+_GPAIRS = "gp as (select * from (select graph_id as a_id, lead(graph_id) over (order by cast(graph_id as bigint)) as b_id from graphs) z where b_id is not null)"
 register(
     "label_subgraph",
     "click",
-    lambda g: compare.label_subgraph(g, g, _stated_pairs(g)),
+    lambda g: compare.label_subgraph(g, g, next_pairs(g, "")),
     f"""{_GPAIRS}, nm as (select m.graph_id, x.name as un, y.name as vn, mult from mult m join vertices x on x.graph_id = m.graph_id and x.vid = m.u join vertices y on y.graph_id = m.graph_id and y.vid = m.v),
 al as (select gp.a_id, gp.b_id, x.name as un, y.name as vn from gp join vertices x on x.graph_id = gp.a_id join vertices y on y.graph_id = gp.a_id),
 cmp as (select al.a_id, al.b_id, bool_and(coalesce(p.mult, 0) <= coalesce(q.mult, 0)) as le, bool_and(coalesce(p.mult, 0) = coalesce(q.mult, 0)) as eq
@@ -354,17 +357,79 @@ lab as (select gp.a_id, gp.b_id, bool_and(exists (select 1 from vertices y where
 ----select a_id, b_id, all_in and le as is_subgraph, all_in and eq as is_induced, all_in and eq and na = nb as same_labelled from lab join cmp using (a_id, b_id)""",
 )
 _NUMBERS = "m0 as (select a.graph_id, a.vid as u, b.vid as v, coalesce(m.mult, 0) as c from vertices a join vertices b on a.graph_id = b.graph_id left join mult m on m.graph_id = a.graph_id and m.u = a.vid and m.v = b.vid)"
+# every injective image of a_id's vertices, held against all pairs of them; the least in the order of falling degree
+_IMAGES = f"""recursive:{_NEXT_DAY}, {_SIZE}, img as (
+  select gp.a_id, gp.b_id, []::bigint[] as image, x.n as n from gp join sz x on x.graph_id = a_id join sz y on y.graph_id = b_id where x.n {{op}} y.n and x.m {{op}} y.m
+  union
+  select p.a_id, p.b_id, list_append(p.image, v.vid), p.n from img p join vertices v on v.graph_id = p.b_id where len(p.image) < p.n and not list_contains(p.image, v.vid)),
+{_NUMBERS}, good as (
+  select f.a_id, f.b_id, f.image from img f join m0 x on x.graph_id = f.a_id join m0 y on y.graph_id = f.b_id and y.u = f.image[x.u + 1] and y.v = f.image[x.v + 1]
+  where len(f.image) = f.n group by all having bool_and(x.c {{op}} y.c)),
+turns as (select graph_id, list(vid order by degree desc, vid) as turn from deg group by all),
+keyed as (select good.*, list_transform(turn, lambda v: image[v + 1]) as key from good join turns on turns.graph_id = a_id),
+best as (select a_id, b_id, arg_min(image, key) as image from keyed group by all),
+named as (select b.a_id, b.b_id, string_agg(x.name || '→' || y.name, ', ' order by x.vid) as mapping
+  from best b join vertices x on x.graph_id = b.a_id join vertices y on y.graph_id = b.b_id and y.vid = b.image[x.vid + 1] group by all)
+----select gp.a_id, gp.b_id, case when named.mapping is null then 'no' else 'yes' end as {{name}}, named.mapping from gp left join named using (a_id, b_id)"""
+
+
+def _matched(find: Callable, g: Graphs) -> DataFrame:
+    found = settle(find(g, g, next_pairs(g)), "matches")
+    return found.drop("map").join(matching.mapping_string(found, g, g), matching.PAIR)
+
+
+register("isomorphism", "daily", lambda g: _matched(matching.isomorphism, g), _IMAGES.format(op="=", name="isomorphic"))
+register("subgraph_embedding", "daily", lambda g: _matched(matching.subgraph_embedding, g), _IMAGES.format(op="<=", name="embeds"))
 register(
-    "isomorphism",
-    "click",
-    lambda g: compare.isomorphism(g, _stated_pairs(g)),
-    f"""recursive:{_GPAIRS}, {_SIZE}, perm as (
-  select gp.a_id, gp.b_id, []::bigint[] as image from gp join sz x on x.graph_id = a_id join sz y on y.graph_id = b_id where x.n = y.n and x.m = y.m
+    "self_complementary",
+    "daily",
+    lambda g: matching.self_complementary(g).select("graph_id", "self_complementary"),
+    f"""recursive:{_SIZE}, {_FLAGS}, cand as (select sz.graph_id, n from sz join sf using (graph_id) where no_loop and most <= 1 and 2 * m = n * (n - 1)),
+perm as (
+  select graph_id, []::bigint[] as image, n from cand
+  union
+  select p.graph_id, list_append(p.image, v.vid), p.n from perm p join vertices v on v.graph_id = p.graph_id where len(p.image) < p.n and not list_contains(p.image, v.vid)),
+{_NUMBERS}, good as (
+  select p.graph_id, p.image from perm p join m0 x on x.graph_id = p.graph_id join m0 y on y.graph_id = p.graph_id and y.u = p.image[x.u + 1] and y.v = p.image[x.v + 1]
+  where len(p.image) = p.n group by all having bool_and(x.u = x.v or x.c + y.c = 1))
+----select graph_id, graph_id in (select graph_id from good) as self_complementary from graphs""",
+)
+
+# connectivity numbers: the comparing engine tries every set of vertices
+_SIDES = f"{_SIZE}, sides as (select graph_id, n, m.i as s from sz, range(1, 2048) m(i) where m.i < (1 << n) - 1)"
+_LAMBDA = f"""{_SIDES}, cut as (
+  select graph_id, s, coalesce(sum(mult) filter ((s >> a.u) & 1 = 1 and (s >> a.v) & 1 = 0), 0) as c from sides left join arcs a using (graph_id) group by all)
+----select graph_id, case when n = 1 then 0 else (select min(c) from cut where cut.graph_id = sz.graph_id)::bigint end as edge_connectivity from sz"""
+register("edge_connectivity", "daily", flow.edge_connectivity, _LAMBDA)
+register("edge_connectivity_mix", "mix", flow.edge_connectivity, _LAMBDA)
+_KAPPA = f"""recursive:{_SIZE}, gone as (select graph_id, n, m.i as s from sz, range(0, 2048) m(i) where m.i < (1 << n) - 1),
+seen as (
+  select graph_id, s, vid as u, vid as v from gone join vertices using (graph_id) where (s >> vid) & 1 = 0
+  union
+  select r.graph_id, r.s, r.u, a.v from seen r join arcs a on a.graph_id = r.graph_id and a.u = r.v where (r.s >> a.v) & 1 = 0),
+held as (select graph_id, s, count(*) as pairs from seen group by all),
+cuts as (select g.graph_id, min(bit_count(g.s)) as k from gone g join held using (graph_id, s) where pairs < (n - bit_count(g.s)) * (n - bit_count(g.s)) group by all)
+----select graph_id, coalesce(k, n - 1)::bigint as vertex_connectivity from sz left join cuts using (graph_id)"""
+register("vertex_connectivity", "daily", flow.vertex_connectivity, _KAPPA)
+register("vertex_connectivity_click", "click", flow.vertex_connectivity, _KAPPA)
+# up to 50 vertices: null above 40; held against a plain search in the tests
+register("vertex_connectivity_basket", "basket", flow.vertex_connectivity, None)
+register(
+    "maximal_non_hamiltonian",
+    "daily",
+    families.maximal_non_hamiltonian,
+    f"""recursive:{_SIZE}, round as (
+  select graph_id, [0]::bigint[] as ring, n from sz where n >= 2
   union
-  select p.a_id, p.b_id, list_append(p.image, v.vid) from perm p join vertices v on v.graph_id = p.b_id where not list_contains(p.image, v.vid)),
-{_NUMBERS}, fullp as (select p.* from perm p join sz on sz.graph_id = p.a_id and len(p.image) = sz.n),
-good as (select f.a_id, f.b_id, f.image from fullp f join m0 x on x.graph_id = f.a_id join m0 y on y.graph_id = f.b_id and y.u = f.image[x.u + 1] and y.v = f.image[x.v + 1] group by all having bool_and(x.c = y.c))
-----select a_id, b_id, case when exists (select 1 from good where good.a_id = gp.a_id and good.b_id = gp.b_id) then 'yes' else 'no' end as isomorphic from gp""",
+  select r.graph_id, list_append(r.ring, v.vid), r.n from round r join vertices v on v.graph_id = r.graph_id where len(r.ring) < r.n and not list_contains(r.ring, v.vid)),
+ends as (select graph_id, ring, ring[i] as u, ring[i % n + 1] as v from round, range(1, 6) k(i) where len(ring) = n and i <= n),
+lack as (select e.graph_id, ring, count(*) filter (a.u is null) as k, min(e.u) filter (a.u is null) as u, min(e.v) filter (a.u is null) as v
+  from ends e left join arcs a on a.graph_id = e.graph_id and a.u = e.u and a.v = e.v group by e.graph_id, ring),
+miss as (select x.graph_id, x.vid as u, y.vid as v from vertices x join vertices y on x.graph_id = y.graph_id and x.vid <> y.vid
+  where not exists (select 1 from arcs a where a.graph_id = x.graph_id and a.u = x.vid and a.v = y.vid))
+----select graph_id, n >= 2 and not exists (select 1 from lack l where l.graph_id = sz.graph_id and l.k = 0)
+  and not exists (select 1 from miss where miss.graph_id = sz.graph_id and not exists (select 1 from lack l where l.graph_id = miss.graph_id and l.k = 1 and l.u = miss.u and l.v = miss.v)) as maximal_non_hamiltonian
+from sz""",
 )
 
 # edits and text forms

@@ -58,40 +58,3 @@ def label_subgraph(a: Graphs, b: Graphs, pairs: DataFrame) -> DataFrame:
         (all_in & F.coalesce("eq", F.lit(True))).alias("is_induced"),
         (all_in & F.coalesce("eq", F.lit(True)) & (F.col("na") == F.col("nb"))).alias("same_labelled"),
     )
-
-
-def isomorphism(g: Graphs, pairs: DataFrame, most_vertices: int = 8) -> DataFrame:
-    """Isomorphism of graphs a_id and b_id: 'yes', 'no', or 'undetermined' above ``most_vertices``.
-
-    Candidates are first held against n, m and the sorted degrees; what is left grows
-    images of a's vertices one vertex a round, each new one checked against all before it.
-    """
-    from pyspark.sql import Window
-
-    from arcwright.functions.durable import settle
-    from arcwright.operators.adjacency import degrees
-
-    d = degrees(g)
-    sign = d.groupBy("graph_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("degree", "indeg", "outdeg", "loops"))).alias("sig"))
-    a, b = (sign.select(F.col("graph_id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig")) for x in "ab")
-    x = settle(pairs.join(a, "a_id").join(b, "b_id").withColumn("alike", F.col("a_sig") == F.col("b_sig")).select("a_id", "b_id", F.col("a_n").alias("n"), "alike"), "candidates")
-    cand = x.filter((F.col("alike")) & (F.col("n") <= most_vertices))
-    # a's vertices by falling degree
-    turn = d.select("graph_id", "vid", "degree", (F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("degree"), "vid"))).alias("k"))
-    m = settle(g.mult().select("graph_id", "u", "v", "mult"), "mult")
-    av = settle(turn.select(F.col("graph_id").alias("a_id"), F.col("vid").alias("av"), F.col("degree").alias("ad"), "k"), "av")
-    bv = settle(d.select(F.col("graph_id").alias("b_id"), F.col("vid").alias("bv"), F.col("degree").alias("bd")), "bv")
-    front = settle(cand.select("a_id", "b_id", "n", F.array().cast("array<struct<a:bigint,b:bigint>>").alias("image")), "images")
-    am = m.select(F.col("graph_id").alias("a_id"), F.struct("u", "v").alias("k"), "mult").groupBy("a_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "mult"))).alias("ma"))
-    bm = m.select(F.col("graph_id").alias("b_id"), F.struct("u", "v").alias("k"), "mult").groupBy("b_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "mult"))).alias("mb"))
-    done = None
-    for k in range(1, most_vertices + 1):
-        grown = front.filter(F.col("n") >= k).join(av.filter(F.col("k") == k).drop("k"), "a_id").join(bv, "b_id").filter("ad = bd").filter(~F.exists("image", lambda p: p["b"] == F.col("bv")))
-        grown = grown.join(am, "a_id", "left").join(bm, "b_id", "left").withColumn("image", F.concat("image", F.array(F.struct(F.col("av").alias("a"), F.col("bv").alias("b")))))
-        at = lambda mm, p, q: F.coalesce(F.try_element_at(mm, F.struct(p.alias("u"), q.alias("v"))), F.lit(0))
-        ok = F.forall("image", lambda p: (at(F.col("ma"), F.col("av"), p["a"]) == at(F.col("mb"), F.col("bv"), p["b"])) & (at(F.col("ma"), p["a"], F.col("av")) == at(F.col("mb"), p["b"], F.col("bv"))))
-        front = settle(grown.filter(ok).select("a_id", "b_id", "n", "image"), "images")
-        full = front.filter(F.col("n") == k).select("a_id", "b_id").distinct()
-        done = full if done is None else done.union(full)
-    y = x.join(done.withColumn("hit", F.lit(True)), ["a_id", "b_id"], "left")
-    return y.select("a_id", "b_id", F.when(~F.col("alike"), "no").when(F.col("n") > most_vertices, "undetermined").when(F.col("hit"), "yes").otherwise("no").alias("isomorphic"))

@@ -131,6 +131,31 @@ def traceable(g: Graphs, limit: int = HAMILTON_LIMIT) -> DataFrame:
     return x.select("graph_id", F.when(F.col("n") > limit, F.lit(None).cast("boolean")).otherwise(F.col("yes").isNotNull()).alias("traceable"))
 
 
+MAXIMAL_LIMIT = 12
+
+
+def maximal_non_hamiltonian(g: Graphs, limit: int = MAXIMAL_LIMIT) -> DataFrame:
+    """No spanning cycle, but any missing edge (directed: arc) alone would make one; null beyond ``limit``.
+
+    A new arc u -> v closes a spanning cycle if and only if a spanning path leads from v to u,
+    so one search for spanning paths from all starts answers for all missing edges at once.
+    False below 3 (directed 2) vertices, as for hamiltonian.
+    """
+    sizes = settle(_small(g, limit), "sizes")
+    arcs = g.arcs().join(sizes.select("graph_id"), "graph_id", "left_semi").select("graph_id", "u", "v")
+    mine = g.vertices.join(sizes.select("graph_id"), "graph_id", "left_semi")
+    ways = spanning_states(arcs, sizes, mine.select("graph_id", F.col("vid").alias("s"))).select("graph_id", F.col("v").alias("u"), F.col("s").alias("v"))
+    ways = settle(ways, "ways")
+    closed = ways.join(arcs, ["graph_id", "u", "v"], "left_semi").select("graph_id").distinct().withColumn("ham", F.lit(True))
+    every = mine.select("graph_id", F.col("vid").alias("u")).join(mine.select("graph_id", F.col("vid").alias("v")), "graph_id").filter("u <> v")
+    missing = every.join(arcs, ["graph_id", "u", "v"], "left_anti").join(ways, ["graph_id", "u", "v"], "left_anti").select("graph_id").distinct().withColumn("idle", F.lit(True))
+    n = g.vertices.groupBy("graph_id").agg(F.count("*").alias("n"))
+    x = g.graphs.join(n, "graph_id").join(closed, "graph_id", "left").join(missing, "graph_id", "left")
+    least = F.when(F.col("directed"), 2).otherwise(3)
+    yes = (F.col("n") >= least) & F.col("ham").isNull() & F.col("idle").isNull()
+    return x.select("graph_id", F.when(F.col("n") > limit, F.lit(None).cast("boolean")).otherwise(yes).alias("maximal_non_hamiltonian"))
+
+
 def in_small_order(rows: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
     """The first ``most`` rows of each key by ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -52,7 +52,46 @@ from ({events}) a join ({events}) b on a.user_id = b.user_id and b.r = a.r + 1""
     )
 
 
+_DAY = "select concat(cast(user_id as string), '@', cast(cast(ts as date) as string)) as graph_id, event_type, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as r from events"
+_STEP = "select user_id, cast(regexp_extract(props, '[0-9]+', 0) as bigint) as k, row_number() over (partition by user_id order by ts, event_id) as r from events"
+_SOLD = "from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join part on l_partkey = p_partkey"
+
 RECIPES = {
+    # each user's event types day by day: very many graphs of one to five vertices, sparse and varied
+    "daily": Recipe(
+        True,
+        False,
+        True,
+        f"""select a.graph_id, a.event_type as skind, cast(0 as bigint) as skey, a.event_type as src_name, b.event_type as dkind, cast(0 as bigint) as dkey, b.event_type as dst_name,
+  cast(1 as double) as weight, a.r as o1, 0 as o2, 0 as o3, 0 as o4, 0 as o5, 0 as o6
+from ({_DAY}) a join ({_DAY}) b on a.graph_id = b.graph_id and b.r = a.r + 1""",
+        f"select distinct graph_id, event_type as kind, cast(0 as bigint) as key, event_type as name from ({_DAY}) f",
+    ),
+    # each user's way through the numbers of the events: directed, sparse, up to 100 vertices
+    "steps": Recipe(
+        True,
+        False,
+        True,
+        f"""select cast(a.user_id as string) as graph_id, {_ends("k", "a.k", "k", "b.k")}, cast(1 as double) as weight, a.r as o1, 0 as o2, 0 as o3, 0 as o4, 0 as o5, 0 as o6
+from ({_STEP}) a join ({_STEP}) b on a.user_id = b.user_id and b.r = a.r + 1""",
+        f"select distinct cast(user_id as string) as graph_id, 'k' as kind, k as key, concat('k', cast(k as string)) as name from ({_STEP}) f",
+    ),
+    # what each customer bought: regions of suppliers and types of parts, dense, at most 11 vertices
+    "mix": Recipe(
+        False,
+        True,
+        True,
+        f"""select cast(o_custkey as string) as graph_id, 'r' as skind, cast(n_regionkey as bigint) as skey, concat('r', cast(n_regionkey as string)) as src_name,
+  p_type as dkind, cast(0 as bigint) as dkey, p_type as dst_name, l_quantity as weight, {LINE_ORDER} {_SOLD}""",
+    ),
+    # what each customer bought: nations of suppliers and brands, sparse, with cycles, cutpoints and bridges
+    "basket": Recipe(
+        False,
+        True,
+        True,
+        f"""select cast(o_custkey as string) as graph_id, 'n' as skind, cast(n_nationkey as bigint) as skey, concat('n', cast(n_nationkey as string)) as src_name,
+  p_brand as dkind, cast(0 as bigint) as dkey, p_brand as dst_name, l_quantity as weight, {LINE_ORDER} {_SOLD}""",
+    ),
     "sparse": Recipe(False, False, True, _SPARSE.format("sparse")),
     "purchases": Recipe(False, False, True, _SPARSE.format("purchases").replace(" where l_quantity = 50", "")),
     "cust_all": Recipe(
