@@ -129,6 +129,7 @@ _DREACH = """dreach as (
 sccs as (select a.graph_id, a.u as vid, min(a.v) as scc from dreach a join dreach b on b.graph_id = a.graph_id and b.u = a.v and b.v = a.u group by all)"""
 register("strong_components", "click", connectivity.strong_components, f"recursive:{_DREACH}\n----select graph_id, vid, scc from sccs")
 register("strong_components_trade", "trade", connectivity.strong_components, f"recursive:{_DREACH}\n----select graph_id, vid, scc from sccs")
+register("strong_components_steps", "steps", connectivity.strong_components, f"recursive:{_DREACH}\n----select graph_id, vid, scc from sccs")
 # whole tables on which the comparing engine's recursion does not end; held against union-find in the tests
 register("connected_components_all", "cs", connectivity.connected_components, None)
 register("component_summary_all", "purchases", connectivity.component_summary, None)
@@ -155,9 +156,10 @@ register(
 ----select graph_id, case when directed then n >= 2 and no_loop and most <= 1 and comps = 1 and one else n >= 3 and no_loop and umost <= 1 and comps = 1 and two end as is_cycle_graph
 from sz join sf using (graph_id) join cc using (graph_id) join dd using (graph_id)""",
 )
-_FOREST = f"""recursive:{_CC}, {_SIZE}, {_FLAGS}, hub as (select graph_id, max(k) as k from (select graph_id, u, count(*) as k from nbrs group by all) group by all),
+_FOREST = f"""recursive:{_CC}, {_SIZE}, {_FLAGS}, hub as (select graph_id, max(k) as k, arg_min(u, [-k, u]) as u from (select v.graph_id, v.vid as u, count(n.u) as k from vertices v left join nbrs n on n.graph_id = v.graph_id and n.u = v.vid group by all) group by all),
 ff as (select sz.graph_id, no_loop and m = n - comps as is_forest, no_loop and m = n - comps and comps = 1 as is_tree,
-  no_loop and m = n - comps and comps = 1 and umost <= 1 and coalesce(k, 0) = n - 1 as is_star
+  no_loop and m = n - comps and comps = 1 and umost <= 1 and coalesce(k, 0) = n - 1 as is_star,
+  case when no_loop and m = n - comps and comps = 1 and umost <= 1 and coalesce(k, 0) = n - 1 then u end as centre
 from sz join sf using (graph_id) join cc using (graph_id) left join hub using (graph_id))"""
 register("forest_flags", "local", families.forest_flags, f"{_FOREST}\n----select * from ff")
 register("forest_flags_orders", "order", families.forest_flags, f"{_FOREST}\n----select * from ff")
@@ -174,21 +176,30 @@ _PARITY = """par as (
   select r.graph_id, r.u, n.v, 1 - r.side from par r join nbrs n on n.graph_id = r.graph_id and n.u = r.v),
 pr as (select graph_id, u, min(v) as root from par group by all),
 odd as (select distinct graph_id from par where u = v and side = 1 union select graph_id from edges where src = dst)"""
-register("bipartite", "click", families.bipartite, f"""recursive:{_PARITY}, {_SIZE}, {_FLAGS},
+_BIPARTITE = f"""recursive:{_PARITY}, {_SIZE}, {_FLAGS},
 cc as (select graph_id, count(distinct root) as comps from pr group by all),
-pq as (select p.graph_id, count(distinct p.v) filter (side = 0) as p, count(distinct p.v) filter (side = 1) as q from par p join pr on pr.graph_id = p.graph_id and pr.u = p.u and p.u = pr.root group by all)
-----select graph_id, graph_id not in (select graph_id from odd) as is_bipartite,
-  graph_id not in (select graph_id from odd) and comps = 1 and n >= 2 and no_loop and umost <= 1 and q > 0 and m = p * q as is_complete_bipartite
-from sz join sf using (graph_id) join cc using (graph_id) join pq using (graph_id)""")
+pq as (select p.graph_id, count(distinct p.v) filter (side = 0) as p, count(distinct p.v) filter (side = 1) as q from par p join pr on pr.graph_id = p.graph_id and pr.u = p.u and p.u = pr.root group by all),
+bi as (select graph_id, graph_id not in (select graph_id from odd) as is_bipartite,
+  graph_id not in (select graph_id from odd) and comps = 1 and n >= 2 and no_loop and umost <= 1 and q > 0 and m = p * q as is_complete_bipartite,
+  p as p0, q as q0 from sz join sf using (graph_id) join cc using (graph_id) join pq using (graph_id))
+----select graph_id, is_bipartite, is_complete_bipartite, case when is_complete_bipartite then p0 end as p, case when is_complete_bipartite then q0 end as q from bi"""
+for _name, _graph in (("bipartite", "click"), ("bipartite_daily", "daily"), ("bipartite_orders", "order")):
+    register(_name, _graph, families.bipartite, _BIPARTITE)
+register("bipartition_sides", "order", families.bipartition_sides, f"recursive:{_PARITY}\n----select p.graph_id, p.v as vid, p.side from par p join pr on pr.graph_id = p.graph_id and pr.u = p.u and p.u = pr.root")
 _EULER = """recursive:{reach},
 ep as (select e.graph_id, count(distinct root) as parts from edges e join roots r on r.graph_id = e.graph_id and r.vid = e.src group by all),
 ds as (select graph_id, count(*) filter (degree % 2 = 1) as odd, count(*) filter (outdeg - indeg = 1) as plus, count(*) filter (outdeg - indeg = -1) as minus, count(*) filter (outdeg <> indeg) as off from deg group by all)
 ----select graph_id, case when parts is null then 'none' when parts > 1 then 'no'
   when (directed and off = 0) or (not directed and odd = 0) then 'yes'
-  when (directed and plus = 1 and minus = 1 and off = 2) or (not directed and odd = 2) then 'semi' else 'no' end as eulerian
+  when (directed and plus = 1 and minus = 1 and off = 2) or (not directed and odd = 2) then 'semi' else 'no' end as eulerian,
+  case when parts is null then 'no edges' when parts > 1 then parts || ' components have edges'
+  when directed then case when off = 0 then 'every vertex is balanced' when eulerian = 'semi' then 'one vertex starts and one ends an open trail' else off || ' vertices are unbalanced' end
+  when odd = 0 then 'every degree is even' else odd || ' vertices have odd degree' end as reason
 from graphs join ds using (graph_id) left join ep using (graph_id)""".format(reach=_REACH)
 register("eulerian_status", "click", families.eulerian_status, _EULER)
 register("eulerian_status_local", "local", families.eulerian_status, _EULER)
+register("eulerian_status_daily", "daily", families.eulerian_status, _EULER)
+register("eulerian_status_mix", "mix", families.eulerian_status, _EULER)
 _PATHS = """walk as (
   select graph_id, vid as s, vid as e, [vid] as path from vertices
   union
@@ -212,6 +223,7 @@ _HOP_OUT = "select a.graph_id, a.vid as s, b.vid as v, coalesce(h.d, -1) as hops
 register("hop_distance", "click", lambda g: distance.hop_distance(g, first_sources(g)), f"recursive:{_HOPS.format(most=5, steps='arcs', bound=5)}\n----{_HOP_OUT.format(most=5)}")
 register("underlying_hop_distance", "sparse", lambda g: distance.underlying_hop_distance(g, first_sources(g)), f"recursive:{_HOPS.format(most=5, steps='nbrs', bound=60)}\n----{_HOP_OUT.format(most=5)}")
 register("hop_distance_trade", "trade", lambda g: distance.hop_distance(g, distance.all_sources(g)), f"recursive:{_HOPS.format(most=10**9, steps='arcs', bound=25)}\n----{_HOP_OUT.format(most=10**9)}")
+register("hop_distance_orders", "order", lambda g: distance.hop_distance(g, distance.all_sources(g)), f"recursive:{_HOPS.format(most=10**9, steps='arcs', bound=26)}\n----{_HOP_OUT.format(most=10**9)}")
 _WAYS = """way as (
   select graph_id, vid as s, vid as v, [vid] as path, cast(0 as double) as d from vertices
   union
@@ -467,24 +479,45 @@ _GONE = """vreach as (
 vcomp as (select graph_id, gone, count(distinct root) as comps from (select graph_id, gone, u, min(v) as root from vreach group by all) y group by all),
 cuts as (select v.graph_id, v.gone as vid from vcomp v join cc using (graph_id) where v.comps > cc.comps)"""
 register("cutpoints", "click", blocks.cutpoints, f"recursive:{_CC}, {_GONE}\n----select graph_id, vid from cuts")
-register("cutpoints_local", "local", blocks.cutpoints, None)
 register(
     "nonseparable",
     "click",
     blocks.nonseparable,
     f"recursive:{_CC}, {_GONE}, {_SIZE}\n----select graph_id, comps = 1 and n >= 2 and graph_id not in (select graph_id from cuts) as nonseparable from sz join cc using (graph_id)",
 )
-register(
-    "bridges",
-    "click",
-    blocks.bridges,
-    """recursive:breach as (
+_BRIDGES = """recursive:breach as (
   select p.graph_id, p.u as a, p.v as b, p.u as v from upairs p where ucount = 1
   union
   select r.graph_id, r.a, r.b, n.v from breach r join nbrs n on n.graph_id = r.graph_id and n.u = r.v and not (n.u = r.a and n.v = r.b) and not (n.u = r.b and n.v = r.a))
-----select graph_id, u, v from upairs p where ucount = 1 and not exists (select 1 from breach r where r.graph_id = p.graph_id and r.a = p.u and r.b = p.v and r.v = p.v)""",
-)
-register("block_count", "click", blocks.block_count, None)
+----select graph_id, u, v from upairs p where ucount = 1 and not exists (select 1 from breach r where r.graph_id = p.graph_id and r.a = p.u and r.b = p.v and r.v = p.v)"""
+register("bridges", "click", blocks.bridges, _BRIDGES)
+# of a vertex without its own self: what its least neighbour still reaches
+_FLOOD = """flood as (
+  select graph_id, u as gone, min(v) as v from nbrs group by all
+  union
+  select f.graph_id, f.gone, n.v from flood f join nbrs n on n.graph_id = f.graph_id and n.u = f.v where n.v <> f.gone)"""
+for _name, _graph in (("cutpoints_orders", "order"), ("cutpoints_basket", "basket"), ("cutpoints_local", "local")):
+    register(
+        _name,
+        _graph,
+        blocks.cutpoints,
+        f"recursive:{_FLOOD}\n----select distinct graph_id, u as vid from nbrs n where not exists (select 1 from flood f where f.graph_id = n.graph_id and f.gone = n.u and f.v = n.v)",
+    )
+for _name, _graph in (("bridges_orders", "order"), ("bridges_basket", "basket")):
+    register(_name, _graph, blocks.bridges, _BRIDGES)
+# two vertices share a block if no third one parts them; a block is told by its two least vertices
+_BLOCKS = f"""recursive:{_CC}, {_GONE}, {_SIZE},
+whole as (select graph_id, u, v from vreach where u <> v group by graph_id, u, v, gone),
+linked as (select r.graph_id, r.u, r.v from reach r join sz using (graph_id) left join whole w on w.graph_id = r.graph_id and w.u = r.u and w.v = r.v
+  where r.u <> r.v group by r.graph_id, r.u, r.v, n having count(w.u) = n - 2),
+heads as (select a.graph_id, a.u, a.v, row_number() over (partition by a.graph_id order by a.u, a.v) - 1 as block from linked a where a.u < a.v
+  and not exists (select 1 from linked b join linked c on c.graph_id = b.graph_id and c.u = b.u where b.graph_id = a.graph_id and b.v = a.u and c.v = a.v and b.u < a.v and b.u <> a.u)),
+bm as (select graph_id, block, u as vid from heads union all select graph_id, block, v from heads
+  union all select h.graph_id, h.block, b.u from heads h join linked b on b.graph_id = h.graph_id and b.v = h.u join linked c on c.graph_id = h.graph_id and c.u = b.u and c.v = h.v)"""
+for _name, _graph in (("block_members", "order"), ("block_members_daily", "daily")):
+    register(_name, _graph, blocks.block_members, f"{_BLOCKS}\n----select graph_id, block, vid from bm")
+register("block_count", "click", blocks.block_count, f"{_BLOCKS}\n----select graph_id, (select count(*) from heads h where h.graph_id = g.graph_id) as blocks from graphs g")
+register("block_count_orders", "order", blocks.block_count, f"{_BLOCKS}\n----select graph_id, count(h.u) as blocks from graphs left join heads h using (graph_id) group by all")
 register("wide_diameter", "click", containers.wide_diameter, None)
 register(
     "k_wide_distance_one",

@@ -35,14 +35,16 @@ def star_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     and two joins, whose hub keys AQE may split; after every second one the edge list is
     written to the shared folder, and its check sum is observed while it is written.
     """
-    now = settle(pairs.select("u", "v").filter("u <> v").distinct(), "stars")
-    before = None
+    sums = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")]
+    first = Observation()
+    now = settle(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().observe(first, *sums), "stars")
+    before = first.get
     for _ in range(max_rounds):
         shape = Observation()
         edges = now
         for _ in range(2):
             edges = _small_star(_large_star(edges)).filter("u <> v").distinct()
-        after = settle(edges.observe(shape, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "stars")
+        after = settle(edges.observe(shape, *sums), "stars")
         discard(now)
         now = after
         if shape.get == before:

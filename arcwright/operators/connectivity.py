@@ -13,6 +13,10 @@ from arcwright.operators.model import Graphs
 
 def component_roots(g: Graphs) -> DataFrame:
     """(graph_id, vid, root): the least vid of each vertex's component; direction is ignored."""
+    return g.shared("roots", lambda: _component_roots(g))
+
+
+def _component_roots(g: Graphs) -> DataFrame:
     e = g.edges.join(g.graphs.select("graph_id", "base"), "graph_id").filter("src <> dst")
     comp = star_components(e.select((F.col("base") + F.col("src")).alias("u"), (F.col("base") + F.col("dst")).alias("v")))
     v = g.vertices.join(g.graphs.select("graph_id", "base"), "graph_id").withColumn("id", F.col("base") + F.col("vid"))
@@ -43,7 +47,7 @@ def component_members(g: Graphs) -> DataFrame:
 
 def component_summary(g: Graphs) -> DataFrame:
     """Vertices and edges of each component, and whether it is a tree."""
-    roots = settle(component_roots(g), "roots")
+    roots = component_roots(g)
     v = roots.groupBy("graph_id", "root").agg(F.count("*").alias("n"))
     e = g.edges.select("graph_id", F.col("src").alias("vid"), (F.col("src") == F.col("dst")).cast("int").alias("loop")).join(roots, ["graph_id", "vid"]).groupBy("graph_id", "root").agg(F.count("*").alias("m"), F.sum("loop").alias("loops"))
     d = v.join(e, ["graph_id", "root"], "left").fillna(0, ["m", "loops"])
@@ -80,6 +84,10 @@ def strong_components(g: Graphs) -> DataFrame:
     arcs on one side stand alone.  What is left is cut up as by quicksort, so the number of
     rounds follows the logarithm of the longest way.
     """
+    return g.shared("sccs", lambda: _strong_components(g))
+
+
+def _strong_components(g: Graphs) -> DataFrame:
     arcs = g.arcs().join(g.graphs.select("graph_id", "base"), "graph_id")
     steps = settle(arcs.select((F.col("base") + F.col("u")).alias("u"), (F.col("base") + F.col("v")).alias("v")), "steps")
     vertices = g.vertices.join(g.graphs.select("graph_id", "base"), "graph_id").select("graph_id", "vid", (F.col("base") + F.col("vid")).alias("id"), "base")

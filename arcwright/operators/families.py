@@ -29,13 +29,13 @@ def is_cycle_graph(g: Graphs) -> DataFrame:
 
 def bipartition_sides(g: Graphs) -> DataFrame:
     """Parity of the distance from the least vertex of the component, direction ignored."""
-    roots = settle(component_roots(g), "roots")
+    roots = component_roots(g)
     levels = reached_from(settle(g.nbrs().select("graph_id", "u", "v"), "steps"), roots.select("graph_id", F.col("root").alias("s")).distinct())
     return levels.select("graph_id", F.col("v").alias("vid"), (F.col("d") % 2).alias("side"))
 
 
 def bipartite(g: Graphs) -> DataFrame:
-    """is_bipartite of each graph; a loop or an edge within a side denies it."""
+    """is_bipartite, is_complete_bipartite and then the sides' sizes p and q; a loop or an edge within a side denies it."""
     sides = settle(bipartition_sides(g), "sides")
     a = sides.select("graph_id", F.col("vid").alias("src"), F.col("side").alias("x"))
     b = sides.select("graph_id", F.col("vid").alias("dst"), F.col("side").alias("y"))
@@ -44,18 +44,20 @@ def bipartite(g: Graphs) -> DataFrame:
     x = p.join(bad.withColumn("bad", F.lit(True)), "graph_id", "left").join(order_size(g), "graph_id").join(simple_flags(g), "graph_id").join(component_count(g), "graph_id")
     yes = F.col("bad").isNull()
     full = yes & F.col("connected") & (F.col("n") >= 2) & F.col("is_underlying_simple") & (F.col("q") > 0) & (F.col("m") == F.col("p") * F.col("q"))
-    return x.select("graph_id", yes.alias("is_bipartite"), full.alias("is_complete_bipartite"))
+    size = lambda c: F.when(full, F.col(c)).alias(c)
+    return x.select("graph_id", yes.alias("is_bipartite"), full.alias("is_complete_bipartite"), size("p"), size("q"))
 
 
 def forest_flags(g: Graphs) -> DataFrame:
-    """is_forest, is_tree, is_star; parallel edges and loops break a forest."""
+    """is_forest, is_tree, is_star and the star's centre (least vid); parallel edges and loops break a forest."""
     loops = g.edges.filter("src = dst").select("graph_id").distinct().withColumn("loop", F.lit(True))
-    hub = g.nbrs().groupBy("graph_id", "u").agg(F.count("*").alias("k")).groupBy("graph_id").agg(F.max("k").alias("k"))
+    near = g.vertices.select("graph_id", F.col("vid").alias("u")).join(g.nbrs().groupBy("graph_id", "u").agg(F.count("*").alias("k")), ["graph_id", "u"], "left").fillna(0, ["k"])
+    hub = near.groupBy("graph_id").agg(F.max(F.struct("k", (-F.col("u")).alias("u"))).alias("h")).select("graph_id", "h.k", (-F.col("h.u")).alias("hub"))
     x = order_size(g).join(component_count(g), "graph_id").join(loops, "graph_id", "left").join(hub, "graph_id", "left").join(simple_flags(g), "graph_id")
     forest = F.col("loop").isNull() & (F.col("m") == F.col("n") - F.col("components"))
     tree = forest & F.col("connected")
     star = tree & F.col("is_underlying_simple") & (F.coalesce("k", F.lit(0)) == F.col("n") - 1)
-    return x.select("graph_id", forest.alias("is_forest"), tree.alias("is_tree"), star.alias("is_star"))
+    return x.select("graph_id", forest.alias("is_forest"), tree.alias("is_tree"), star.alias("is_star"), F.when(star, F.col("hub")).alias("centre"))
 
 
 def is_cyclic(g: Graphs) -> DataFrame:
@@ -70,7 +72,7 @@ def is_cyclic(g: Graphs) -> DataFrame:
 
 
 def eulerian_status(g: Graphs) -> DataFrame:
-    """yes, semi, no or none (no edges): parity or balance, and one component with edges."""
+    """yes, semi, no or none (no edges): parity or balance, and one component with edges; and why."""
     d = degrees(g)
     roots = component_roots(g)
     spread = g.edges.select("graph_id", F.col("src").alias("vid")).join(roots, ["graph_id", "vid"]).groupBy("graph_id").agg(F.count_distinct("root").alias("parts"))
@@ -79,7 +81,12 @@ def eulerian_status(g: Graphs) -> DataFrame:
     x = g.graphs.join(s, "graph_id").join(spread, "graph_id", "left")
     open_ = F.when(F.col("directed"), (F.col("plus") == 1) & (F.col("minus") == 1) & (F.col("off") == 2)).otherwise(F.col("odd") == 2)
     closed = F.when(F.col("directed"), F.col("off") == 0).otherwise(F.col("odd") == 0)
-    return x.select("graph_id", F.when(F.col("parts").isNull(), "none").when(F.col("parts") > 1, "no").when(closed, "yes").when(open_, "semi").otherwise("no").alias("eulerian"))
+    kind = F.when(F.col("parts").isNull(), "none").when(F.col("parts") > 1, "no").when(closed, "yes").when(open_, "semi").otherwise("no")
+    say = lambda c, after: F.concat(F.col(c).cast("string"), F.lit(after))
+    why = F.when(kind == "none", "no edges").when(F.col("parts") > 1, say("parts", " components have edges"))
+    why = why.when(F.col("directed"), F.when(closed, "every vertex is balanced").when(open_, "one vertex starts and one ends an open trail").otherwise(say("off", " vertices are unbalanced")))
+    why = why.otherwise(F.when(closed, "every degree is even").otherwise(say("odd", " vertices have odd degree")))
+    return x.select("graph_id", kind.alias("eulerian"), why.alias("reason"))
 
 
 def _small(g: Graphs, most: int) -> DataFrame:

@@ -7,7 +7,8 @@ tie-breaks use them; ``base + vid`` is unique over all graphs of a table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,13 @@ class Graphs:
     graphs: DataFrame
     vertices: DataFrame
     edges: DataFrame
+    kept: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
+
+    def shared(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several operators ask for, written once for this graph set."""
+        if name not in self.kept:
+            self.kept[name] = settle(make(), name)
+        return self.kept[name]
 
     def flagged_edges(self) -> DataFrame:
         return self.edges.join(self.graphs.select("graph_id", "directed"), "graph_id")
