@@ -281,7 +281,7 @@ register(
     lambda g: _array_as_text(pairs.simple_paths(g, all_pairs(g)), "path"),
     f"recursive:{_PATHS}\n----select graph_id, s, e as t, cast(row_number() over (partition by graph_id, s, e order by len(path), path) - 1 as integer) as path_no, {_TEXT} as path from walk",
 )
-register("path_lengths", "click", lambda g: pairs.path_lengths(g, all_pairs(g)), f"recursive:{_PATHS}\n----select graph_id, s, e as t, cast(min(len(path) - 1) as integer) as shortest, cast(max(len(path) - 1) as integer) as longest, count(*) as paths from walk group by all")
+register("path_lengths", "click", lambda g: pairs.path_lengths(g, all_pairs(g)), f"recursive:{_PATHS}\n----select graph_id, s, e as t, cast(min(len(path) - 1) as integer) as shortest, cast(max(len(path) - 1) as integer) as longest, least(count(*), 300) as paths, count(*) > 300 as truncated from walk group by all")
 _GEO = f"recursive:{_WAYS.format(w='1')}, geo as (select w.graph_id, w.s, w.v as t, w.path from way w join dist d on d.graph_id = w.graph_id and d.s = w.s and d.v = w.v and d.d = w.d)"
 register("geodesics", "click", lambda g: _array_as_text(pairs.geodesics(g, all_pairs(g)), "path"), f"{_GEO}\n----select graph_id, s, t, {_TEXT} as path from geo")
 register(
@@ -297,17 +297,14 @@ register(
     lambda g: pairs.path_weight(g, pairs.geodesics(g, first_sources(g).join(g.vertices.filter("vid < 5").select("graph_id", F.col("vid").alias("t")), "graph_id"), most=1000)).select(*pairs.KEY, "weight").distinct(),
     f"recursive:{_RELAX}\n----select graph_id, s, v as t, d as weight from dist where v < 5 and s <> v",
 )
-register(
-    "trails",
-    "visit",
-    lambda g: _array_as_text(pairs.trails(g, all_pairs(g)), "trail"),
-    """recursive:tr as (
+_TRAILS = """recursive:tr as (
   select graph_id, vid as s, vid as e, []::bigint[] as trail from vertices
   union
   select t.graph_id, t.s, x.dst, list_append(t.trail, x.eid) from tr t join edges x on x.graph_id = t.graph_id and x.src = t.e where not list_contains(t.trail, x.eid)),
 ok as (select *, row_number() over (partition by graph_id, s, e order by trail) as r from tr where s <> e or len(trail) > 0)
-----select graph_id, s, e as t, cast(row_number() over (partition by graph_id, s, e order by len(trail), trail) - 1 as integer) as trail_no, array_to_string(trail, ',') as trail from ok where r <= 300""",
-)
+----select graph_id, s, e as t, cast(row_number() over (partition by graph_id, s, e order by len(trail), trail) - 1 as integer) as trail_no, array_to_string(trail, ',') as trail from ok where r <= 300"""
+for _name, _graph in (("trails", "visit"), ("trails_daily", "daily")):
+    register(_name, _graph, lambda g: _array_as_text(pairs.trails(g, all_pairs(g)), "trail"), _TRAILS)
 register(
     "walk_counts",
     "click",
@@ -316,19 +313,18 @@ register(
   select graph_id, vid as s, vid as v, 0 as length, cast(1 as bigint) as c from vertices
   union
   select graph_id, s, v, length, cast(sum(c) as bigint) from (select w.graph_id, w.s, m.v, w.length + 1 as length, w.c * m.mult as c from wc w join mult m on m.graph_id = w.graph_id and m.u = w.v where w.length < 8) y group by all)
-----select p.graph_id, p.s, p.t, cast(l.i as integer) as length, coalesce(c, 0) as walks from p join sz using (graph_id) join range(1, 9) l(i) on l.i <= least(greatest(n, 4), 8)
+----select p.graph_id, p.s, p.t, cast(l.i as integer) as length, coalesce(c, 0)::decimal(38,0) as walks from p join sz using (graph_id) join range(1, 9) l(i) on l.i <= least(greatest(n, 4), 8)
 left join wc on wc.graph_id = p.graph_id and wc.s = p.s and wc.v = p.t and wc.length = l.i""",
 )
-register(
-    "example_walk",
-    "click",
-    lambda g: _array_as_text(pairs.example_walk(g, all_pairs(g)), "walk"),
-    f"""recursive:{_SIZE}, ew as (
-  select graph_id, vid as s, vid as e, [vid] as walk from vertices
-  union
-  select graph_id, s, e, min(walk) from (select w.graph_id, m.u as s, w.e, list_prepend(m.u, w.walk) as walk from ew w join mult m on m.graph_id = w.graph_id and m.v = w.s where len(w.walk) < 9) y group by graph_id, s, e)
-----select graph_id, s, e as t, cast(len(walk) - 1 as integer) as length, array_to_string(walk, ',') as walk from ew join sz using (graph_id) where len(walk) > 1 and len(walk) - 1 <= least(greatest(n, 4), 8)""",
-)
+# s = t: out and back; else the first geodesic with its first step that can be gone back doubled
+_EXAMPLE = f"""{_GEO}, g1 as (select graph_id, s, t, min(path) as path from geo where s <> t group by all),
+mut as (select a.graph_id, a.u, a.v from arcs a join arcs b on b.graph_id = a.graph_id and b.u = a.v and b.v = a.u),
+turn as (select g1.graph_id, g1.s, g1.t, g1.path, min(i) as i from g1, range(1, 30) r(i), mut m where i < len(path) and m.graph_id = g1.graph_id and m.u = path[i] and m.v = path[i + 1] group by all),
+ew as (select graph_id, u as s, u as t, [u, min(v), u] as walk from mut group by graph_id, u
+  union all select graph_id, s, t, list_concat(path[:i + 1], path[i:]) from turn)
+----select graph_id, s, t, array_to_string(walk, ',') as walk from ew"""
+for _name, _graph in (("example_walk", "click"), ("example_walk_daily", "daily")):
+    register(_name, _graph, lambda g: _array_as_text(pairs.example_walk(g, all_pairs(g)), "walk"), _EXAMPLE)
 register(
     "semipath",
     "click",
@@ -341,6 +337,31 @@ rk as (select *, row_number() over (partition by graph_id, s, e order by len(pat
 ----select graph_id, s, e as t, array_to_string(path, ',') as path from rk where r = 1""",
 )
 
+_ARROWS = """recursive:uw as (
+  select graph_id, vid as s, vid as e, [vid] as path from vertices
+  union
+  select w.graph_id, w.s, a.v, list_append(w.path, a.v) from uw w join nbrs a on a.graph_id = w.graph_id and a.u = w.e where not list_contains(w.path, a.v)),
+best as (select graph_id, s, e as t, arg_min(path, list_prepend(len(path), path)) as path from uw group by all),
+st as (select b.graph_id, s, t, i, x.name, case when i = 1 then '' when not directed then ' – ' when f.u is not null and k.u is not null then ' ↔ ' when f.u is not null then ' → ' else ' ← ' end as sign, i = 1 or f.u is not null as forth
+  from best b join graphs using (graph_id), range(1, 8) r(i), vertices x left join arcs f on f.graph_id = x.graph_id and f.u = path[i - 1] and f.v = x.vid and i > 1
+  left join arcs k on k.graph_id = x.graph_id and k.v = path[i - 1] and k.u = x.vid and i > 1
+  where i <= len(path) and x.graph_id = b.graph_id and x.vid = path[i])
+----select graph_id, s, t, string_agg(sign || name, '' order by i) as semipath, bool_and(forth) as directed_path from st group by graph_id, s, t"""
+register("semipath_arrows", "daily", lambda g: pairs.semipath_arrows(g, all_pairs(g)), _ARROWS)
+register("semipath_arrows_mix", "mix", lambda g: pairs.semipath_arrows(g, all_pairs(g)), None)
+_REPORT_COLUMNS = [*pairs.KEY, "n_there", "n_back", "reachable", "hops", "n_geodesics", "n_paths", "shortest_path", "longest_path", "n_trails", "longest_trail", "directed_path"]
+
+
+def _pair_report(g: Graphs) -> DataFrame:
+    r = pairs.pair_report(g, all_pairs(g))
+    listed = [F.array_join(F.transform(c, lambda p: F.array_join(F.transform(p, lambda x: x.cast("string")), ",")), ";").alias(c) for c in ("geodesics", "paths", "trails")]
+    walks = F.array_join(F.transform("walk_counts", lambda x: x.cast("string")), ",").alias("walk_counts")
+    walk = F.array_join(F.transform("example_walk", lambda x: x.cast("string")), ",").alias("example_walk")
+    return r.select(*pairs.KEY, "n_there", "n_back", "loops", "reachable", "hops", "weight", "n_geodesics", "more_geodesics", "shortest_path", "longest_path", "n_paths", "more_paths", "n_trails", "more_trails", "longest_trail", *listed, walks, walk, "semipath", "directed_path")
+
+
+register("pair_report", "daily", _pair_report, None)
+
 # comparison
 register("complement", "click", compare.complement, "select a.graph_id, a.vid as u, b.vid as v from vertices a join vertices b on a.graph_id = b.graph_id and a.vid <> b.vid where not exists (select 1 from arcs x where x.graph_id = a.graph_id and x.u = a.vid and x.v = b.vid)")
 register("complement_size", "sparse", compare.complement_size, f"{_DENSITY}\n----select graph_id, cast(case when directed then n * (n - 1) else n * (n - 1) / 2 end - k as bigint) as complement_size from den")
@@ -392,6 +413,7 @@ def _matched(find: Callable, g: Graphs) -> DataFrame:
 
 register("isomorphism", "daily", lambda g: _matched(matching.isomorphism, g), _IMAGES.format(op="=", name="isomorphic"))
 register("subgraph_embedding", "daily", lambda g: _matched(matching.subgraph_embedding, g), _IMAGES.format(op="<=", name="embeds"))
+register("compare_report", "daily", lambda g: compare.compare_report(g, g, next_pairs(g)), None)
 register(
     "self_complementary",
     "daily",
@@ -519,6 +541,8 @@ for _name, _graph in (("block_members", "order"), ("block_members_daily", "daily
 register("block_count", "click", blocks.block_count, f"{_BLOCKS}\n----select graph_id, (select count(*) from heads h where h.graph_id = g.graph_id) as blocks from graphs g")
 register("block_count_orders", "order", blocks.block_count, f"{_BLOCKS}\n----select graph_id, count(h.u) as blocks from graphs left join heads h using (graph_id) group by all")
 register("wide_diameter", "click", containers.wide_diameter, None)
+register("wide_diameter_daily", "daily", containers.wide_diameter, None)
+register("container_detail", "daily", lambda g: _array_as_text(containers.container_detail(g), "numbers"), None)
 register(
     "k_wide_distance_one",
     "click",

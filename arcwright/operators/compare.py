@@ -58,3 +58,32 @@ def label_subgraph(a: Graphs, b: Graphs, pairs: DataFrame) -> DataFrame:
         (all_in & F.coalesce("eq", F.lit(True))).alias("is_induced"),
         (all_in & F.coalesce("eq", F.lit(True)) & (F.col("na") == F.col("nb"))).alias("same_labelled"),
     )
+
+
+def compare_report(a: Graphs, b: Graphs, pairs: DataFrame) -> DataFrame:
+    """The six comparisons for pairs(a_id, b_id), and 'n/a' where only one graph is directed.
+
+    same_labelled, a_in_b and b_in_a go by vertex names; isomorphic, a_embeds and b_embeds up to
+    renaming, each with its first mapping by names.  Weights are ignored.
+    """
+    from arcwright.functions.durable import settle
+    from arcwright.operators import matching
+
+    key = matching.PAIR
+    pairs = settle(pairs.select(*key).distinct(), "pairs")
+    turned = pairs.select(F.col("a_id").alias("b_id"), F.col("b_id").alias("a_id")).select(*key)
+    back = lambda df: df.select(F.col("a_id").alias("b_id"), F.col("b_id").alias("a_id"), *[c for c in df.columns if c not in key])
+
+    def matched(find, x: Graphs, y: Graphs, asked: DataFrame, name: str, text: str) -> DataFrame:
+        found = settle(find(x, y, asked), "matches")
+        status = [c for c in found.columns if c not in (*key, "map")][0]
+        return found.join(matching.mapping_string(found, x, y), key).select(*key, F.col(status).alias(name), F.col("mapping").alias(text))
+
+    labels = label_subgraph(a, b, pairs).select(*key, "same_labelled", F.col("is_subgraph").alias("a_in_b"))
+    other = back(label_subgraph(b, a, turned).select(*key, F.col("is_subgraph").alias("b_in_a")))
+    iso = matched(matching.isomorphism, a, b, pairs, "isomorphic", "mapping")
+    inside = matched(matching.subgraph_embedding, a, b, pairs, "a_embeds", "a_mapping")
+    around = back(matched(matching.subgraph_embedding, b, a, turned, "b_embeds", "b_mapping"))
+    out = pairs.join(labels, key).join(other, key).join(iso, key).join(inside, key).join(around, key)
+    word = lambda c: F.when(F.col("isomorphic") == "n/a", "n/a").when(F.col(c), "yes").otherwise("no").alias(c)
+    return out.select(*key, word("same_labelled"), word("a_in_b"), word("b_in_a"), "isomorphic", "mapping", "a_embeds", "a_mapping", "b_embeds", "b_mapping")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcwright.operators.model import Graphs
@@ -56,3 +56,21 @@ def k_wide_distance(g: Graphs, most_vertices: int = VERTEX_LIMIT) -> DataFrame:
 def wide_diameter(g: Graphs, most_vertices: int = VERTEX_LIMIT) -> DataFrame:
     """D_k: the largest d_k over the pairs that have width k."""
     return k_wide_distance(g, most_vertices).groupBy("graph_id", "k").agg(F.max("d_k").alias("diameter"))
+
+
+DETAILED = 5
+
+
+def container_detail(g: Graphs, most_vertices: int = VERTEX_LIMIT, most: int = DETAILED) -> DataFrame:
+    """The widest containers of each pair: graph_id, s, t, place, width, longest, numbers.
+
+    Width falling, then longest path rising, then the order of the containers; ``numbers`` are
+    path numbers in order of vids, longest path first.  The number of containers of a pair is in
+    ``containers``.  A pair's containers stand in one row, of bounded length by the limits.
+    """
+    c = containers(g, most_vertices).select(*KEY, "paths", F.size("kept").alias("containers"), F.posexplode("kept").alias("turn", "c"))
+    length = lambda i: F.get(F.col("paths"), i)["length"]
+    c = c.withColumn("width", F.size("c")).withColumn("longest", F.array_max(F.transform("c", length)))
+    place = Window.partitionBy(*KEY).orderBy(F.desc("width"), "longest", "turn")
+    ordered = F.transform(F.array_sort(F.transform("c", lambda i: F.struct((-length(i)).alias("l"), i.alias("i")))), lambda x: x["i"])
+    return c.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most).select(*KEY, "place", "width", "longest", "containers", ordered.alias("numbers"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcwright.functions.durable import settle
+from arcwright.functions.durable import discard, settle
 from arcwright.operators.adjacency import loop_vertices
 from arcwright.operators.distance import metric_reach, reached_from, reached_weights, underlying_hop_distance
 from arcwright.operators.families import in_small_order
@@ -43,31 +43,68 @@ def _grow(front: DataFrame, step, keep) -> DataFrame:
         out = out.union(front.filter(keep))
 
 
+OPENED = 1024  # prefixes of a pair that one round extends
+
+
+def _first_in_order(start: DataFrame, step, arrived, most: int) -> DataFrame:
+    """(graph_id, s, t, way): the first ``most`` ways of each pair in array order, without listing the others.
+
+    ``start`` holds prefixes (graph_id, s, t, way, end); ``step`` extends some by one.  Each round
+    extends, of every pair, only its first prefixes in order.  Once a pair has ``most`` ways,
+    prefixes behind the last of them lead to none that counts and go; so do ways behind it.
+    """
+    first = Window.partitionBy(*KEY).orderBy("way")
+    waiting = settle(start, "front")
+    found: DataFrame | None = None
+    while True:
+        ranked = settle(waiting.withColumn("place", F.row_number().over(first)), "ranked")
+        grown = settle(step(ranked.filter(F.col("place") <= OPENED).drop("place")), "grown")
+        new = grown.filter(arrived).select(*KEY, "way")
+        if found is None:
+            new = new.union(start.filter(arrived).select(*KEY, "way"))
+        both = new if found is None else found.union(new)
+        found = settle(both.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most).drop("place"), "found")
+        last = found.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("way").alias("last")).filter(F.col("n") == most).select(*KEY, "last")
+        left = ranked.filter(F.col("place") > OPENED).drop("place").union(grown)
+        after = settle(left.join(last, KEY, "left").filter("last is null or way <= last").drop("last"), "front")
+        discard(waiting)
+        waiting = after
+        if not waiting.limit(1).count():
+            return found
+
+
 def simple_paths(g: Graphs, pairs: DataFrame, most: int = 300) -> DataFrame:
     """The first ``most`` simple paths of each pair in order of vids, numbered shortest first.
 
-    A frontier of path arrays; vertices from which no way leads to t are never stepped on.
-    For small graphs: the number of paths is exponential.
+    Vertices from which no way leads to t are never stepped on, and the first paths are
+    found without listing all of them, whose number is exponential.
     """
-    arcs = g.arcs().select("graph_id", F.col("u").alias("end"), F.col("v").alias("next"))
-    back = g.arcs().select("graph_id", F.col("v").alias("u"), F.col("u").alias("v"))
-    ways = settle(reached_from(back, pairs.select("graph_id", F.col("t").alias("s")).distinct()).select("graph_id", F.col("s").alias("t"), F.col("v").alias("next")), "ways")
-    start = pairs.select(*KEY, F.array("s").alias("path"), F.col("s").alias("end"))
+    arcs = settle(g.arcs().select("graph_id", F.col("u").alias("end"), F.col("v").alias("next")), "steps")
+    ways = _leading_to(g, pairs)
+    start = pairs.select(*KEY, F.array("s").alias("way"), F.col("s").alias("end"))
 
     def step(front: DataFrame) -> DataFrame:
         live = front.filter("end <> t")
-        grown = live.join(arcs, ["graph_id", "end"]).filter(~F.array_contains("path", F.col("next"))).join(ways, ["graph_id", "t", "next"], "left_semi")
-        return grown.select(*KEY, F.concat("path", F.array("next")).alias("path"), F.col("next").alias("end"))
+        grown = live.join(arcs, ["graph_id", "end"]).filter(~F.array_contains("way", F.col("next"))).join(ways, ["graph_id", "t", "next"], "left_semi")
+        return grown.select(*KEY, F.concat("way", F.array("next")).alias("way"), F.col("next").alias("end"))
 
-    found = _grow(settle(start, "front"), step, F.col("end") == F.col("t")).select(*KEY, "path")
-    first = in_small_order(found, KEY, ["path"], most)
+    found = _first_in_order(start, step, F.col("end") == F.col("t"), most).withColumnRenamed("way", "path")
     by_size = Window.partitionBy(*KEY).orderBy(F.size("path"), "path")
-    return first.select(*KEY, (F.row_number().over(by_size) - 1).alias("path_no"), "path")
+    return found.select(*KEY, (F.row_number().over(by_size) - 1).alias("path_no"), "path")
+
 
+def _leading_to(g: Graphs, pairs: DataFrame) -> DataFrame:
+    """(graph_id, t, next): the vertices from which a way leads to each t."""
+    back = settle(g.arcs().select("graph_id", F.col("v").alias("u"), F.col("u").alias("v")), "back")
+    return settle(reached_from(back, pairs.select("graph_id", F.col("t").alias("s")).distinct()).select("graph_id", F.col("s").alias("t"), F.col("v").alias("next")), "ways")
 
-def path_lengths(g: Graphs, pairs: DataFrame) -> DataFrame:
-    p = simple_paths(g, pairs).groupBy(*KEY).agg(F.min(F.size("path") - 1).alias("shortest"), F.max(F.size("path") - 1).alias("longest"), F.count("*").alias("paths"))
-    return p
+
+def path_lengths(g: Graphs, pairs: DataFrame, most: int = 300) -> DataFrame:
+    """Shortest and longest of the first ``most`` simple paths, their number, and whether there are more."""
+    p = simple_paths(g, pairs, most + 1)
+    order = Window.partitionBy(*KEY).orderBy("path")
+    n = p.withColumn("place", F.row_number().over(order)).groupBy(*KEY).agg(F.count("*").alias("n"), F.min(F.when(F.col("place") <= most, F.size("path") - 1)).alias("shortest"), F.max(F.when(F.col("place") <= most, F.size("path") - 1)).alias("longest"))
+    return n.select(*KEY, "shortest", "longest", F.least("n", F.lit(most)).alias("paths"), (F.col("n") > most).alias("truncated"))
 
 
 def geodesics(g: Graphs, pairs: DataFrame, most: int = 50) -> DataFrame:
@@ -90,25 +127,31 @@ def geodesics(g: Graphs, pairs: DataFrame, most: int = 50) -> DataFrame:
 
 
 def trails(g: Graphs, pairs: DataFrame, most: int = 300) -> DataFrame:
-    """Walks without a repeated edge, the first ``most`` by edge ids, numbered shortest first."""
+    """Walks without a repeated edge, the first ``most`` by edge ids, numbered shortest first.
+
+    Found as simple_paths are: steps only where t can still be reached, and no full listing.
+    """
     e = g.flagged_edges()
     forth = e.select("graph_id", "eid", F.col("src").alias("end"), F.col("dst").alias("next"))
-    steps = forth.union(e.filter("not directed and src <> dst").select("graph_id", "eid", F.col("dst").alias("end"), F.col("src").alias("next")))
-    start = pairs.select(*KEY, F.array().cast("array<bigint>").alias("trail"), F.col("s").alias("end"))
+    steps = settle(forth.union(e.filter("not directed and src <> dst").select("graph_id", "eid", F.col("dst").alias("end"), F.col("src").alias("next"))), "steps")
+    ways = _leading_to(g, pairs)
+    start = pairs.select(*KEY, F.array().cast("array<bigint>").alias("way"), F.col("s").alias("end"))
 
     def step(front: DataFrame) -> DataFrame:
-        grown = front.join(steps, ["graph_id", "end"]).filter(~F.array_contains("trail", F.col("eid")))
-        return grown.select(*KEY, F.concat("trail", F.array("eid")).alias("trail"), F.col("next").alias("end"))
+        grown = front.join(steps, ["graph_id", "end"]).filter(~F.array_contains("way", F.col("eid"))).join(ways, ["graph_id", "t", "next"], "left_semi")
+        return grown.select(*KEY, F.concat("way", F.array("eid")).alias("way"), F.col("next").alias("end"))
 
-    arrived = (F.col("end") == F.col("t")) & ((F.col("s") != F.col("t")) | (F.size("trail") > 0))
-    found = _grow(settle(start, "front"), step, arrived).select(*KEY, "trail")
-    first = in_small_order(found, KEY, ["trail"], most)
+    arrived = (F.col("end") == F.col("t")) & (F.size("way") > 0)
+    found = _first_in_order(start, step, arrived, most).withColumnRenamed("way", "trail")
     by_size = Window.partitionBy(*KEY).orderBy(F.size("trail"), "trail")
-    return first.select(*KEY, (F.row_number().over(by_size) - 1).alias("trail_no"), "trail")
+    return found.select(*KEY, (F.row_number().over(by_size) - 1).alias("trail_no"), "trail")
 
 
 def walk_counts(g: Graphs, pairs: DataFrame, longest: int = 8) -> DataFrame:
-    """Number of walks s -> t of each length 1..min(max(n, 4), 8); parallel edges multiply."""
+    """Number of walks s -> t of each length 1..min(max(n, 4), 8); parallel edges multiply.
+
+    Counts are exact to 38 digits and come back as decimals.
+    """
     n = g.vertices.groupBy("graph_id").agg(F.least(F.greatest(F.count("*"), F.lit(4)), F.lit(longest)).alias("k"))
     m = g.mult().select("graph_id", F.col("u").alias("v"), F.col("v").alias("next"), "mult")
     front = settle(pairs.select("graph_id", "s").distinct().select("graph_id", "s", F.col("s").alias("v"), F.lit(1).cast("decimal(38,0)").alias("walks")), "walks")
@@ -117,27 +160,27 @@ def walk_counts(g: Graphs, pairs: DataFrame, longest: int = 8) -> DataFrame:
         grown = front.join(m, ["graph_id", "v"]).groupBy("graph_id", "s", F.col("next").alias("v")).agg(F.sum(F.col("walks") * F.col("mult")).cast("decimal(38,0)").alias("walks"))
         front = settle(grown, "walks")
         mine = pairs.join(n, "graph_id").filter(F.col("k") >= length).join(front.withColumnRenamed("v", "t"), KEY, "left")
-        mine = mine.select(*KEY, F.lit(length).alias("length"), F.coalesce("walks", F.lit(0).cast("decimal(38,0)")).cast("long").alias("walks"))
+        mine = mine.select(*KEY, F.lit(length).alias("length"), F.coalesce("walks", F.lit(0).cast("decimal(38,0)")).alias("walks"))
         out = mine if out is None else out.union(mine)
     return out
 
 
-def example_walk(g: Graphs, pairs: DataFrame, longest: int = 8) -> DataFrame:
-    """A walk s -> t for each length 1..min(max(n, 4), 8) that has one: the least by vids.
+def example_walk(g: Graphs, pairs: DataFrame) -> DataFrame:
+    """(graph_id, s, t, walk): one walk s -> t that repeats a vertex; no row where the rule gives none.
 
-    Grown from t backwards, keeping the least walk of each vertex, so a row for each vertex
-    and length is all that is held.
+    For s = t: out to the least neighbour with an arc back, and back.  Else along the first
+    geodesic, with its first step that has an arc back gone forth, back and forth again.
     """
-    n = g.vertices.groupBy("graph_id").agg(F.least(F.greatest(F.count("*"), F.lit(4)), F.lit(longest)).alias("k"))
-    arcs = g.mult().select("graph_id", F.col("u").alias("prev"), F.col("v").alias("s"))
-    front = pairs.select("graph_id", "t").distinct().select("graph_id", "t", F.col("t").alias("s"), F.array("t").alias("walk"))
-    out = None
-    for length in range(1, longest + 1):
-        grown = front.join(arcs, ["graph_id", "s"]).groupBy("graph_id", "t", F.col("prev").alias("s")).agg(F.min(F.concat(F.array("prev"), F.col("walk"))).alias("walk"))
-        front = settle(grown, "walks")
-        mine = pairs.join(n, "graph_id").filter(F.col("k") >= length).join(front, KEY).select(*KEY, F.lit(length).alias("length"), "walk")
-        out = mine if out is None else out.union(mine)
-    return out
+    arcs = g.arcs().select("graph_id", "u", "v")
+    back = arcs.select("graph_id", F.col("v").alias("u"), F.col("u").alias("v"))
+    mutual = settle(arcs.join(back, ["graph_id", "u", "v"]), "mutual")
+    near = mutual.groupBy("graph_id", F.col("u").alias("s")).agg(F.min("v").alias("x"))
+    closed = pairs.filter("s = t").join(near, ["graph_id", "s"]).select(*KEY, F.array("s", "x", "s").alias("walk"))
+    first = geodesics(g, pairs.filter("s <> t"), most=1)
+    steps = first.select(*KEY, "path", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("i", "u")).withColumn("v", F.get("path", F.col("i") + 1))
+    turn = steps.join(mutual, ["graph_id", "u", "v"]).groupBy(*KEY, "path").agg(F.min("i").alias("i"))
+    there, rest = F.slice("path", F.lit(1), F.col("i") + 2), F.expr("slice(path, i + 1, size(path) - i)")
+    return closed.union(turn.select(*KEY, F.concat(there, rest).alias("walk")))
 
 
 def semipath(g: Graphs, pairs: DataFrame) -> DataFrame:
@@ -155,6 +198,54 @@ def semipath(g: Graphs, pairs: DataFrame) -> DataFrame:
     return found.groupBy(*KEY).agg(F.min("path").alias("path"))
 
 
+def semipath_arrows(g: Graphs, pairs: DataFrame) -> DataFrame:
+    """(graph_id, s, t, semipath, directed_path): the semipath's names with a sign for each step.
+
+    A dash in a graph; in a digraph an arrow forth, back or both ways.  ``directed_path`` says
+    whether every step has an arc forth.
+    """
+    p = settle(semipath(g, pairs), "semipaths")
+    name = g.vertices.select("graph_id", F.col("vid").alias("v"), "name")
+    steps = p.select(*KEY, F.posexplode("path").alias("i", "v"), "path").withColumn("u", F.when(F.col("i") > 0, F.get("path", F.col("i") - 1)))
+    forth = g.arcs().select("graph_id", "u", "v", F.lit(True).alias("forth"))
+    back = g.arcs().select("graph_id", F.col("v").alias("u"), F.col("u").alias("v"), F.lit(True).alias("back"))
+    x = steps.join(name, ["graph_id", "v"]).join(forth, ["graph_id", "u", "v"], "left").join(back, ["graph_id", "u", "v"], "left").join(g.graphs.select("graph_id", "directed"), "graph_id")
+    sign = F.when(F.col("i") == 0, "").when(~F.col("directed"), " – ").when(F.col("forth") & F.col("back"), " ↔ ").when(F.col("forth"), " → ").otherwise(" ← ")
+    told = x.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", F.concat(sign, "name").alias("text")))).alias("x"), F.bool_and((F.col("i") == 0) | F.col("forth").isNotNull()).alias("directed_path"))
+    return told.select(*KEY, F.array_join(F.transform("x", lambda y: y["text"]), "").alias("semipath"), "directed_path")
+
+
+GEODESICS_SHOWN, PATHS_SHOWN, TRAILS_SHOWN = 4, 25, 15
+
+
+def pair_report(g: Graphs, pairs: DataFrame) -> DataFrame:
+    """One row for each pair: adjacency, reachability, distances, walks, and listings cut for display.
+
+    Counts say how many geodesics (of 50 kept), paths and trails (of 300) there are, the flags
+    whether there are more; ``geodesics``, ``paths`` and ``trails`` list the first 4, 25 and 15
+    as vids (trails as edge ids), shortest first.
+    """
+    pairs = settle(pairs.select(*KEY).distinct(), "pairs")
+    listed = lambda df, col, order, shown, kept, name: df.groupBy(*KEY).agg(
+        F.least(F.count("*"), F.lit(kept)).alias("n_" + name), (F.count("*") > kept).alias(f"more_{name}"),
+        F.slice(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(col).alias("_way")))), lambda x: x["_way"]), 1, shown).alias(name),
+    )
+    geo = listed(geodesics(g, pairs, most=51), "path", ["path"], GEODESICS_SHOWN, 50, "geodesics")
+    p = settle(simple_paths(g, pairs, 301), "paths")
+    paths = listed(p, "path", [F.size("path"), "path"], PATHS_SHOWN, 300, "paths")
+    t = settle(trails(g, pairs, 301), "trails")
+    shown = listed(t, "trail", [F.size("trail"), "trail"], TRAILS_SHOWN, 300, "trails").join(t.groupBy(*KEY).agg(F.max(F.size("trail")).alias("longest_trail")), KEY)
+    counts = walk_counts(g, pairs).groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("length", "walks"))), lambda x: x["walks"]).alias("walk_counts"))
+    near = pair_adjacency(g, pairs).join(pair_reachability(g, pairs), KEY)
+    out = near.join(counts, KEY, "left").join(geo, KEY, "left").join(path_lengths_of(p), KEY, "left").join(paths, KEY, "left").join(shown, KEY, "left")
+    out = out.join(example_walk(g, pairs).withColumnRenamed("walk", "example_walk"), KEY, "left").join(semipath_arrows(g, pairs), KEY, "left")
+    return out.fillna(0, ["n_geodesics", "n_paths", "n_trails"]).fillna(False, ["more_geodesics", "more_paths", "more_trails"])
+
+
+def path_lengths_of(paths: DataFrame) -> DataFrame:
+    return paths.groupBy(*KEY).agg(F.min(F.size("path") - 1).alias("shortest_path"), F.max(F.size("path") - 1).alias("longest_path"))
+
+
 def path_weight(g: Graphs, paths: DataFrame) -> DataFrame:
     """Sum of the lightest weights along paths(graph_id, s, t, path)."""
     steps = paths.select(*KEY, "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("u"), F.element_at("path", i + 1).alias("v")))).alias("x")).filter("size(path) > 1")
