@@ -93,7 +93,8 @@ register(
     "density",
     "click",
     stats.density,
-    f"{_DENSITY}\n----select graph_id, round(density, 9) as density, case when n < 2 then 'n/a' when density <= 0.3 then 'Sparse' when density >= 0.7 then 'Dense' else 'Moderate' end as label from den",
+    f"""{_DENSITY}\n----select graph_id, round(density, 9) as density, case when n < 2 then 'n/a' when density <= 0.3 then 'Sparse' when density >= 0.7 then 'Dense' else 'Moderate' end as label,
+  case when n >= 2 then floor(round(density, 9) * 100 + 0.5)::bigint end as percent from den""",
 )
 register("weight_summary", "local", stats.weight_summary, "select graph_id, sum(weight) as total, min(weight) as lightest, max(weight) as heaviest from graphs left join edges using (graph_id) group by all")
 _KINDS = "k3 as (select graph_id, vid, 'total' as kind, degree from deg union all select graph_id, vid, 'in', indeg from deg union all select graph_id, vid, 'out', outdeg from deg)"
@@ -106,6 +107,10 @@ register(
 ----select graph_id, kind, degree, count(*) as freq, round(100.0::double * count(*) / (select count(*) from vertices v where v.graph_id = k3.graph_id), 9) as percent, min(vid) as first_vid
 from k3 group by graph_id, kind, degree""",
 )
+_NAMES = f"""{_KINDS}, dm as (select k3.graph_id, kind, degree, k3.vid, name from k3 join vertices v on v.graph_id = k3.graph_id and v.vid = k3.vid)"""
+register("degree_members", "daily", stats.degree_members, f"{_NAMES}\n----select * from dm")
+register("degree_names", "mix", lambda g: stats.degree_names(g, 3), f"""{_NAMES}, dn as (select *, row_number() over (partition by graph_id, kind, degree order by vid) as r from dm)
+----select graph_id, kind, degree, count(*) as freq, string_agg(name, ', ' order by vid) filter (r <= 3) as names, greatest(count(*) - 3, 0) as more from dn group by graph_id, kind, degree""")
 
 # connectivity
 _REACH = """reach as (
@@ -256,7 +261,31 @@ thru as (select g.graph_id, x.vid, sum(1.0::double / c) as b from geo g join cnt
 ----select v.graph_id, v.vid, round(case when n > 2 then coalesce(b, 0) / ((n - 1) * (n - 2)) else 0 end, 9) as betweenness from vertices v join sz using (graph_id) left join thru on thru.graph_id = v.graph_id and thru.vid = v.vid""",
 )
 
-register("vertex_report", "click", distance.vertex_report, None)
+# without a vertex: what its least neighbour still reaches
+_FLOOD = """flood as (
+  select graph_id, u as gone, min(v) as v from nbrs group by all
+  union
+  select f.graph_id, f.gone, n.v from flood f join nbrs n on n.graph_id = f.graph_id and n.u = f.v where n.v <> f.gone)"""
+_TWO = "floor(round({}, 9) * 100 + 0.5) / 100"
+_VERTICES = f"""recursive:{_WAYS.format(w="{w}")}, {_SIZE}, {_FLOOD},
+r as (select graph_id, s, count(*) as reach, sum(d) as total from dist where s <> v group by all),
+far as (select graph_id, s, count(*) as k, max(d) as d from dist group by all),
+geo as (select w.graph_id, w.s, w.v as t, w.path from way w join dist d on d.graph_id = w.graph_id and d.s = w.s and d.v = w.v and abs(d.d - w.d) < 1e-9 where w.s <> w.v),
+cnt as (select graph_id, s, t, count(*) as c from geo group by all),
+thru as (select g.graph_id, x.vid, sum(1.0::double / c) as b from geo g join cnt using (graph_id, s, t) join vertices x on x.graph_id = g.graph_id where list_contains(path, x.vid) and x.vid <> g.s and x.vid <> g.t group by all),
+cut as (select distinct graph_id, u as vid from nbrs n where not exists (select 1 from flood f where f.graph_id = n.graph_id and f.gone = n.u and f.v = n.v)),
+near as (select graph_id, u as vid, count(*) as k, min(v) as least from nbrs group by all),
+under as (select graph_id, vid as u, vid as v from vertices union select x.graph_id, x.u, n.v from under x join nbrs n on n.graph_id = x.graph_id and n.u = x.v)
+----select v.graph_id, v.vid, v.name, degree, indeg::bigint as indeg, outdeg::bigint as outdeg, loops::bigint as loops, degree = 0 as isolated, loops > 0 as has_loop, cut.vid is not null as cutpoint,
+  coalesce(near.k, 0) as neighbours, (select min(u.v) from under u where u.graph_id = v.graph_id and u.u = v.vid) as component_root,
+  far.k - 1 as reached, case when far.k = n then far.d end as eccentricity,
+  {_TWO.format("case when n > 1 then coalesce(near.k, 0)::double / (n - 1) else 0 end")} as degree_centrality,
+  {_TWO.format("case when total > 0 then reach / total * reach / (n - 1) else 0 end")} as closeness,
+  {_TWO.format("case when n > 2 then coalesce(b, 0) / ((n - 1) * (n - 2)) else 0 end")} as betweenness
+from vertices v join deg using (graph_id, vid) join sz using (graph_id) join far on far.graph_id = v.graph_id and far.s = v.vid left join cut on cut.graph_id = v.graph_id and cut.vid = v.vid
+  left join near on near.graph_id = v.graph_id and near.vid = v.vid left join r on r.graph_id = v.graph_id and r.s = v.vid left join thru on thru.graph_id = v.graph_id and thru.vid = v.vid"""
+register("vertex_report", "click", distance.vertex_report, _VERTICES.format(w="1"))
+register("vertex_report_daily", "daily", distance.vertex_report, _VERTICES.format(w="1"))
 
 # pairs
 register(
@@ -342,14 +371,12 @@ _ARROWS = """recursive:uw as (
   union
   select w.graph_id, w.s, a.v, list_append(w.path, a.v) from uw w join nbrs a on a.graph_id = w.graph_id and a.u = w.e where not list_contains(w.path, a.v)),
 best as (select graph_id, s, e as t, arg_min(path, list_prepend(len(path), path)) as path from uw group by all),
-st as (select b.graph_id, s, t, i, x.name, case when i = 1 then '' when not directed then ' – ' when f.u is not null and k.u is not null then ' ↔ ' when f.u is not null then ' → ' else ' ← ' end as sign, i = 1 or f.u is not null as forth
-  from best b join graphs using (graph_id), range(1, 8) r(i), vertices x left join arcs f on f.graph_id = x.graph_id and f.u = path[i - 1] and f.v = x.vid and i > 1
-  left join arcs k on k.graph_id = x.graph_id and k.v = path[i - 1] and k.u = x.vid and i > 1
-  where i <= len(path) and x.graph_id = b.graph_id and x.vid = path[i])
+spot as (select b.graph_id, s, t, directed, i, path[i - 1] as p, path[i] as v from best b join graphs using (graph_id), range(1, 8) r(i) where i <= len(path)),
+st as (select y.graph_id, s, t, i, x.name, case when i = 1 then '' when not directed then ' – ' when f.u is not null and k.u is not null then ' ↔ ' when f.u is not null then ' → ' else ' ← ' end as sign, i = 1 or f.u is not null as forth
+  from spot y join vertices x on x.graph_id = y.graph_id and x.vid = y.v left join arcs f on f.graph_id = y.graph_id and f.u = y.p and f.v = y.v left join arcs k on k.graph_id = y.graph_id and k.u = y.v and k.v = y.p)
 ----select graph_id, s, t, string_agg(sign || name, '' order by i) as semipath, bool_and(forth) as directed_path from st group by graph_id, s, t"""
 register("semipath_arrows", "daily", lambda g: pairs.semipath_arrows(g, all_pairs(g)), _ARROWS)
 register("semipath_arrows_mix", "mix", lambda g: pairs.semipath_arrows(g, all_pairs(g)), None)
-_REPORT_COLUMNS = [*pairs.KEY, "n_there", "n_back", "reachable", "hops", "n_geodesics", "n_paths", "shortest_path", "longest_path", "n_trails", "longest_trail", "directed_path"]
 
 
 def _pair_report(g: Graphs) -> DataFrame:
@@ -491,7 +518,8 @@ register("path_string", "click", lambda g: report.path_string(pairs.semipath(g,
   select w.graph_id, w.s, a.v, list_append(w.path, a.v), w.shown || ' → ' || x.name from uw w join nbrs a on a.graph_id = w.graph_id and a.u = w.e join vertices x on x.graph_id = a.graph_id and x.vid = a.v where not list_contains(w.path, a.v)),
 rk as (select *, row_number() over (partition by graph_id, s, e order by len(path), path) as r from uw)
 ----select graph_id, s, e as t, shown as path_string from rk where r = 1""")
-register("overview_report", "click", report.overview_report, None)
+register("overview_report", "daily", report.overview_report, None)
+register("overview_report_mix", "mix", report.overview_report, None)
 
 # blocks: the comparing engine deletes each vertex or pair and counts components anew
 _GONE = """vreach as (
@@ -513,11 +541,6 @@ _BRIDGES = """recursive:breach as (
   select r.graph_id, r.a, r.b, n.v from breach r join nbrs n on n.graph_id = r.graph_id and n.u = r.v and not (n.u = r.a and n.v = r.b) and not (n.u = r.b and n.v = r.a))
 ----select graph_id, u, v from upairs p where ucount = 1 and not exists (select 1 from breach r where r.graph_id = p.graph_id and r.a = p.u and r.b = p.v and r.v = p.v)"""
 register("bridges", "click", blocks.bridges, _BRIDGES)
-# of a vertex without its own self: what its least neighbour still reaches
-_FLOOD = """flood as (
-  select graph_id, u as gone, min(v) as v from nbrs group by all
-  union
-  select f.graph_id, f.gone, n.v from flood f join nbrs n on n.graph_id = f.graph_id and n.u = f.v where n.v <> f.gone)"""
 for _name, _graph in (("cutpoints_orders", "order"), ("cutpoints_basket", "basket"), ("cutpoints_local", "local")):
     register(
         _name,
@@ -551,6 +574,22 @@ register(
 )
 
 
+register("set_mode", "daily", lambda g: edits.set_mode(g, g.graphs.filter("graph_id < '5'").select("graph_id", F.lit(False).alias("directed"), F.lit(None).cast("boolean").alias("weighted"), F.lit(False).alias("multi"))).select("graph_id", "directed", "weighted", "multi"), "select graph_id, graph_id >= '5' as directed, weighted, graph_id >= '5' as multi from graphs")
+register("edge_name", "daily", report.edge_name, "select e.graph_id, eid, '(' || a.name || '→' || b.name || ')' as edge_name from edges e join vertices a on a.graph_id = e.graph_id and a.vid = src join vertices b on b.graph_id = e.graph_id and b.vid = dst")
+register("set_string", "daily", lambda g: report.set_string(blocks.block_members(g), g, ["graph_id", "block"]), f"{_BLOCKS}\n----select bm.graph_id, block, '{{' || string_agg(name, ',' order by bm.vid) || '}}' as text from bm join vertices v on v.graph_id = bm.graph_id and v.vid = bm.vid group by bm.graph_id, block")
+register(
+    "underlying_parents",
+    "daily",
+    lambda g: pairs.underlying_parents(g, distance.all_sources(g)),
+    """recursive:uw as (
+  select graph_id, vid as s, vid as e, [vid] as path from vertices
+  union
+  select w.graph_id, w.s, a.v, list_append(w.path, a.v) from uw w join nbrs a on a.graph_id = w.graph_id and a.u = w.e where not list_contains(w.path, a.v)),
+best as (select graph_id, s, e as v, arg_min(path, list_prepend(len(path), path)) as path from uw group by all)
+----select graph_id, s, v, cast(len(path) - 1 as integer) as hops, path[len(path) - 1] as parent from best""",
+)
+
+
 def _text_round_trip(g: Graphs) -> DataFrame:
     path = new_path(g.edges.sparkSession, "graphs")
     graph_text.write_graph_text(g, path)

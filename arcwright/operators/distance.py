@@ -108,23 +108,50 @@ def degree_centrality(g: Graphs) -> DataFrame:
     return d.select("graph_id", "vid", F.round(F.when(F.col("n") > 1, F.coalesce("k", F.lit(0)) / (F.col("n") - 1)).otherwise(0.0), 9).alias("centrality"))
 
 
-def closeness(g: Graphs, sources: DataFrame) -> DataFrame:
-    """(reach / sum of distances) * (reach / (n - 1)), distances outwards in the active metric."""
+SOURCES_A_BATCH = 512  # of each graph
+
+
+def source_batches(g: Graphs, batch: int = SOURCES_A_BATCH) -> list[DataFrame]:
+    """All vertices as sources, ``batch`` vids of each graph at a time: rows held are batch x n."""
+    most = g.vertices.agg(F.max("vid")).first()[0]
+    every = all_sources(g)
+    return [every.filter(F.col("s").between(a, a + batch - 1)) for a in range(0, (-1 if most is None else most) + 1, batch)]
+
+
+def _closeness(g: Graphs, sources: DataFrame, dist: DataFrame) -> DataFrame:
     n = g.vertices.groupBy("graph_id").agg(F.count("*").alias("n"))
-    r = metric_reach(g, sources).filter("s <> v").groupBy("graph_id", "s").agg(F.count("*").alias("reach"), F.sum("d").alias("total"))
+    r = dist.filter("s <> v").groupBy("graph_id", "s").agg(F.count("*").alias("reach"), F.sum("d").alias("total"))
     d = sources.select("graph_id", "s").distinct().join(r, ["graph_id", "s"], "left").join(n, "graph_id")
     value = F.when(F.col("total") > 0, F.col("reach") / F.col("total") * F.col("reach") / (F.col("n") - 1)).otherwise(0.0)
     return d.select("graph_id", F.col("s").alias("vid"), F.round(value, 9).alias("closeness"))
 
 
-def betweenness(g: Graphs, sources: DataFrame | None = None) -> DataFrame:
-    """Shortest-path betweenness of every vertex, over all sources, normalised.
+def closeness(g: Graphs, sources: DataFrame | None = None, batch: int = SOURCES_A_BATCH) -> DataFrame:
+    """(reach / sum of distances) * (reach / (n - 1)), distances outwards in the active metric.
+
+    Of the given sources, or of all vertices by batches.
+    """
+    if sources is not None:
+        return _closeness(g, sources, metric_reach(g, sources))
+    parts = [settle(_closeness(g, some, metric_reach(g, some)), "closeness") for some in source_batches(g, batch)]
+    return _all_of(parts, g, "closeness double")
+
+
+def _all_of(parts: list[DataFrame], g: Graphs, column: str) -> DataFrame:
+    if not parts:
+        return g.vertices.sparkSession.createDataFrame([], f"graph_id string, vid long, {column}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def _dependencies(g: Graphs, src: DataFrame, dist: DataFrame) -> DataFrame:
+    """(graph_id, vid, x): dependencies of the sources in ``src`` on each vertex.
 
     Arcs on shortest ways form a graph without cycles, so path counts sigma and the
     dependencies delta come from pushing rows along them until no row is left.
     """
-    src = all_sources(g) if sources is None else sources
-    dist = settle(metric_reach(g, src), "dist")
     length = F.when(F.col("weighted"), F.col("min_w")).otherwise(1.0)
     arcs = g.arcs().join(g.graphs.select("graph_id", "weighted"), "graph_id").select("graph_id", "u", "v", length.alias("w"))
     du = dist.select("graph_id", "s", F.col("v").alias("u"), F.col("d").alias("du"))
@@ -146,29 +173,53 @@ def betweenness(g: Graphs, sources: DataFrame | None = None) -> DataFrame:
     backward = lambda f: f.join(share, ["graph_id", "s", "v"]).groupBy("graph_id", "s", F.col("u").alias("v")).agg(F.sum(F.col("x") * F.col("r")).alias("x"))
     ones = sigma.select("graph_id", "s", "v", F.lit(1.0).alias("x"))
     delta = pushed(settle(backward(ones), "delta"), backward)
-    sums = delta.filter("v <> s").groupBy("graph_id", F.col("v").alias("vid")).agg(F.sum("x").alias("x"))
-    n = g.vertices.groupBy("graph_id").agg(F.count("*").alias("n")).join(g.graphs.select("graph_id", "directed"), "graph_id")
-    d = g.vertices.join(sums, ["graph_id", "vid"], "left").join(n, "graph_id")
+    return delta.filter("v <> s").groupBy("graph_id", F.col("v").alias("vid")).agg(F.sum("x").alias("x"))
+
+
+def _normalised(g: Graphs, sums: DataFrame) -> DataFrame:
+    n = g.vertices.groupBy("graph_id").agg(F.count("*").alias("n"))
+    d = g.vertices.join(sums.groupBy("graph_id", "vid").agg(F.sum("x").alias("x")), ["graph_id", "vid"], "left").join(n, "graph_id")
     # undirected: halved sums over (n-1)(n-2)/2 is the same quotient
     return d.select("graph_id", "vid", F.round(F.when(F.col("n") > 2, F.coalesce("x", F.lit(0.0)) / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0), 9).alias("betweenness"))
 
 
-def vertex_report(g: Graphs) -> DataFrame:
-    """One row for each vertex: degrees, loops, distinct neighbours, component, reach,
-    eccentricity (null where a vertex is not reached) and the three centralities.
+def betweenness(g: Graphs, sources: DataFrame | None = None, batch: int = SOURCES_A_BATCH) -> DataFrame:
+    """Shortest-path betweenness of every vertex, normalised; over all sources by batches, or over those given."""
+    parts = []
+    for some in [sources] if sources is not None else source_batches(g, batch):
+        dist = settle(metric_reach(g, some), "dist")
+        parts.append(settle(_dependencies(g, some, dist), "delta"))
+        discard(dist)
+    return _normalised(g, _all_of(parts, g, "x double"))
 
-    All sources are searched, so this is for corpora of small graphs.
+
+def vertex_report(g: Graphs, batch: int = SOURCES_A_BATCH) -> DataFrame:
+    """One row for each vertex: degrees, loops, whether it is isolated, has a loop, is a cutpoint;
+    distinct neighbours, component, reach, eccentricity (null where a vertex is not reached) and
+    the three centralities to two decimals.
+
+    Sources are searched by batches, and each batch's distances once for all columns.
     """
     from arcwright.operators.adjacency import degrees
+    from arcwright.operators.blocks import cutpoints
     from arcwright.operators.connectivity import component_roots
+    from arcwright.operators.stats import round2
 
+    at = ["graph_id", "vid"]
+    reach, close, delta = [], [], []
+    for some in source_batches(g, batch):
+        dist = settle(metric_reach(g, some), "dist")
+        reach.append(settle(dist.groupBy("graph_id", F.col("s").alias("vid")).agg(F.count("*").alias("r"), F.max("d").alias("far")), "reach"))
+        close.append(settle(_closeness(g, some, dist), "closeness"))
+        delta.append(settle(_dependencies(g, some, dist), "delta"))
+        discard(dist)
     n = g.vertices.groupBy("graph_id").agg(F.count("*").alias("n"))
-    reach = metric_reach(g, all_sources(g)).groupBy("graph_id", F.col("s").alias("vid")).agg(F.count("*").alias("r"), F.max("d").alias("far"))
     near = g.nbrs().groupBy("graph_id", F.col("u").alias("vid")).agg(F.count("*").alias("neighbours"))
-    at = ["graph_id", "vid"]
-    x = g.vertices.join(degrees(g).select(*at, "degree", "indeg", "outdeg", "loops"), at).join(near, at, "left").join(component_roots(g), at).join(reach, at).join(n, "graph_id")
-    x = x.join(degree_centrality(g), at).join(closeness(g, all_sources(g)), at).join(betweenness(g), at)
+    x = g.vertices.join(degrees(g).select(*at, "degree", "indeg", "outdeg", "loops"), at).join(near, at, "left").join(component_roots(g), at).join(_all_of(reach, g, "r long, far double"), at).join(n, "graph_id")
+    x = x.join(degree_centrality(g), at).join(_all_of(close, g, "closeness double"), at).join(_normalised(g, _all_of(delta, g, "x double")), at)
+    x = x.join(cutpoints(g).withColumn("cut", F.lit(True)), at, "left")
     return x.select(
-        *at, "name", "degree", "indeg", "outdeg", "loops", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), F.col("root").alias("component_root"),
-        (F.col("r") - 1).alias("reached"), F.when(F.col("r") == F.col("n"), F.col("far")).alias("eccentricity"), F.col("centrality").alias("degree_centrality"), "closeness", "betweenness",
+        *at, "name", "degree", "indeg", "outdeg", "loops", (F.col("degree") == 0).alias("isolated"), (F.col("loops") > 0).alias("has_loop"), F.col("cut").isNotNull().alias("cutpoint"),
+        F.coalesce("neighbours", F.lit(0)).alias("neighbours"), F.col("root").alias("component_root"), (F.col("r") - 1).alias("reached"), F.when(F.col("r") == F.col("n"), F.col("far")).alias("eccentricity"),
+        round2(F.col("centrality")).alias("degree_centrality"), round2(F.col("closeness")).alias("closeness"), round2(F.col("betweenness")).alias("betweenness"),
     )

@@ -75,3 +75,13 @@ def next_free_names(g: Graphs, want: int) -> DataFrame:
     free = tries.withColumn("name", F.col("number").cast("string")).join(g.vertices.select("graph_id", "name"), ["graph_id", "name"], "left_anti")
     w = Window.partitionBy("graph_id").orderBy("number")
     return free.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= want).select("graph_id", "name")
+
+
+def set_mode(g: Graphs, modes: DataFrame) -> DataFrame:
+    """``g.graphs`` with the flags of modes(graph_id, directed, weighted, multi); a null flag stays as it is.
+
+    Edges are left as they are: a mode only says how they are read and which new ones are allowed.
+    """
+    new = modes.select("graph_id", *[F.col(c).alias("_" + c) for c in ("directed", "weighted", "multi")])
+    flags = [F.coalesce("_" + c, c).alias(c) for c in ("directed", "weighted", "multi")]
+    return g.graphs.join(new, "graph_id", "left").select("graph_id", *flags, "base")

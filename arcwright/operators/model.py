@@ -61,6 +61,7 @@ def snapshot(flags: DataFrame, vertices: DataFrame, edges: DataFrame, vertex_ord
     flags(graph_id, directed, weighted, multi); vertices(graph_id, name, ...) with names
     unique in a graph; edges(graph_id, src_name, dst_name, weight, ...).  Edges whose ends
     are no vertices are dropped.  Graphs without vertices keep their row in ``graphs``.
+    Coordinates x and y stay with the vertices where there are any.
     """
     v = settle(number_rows(vertices, ["graph_id"], vertex_order, "vid", "gid"), "vertices")
     base = v.groupBy("graph_id").agg((F.min("gid")).alias("base"))
@@ -69,4 +70,5 @@ def snapshot(flags: DataFrame, vertices: DataFrame, edges: DataFrame, vertex_ord
     s = v.select("graph_id", F.col("name").alias("src_name"), F.col("vid").alias("src"))
     d = v.select("graph_id", F.col("name").alias("dst_name"), F.col("vid").alias("dst"))
     e = numbered.join(s, ["graph_id", "src_name"]).join(d, ["graph_id", "dst_name"])
-    return Graphs(graphs, v.select("graph_id", "vid", "name"), settle(e.select("graph_id", "eid", "src", "dst", "weight"), "edges"))
+    spots = [c for c in ("x", "y") if c in vertices.columns]
+    return Graphs(graphs, v.select("graph_id", "vid", "name", *spots), settle(e.select("graph_id", "eid", "src", "dst", "weight"), "edges"))

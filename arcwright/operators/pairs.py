@@ -198,6 +198,17 @@ def semipath(g: Graphs, pairs: DataFrame) -> DataFrame:
     return found.groupBy(*KEY).agg(F.min("path").alias("path"))
 
 
+def underlying_parents(g: Graphs, sources: DataFrame) -> DataFrame:
+    """(graph_id, s, v, hops, parent): the vertex before v on its semipath from s; null at s itself.
+
+    What is reached from s when direction is ignored; of ways equally long the least one counts.
+    """
+    found = underlying_hop_distance(g, sources).filter("hops >= 0").select("graph_id", "s", F.col("v").alias("t"))
+    p = semipath(g, settle(found, "pairs"))
+    n = F.size("path")
+    return p.select("graph_id", "s", F.col("t").alias("v"), (n - 1).alias("hops"), F.when(n > 1, F.get("path", n - 2)).alias("parent"))
+
+
 def semipath_arrows(g: Graphs, pairs: DataFrame) -> DataFrame:
     """(graph_id, s, t, semipath, directed_path): the semipath's names with a sign for each step.
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwright.operators.edits import parse_weight
 from arcwright.operators.model import Graphs
 
 
@@ -19,42 +18,77 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     named = F.regexp_extract("file", "/graph=([^/]+)/", 1)
     graph = F.url_decode(F.when(named != "", named).otherwise(F.regexp_extract("file", "([^/]+)$", 1)))
-    return rows.select(graph.alias("graph_id"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    return rows.select(graph.alias("graph_id"), F.split("value", "\r\n|\r|\n").alias("lines"))
 
 
-def _line(i: int) -> Column:
-    return F.trim(F.get("lines", i))
+def _words(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(r"[^ \t\f\x0B]+"), F.lit(0))
 
 
-def _flag(i: int) -> Column:
-    return F.lower(F.element_at(F.split(_line(i), r"\s+"), -1)) == "true"
+def _text_lines(texts: DataFrame) -> DataFrame:
+    """The files' lines without the blank ones at the end."""
+    filled = F.array_max(F.transform("lines", lambda x, i: F.when(F.trim(F.regexp_replace(x, r"\s", " ")) != "", i)))
+    return texts.select("graph_id", F.expr("lines").alias("_lines"), filled.alias("_last")).select("graph_id", F.when(F.col("_last").isNotNull(), F.slice("_lines", F.lit(1), F.col("_last") + 1)).otherwise(F.array().cast("array<string>")).alias("lines"))
+
+
+def _is_sectioned(lines: str = "lines") -> Column:
+    return F.coalesce(F.trim(F.get(lines, F.lit(0))).startswith("GRAPH"), F.lit(False))
+
+
+def _count(line: Column, word: str) -> Column:
+    """The count of a line ``word k``; null if the word is another one or k no number from 0."""
+    w = _words(line)
+    k = F.get(w, F.lit(1)).try_cast("int")
+    return F.when((F.get(w, F.lit(0)) == word) & (k >= 0), k)
+
+
+def _weight(text: Column) -> Column:
+    """A weight of a file: a point, not a comma; null unless positive and finite."""
+    w = text.try_cast("double")
+    return F.when((w > 0) & (w < float("inf")), w)
 
 
 def parse_graph_text(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """graphs, vertices, edges and rejected(graph_id) of sectioned files.
+    """graphs, vertices(graph_id, vid, name, x, y), edges and rejected(graph_id) of sectioned files.
 
-    A file is rejected whole if an edge's end is no vertex number or its weight is not a
-    positive finite number, if a count is none or negative, or if a section is short.
+    A file is rejected whole if a section's word or count is another one, if a section is short,
+    if a vertex lacks a name or whole coordinates, if an edge's end is no vertex number, or if
+    a weight is not a positive finite number.  Lines after the last edge do not matter.
     """
-    size = lambda c: F.least(F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)), F.size("lines"))  # noqa: E731  counts are not to be trusted
-    count = lambda i: F.element_at(F.split(F.trim(F.get("lines", i)), r"\s+"), -1).try_cast("int")
-    x = texts.filter(_line(0).startswith("GRAPH")).withColumn("n", count(F.lit(4))).withColumn("m", count(size("n") + 5))
-    body = x.select("graph_id", "n", "m", "lines", F.posexplode(F.slice("lines", size("n") + 7, size("m"))).alias("pos", "line"))
-    f = F.split(F.trim("line"), r"\s+")
-    edges = body.select("graph_id", "n", F.col("pos").cast("long").alias("eid"), F.get(f, 0).try_cast("long").alias("src"), F.get(f, 1).try_cast("long").alias("dst"), parse_weight(F.get(f, 2)).alias("weight"))
-    good = F.coalesce(F.col("src").between(0, F.col("n") - 1) & F.col("dst").between(0, F.col("n") - 1) & F.col("weight").isNotNull(), F.lit(False))
-    bad = edges.filter(~good).select("graph_id").union(x.filter("n is null or m is null or n < 0 or m < 0 or size(lines) < cast(n as bigint) + m + 6").select("graph_id")).distinct()
-    fine = x.join(bad, "graph_id", "left_anti")
-    names = fine.select("graph_id", F.posexplode(F.slice("lines", 6, size("n"))).alias("pos", "line"))
-    v = F.split(F.trim("line"), r"\s+")
-    vertices = names.select("graph_id", F.col("pos").cast("long").alias("vid"), F.get(v, 0).alias("name"), F.get(v, 1).try_cast("int").alias("x"), F.get(v, 2).try_cast("int").alias("y"))
-    graphs = fine.select("graph_id", _flag(1).alias("directed"), _flag(2).alias("weighted"), _flag(3).alias("multi"))
-    return graphs, vertices, edges.join(bad, "graph_id", "left_anti").select("graph_id", "eid", "src", "dst", "weight"), bad
+    x = _text_lines(texts).filter(_is_sectioned())
+    line = lambda i: F.get("lines", F.lit(i) if isinstance(i, int) else i)
+    words = {w: _words(line(i + 1)) for i, w in enumerate(("directed", "weighted", "multi"))}
+    for w, found in words.items():
+        x = x.withColumn(w, F.when(F.get(found, F.lit(0)) == w, F.lower(F.get(found, F.lit(1))) == "true"))
+    x = x.withColumn("n", _count(line(4), "vertices"))
+    inside = lambda c: F.least(F.coalesce(F.col(c), F.lit(0)), F.size("lines"))  # noqa: E731  counts are not to be trusted
+    x = x.withColumn("m", _count(line(inside("n") + 5), "edges"))
+    v = F.transform(F.slice("lines", F.lit(6), inside("n")), lambda s: F.struct(F.get(_words(s), F.lit(0)).alias("name"), F.get(_words(s), F.lit(1)).try_cast("int").alias("x"), F.get(_words(s), F.lit(2)).try_cast("int").alias("y")))
+    e = F.transform(
+        F.slice("lines", inside("n") + 7, inside("m")),
+        lambda s: F.struct(F.get(_words(s), F.lit(0)).try_cast("int").cast("long").alias("src"), F.get(_words(s), F.lit(1)).try_cast("int").cast("long").alias("dst"), _weight(F.get(_words(s), F.lit(2))).alias("weight")),
+    )
+    x = x.withColumn("v", v).withColumn("e", e)
+    known = lambda i, n: i.isNotNull() & (i >= 0) & (i < n)
+    fits = F.forall("v", lambda s: s["x"].isNotNull() & s["y"].isNotNull()) & F.forall("e", lambda s: known(s["src"], F.col("n")) & known(s["dst"], F.col("n")) & s["weight"].isNotNull())
+    good = F.col("directed").isNotNull() & F.col("weighted").isNotNull() & F.col("multi").isNotNull() & (F.size("v") == F.col("n")) & (F.size("e") == F.col("m")) & fits
+    x = x.withColumn("good", F.coalesce(good, F.lit(False)))
+    fine, bad = x.filter("good"), x.filter("not good").select("graph_id")
+    vertices = fine.select("graph_id", F.posexplode("v").alias("vid", "s")).select("graph_id", F.col("vid").cast("long").alias("vid"), "s.*")
+    edges = fine.select("graph_id", F.posexplode("e").alias("eid", "s")).select("graph_id", F.col("eid").cast("long").alias("eid"), "s.*")
+    return fine.select("graph_id", "directed", "weighted", "multi"), vertices, edges, bad
 
 
 def _adjacency_files(texts: DataFrame) -> DataFrame:
-    x = texts.filter(~_line(0).startswith("GRAPH")).withColumn("n", _line(0).try_cast("int"))
-    return x.withColumn("fine", F.coalesce(F.expr("n >= 0 and size(lines) >= 2 * cast(n as bigint) + 1"), F.lit(False)))
+    """Adjacency files with n, their names, rows and coordinates; ``fine`` if all of them hold."""
+    x = _text_lines(texts).filter(~_is_sectioned()).withColumn("n", F.trim(F.get("lines", F.lit(0))).try_cast("int"))
+    inside = F.least(F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)), F.size("lines"))
+    x = x.withColumn("names", F.slice("lines", F.lit(2), inside)).withColumn("rows", F.slice("lines", inside + 2, inside)).withColumn("spots", F.slice("lines", 2 * inside + 2, inside))
+    spot = lambda s, i: F.trim(F.get(F.split(s, ","), F.lit(i))).try_cast("int")
+    x = x.withColumn("spots", F.transform("spots", lambda s: F.struct(spot(s, 0).alias("x"), spot(s, 1).alias("y"))))
+    wide = F.forall(F.transform("rows", lambda s, j: (j == F.col("n") - 1) | (F.length(s) >= F.col("n"))), lambda b: b)
+    fine = (F.col("n") >= 0) & (F.size("rows") == F.col("n")) & wide & F.forall("spots", lambda s: s["x"].isNotNull() & s["y"].isNotNull())
+    return x.withColumn("fine", F.coalesce(fine, F.lit(False)))
 
 
 def rejected_adjacency(texts: DataFrame) -> DataFrame:
@@ -63,14 +97,16 @@ def rejected_adjacency(texts: DataFrame) -> DataFrame:
 
 
 def parse_adjacency_text(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """vertices and edges of adjacency files: undirected, unweighted, simple.
+    """vertices(graph_id, vid, name, x, y) and edges of adjacency files: undirected, unweighted, simple.
 
-    Files whose first line is no count, a negative one or more than their lines are left
-    out; ``rejected_adjacency`` lists them.
+    After the rows, ``x,y`` lines may give the coordinates of the first vertices; others lie at 0,0.
+    Files whose count is none, negative or more than their lines, whose rows are short or whose
+    coordinates are no whole numbers are left out; ``rejected_adjacency`` lists them.
     """
     x = _adjacency_files(texts).filter("fine")
-    vertices = x.select("graph_id", F.posexplode(F.slice("lines", 2, F.col("n"))).alias("vid", "name")).select("graph_id", F.col("vid").cast("long").alias("vid"), "name")
-    rows = x.select("graph_id", "n", F.posexplode(F.slice("lines", F.col("n") + 2, F.col("n"))).alias("u", "cells"))
+    at = lambda c: F.coalesce(F.get("spots", F.col("vid"))[c], F.lit(0)).alias(c)
+    vertices = x.select("graph_id", "spots", F.posexplode("names").alias("vid", "name")).select("graph_id", F.col("vid").cast("long").alias("vid"), F.trim("name").alias("name"), at("x"), at("y"))
+    rows = x.select("graph_id", "n", F.posexplode("rows").alias("u", "cells"))
     cells = rows.select("graph_id", "u", "cells", F.explode(F.expr("filter(sequence(0, greatest(n - 1, 0)), v -> v > u)")).alias("v"))
     marked = cells.filter(F.expr("substring(cells, v + 1, 1) = '1'"))
     return vertices, marked.select("graph_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
@@ -79,6 +115,8 @@ def parse_adjacency_text(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write_graph_text(g: Graphs, path: str) -> None:
     """One sectioned file per graph below ``path``/graph=<id>; blanks in names become ``_``.
 
+    Vertices without coordinates are put at 0 0.
+
     A file's lines are gathered in one row, so this is for graphs that fit a file.
     """
     sizes = g.vertices.groupBy("graph_id").agg(F.count("*").alias("n"))
@@ -86,7 +124,7 @@ def write_graph_text(g: Graphs, path: str) -> None:
     flags = g.graphs.join(sizes, "graph_id", "left").join(m, "graph_id", "left").fillna(0, ["n", "m"])
     word = lambda name, c: F.concat(F.lit(name + " "), F.col(c).cast("string"))
     head = flags.select("graph_id", F.posexplode(F.array(F.lit("GRAPH 2"), word("directed", "directed"), word("weighted", "weighted"), word("multi", "multi"), word("vertices", "n"))).alias("at", "line")).select("graph_id", F.lit(0).alias("part"), F.col("at").cast("long").alias("at"), "line")
-    v = g.vertices.select("graph_id", F.lit(1).alias("part"), F.col("vid").alias("at"), F.concat(F.regexp_replace("name", r"\s", "_"), F.lit(" 0 0")).alias("line"))
+    v = g.vertices.select("graph_id", F.lit(1).alias("part"), F.col("vid").alias("at"), F.concat_ws(" ", F.regexp_replace("name", r"\s+", "_"), *[F.coalesce(F.col(c).cast("string"), F.lit("0")) if c in g.vertices.columns else F.lit("0") for c in ("x", "y")]).alias("line"))
     mid = flags.select("graph_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("at"), word("edges", "m").alias("line"))
     e = g.edges.select("graph_id", F.lit(3).alias("part"), F.col("eid").alias("at"), F.concat_ws(" ", F.col("src").cast("string"), F.col("dst").cast("string"), F.col("weight").cast("string")).alias("line"))
     _write(head.union(v).union(mid).union(e), path)

@@ -156,17 +156,45 @@ def test_wide_diameters_of_known_graphs(spark):
 def test_rejected_graph_files(spark, tmp_path):
     from arcwright.sources import graph_text
 
-    good = "GRAPH 2\ndirected true\nweighted false\nmulti false\nvertices 2\na 1 2\nb 3 4\nedges 1\n0 1 2,5\n"
+    good = "GRAPH 2\ndirected TRUE\nweighted no\nmulti false extra\nvertices 2\na  1\t-2 tail\nb 3 +4\nedges 1\n0 1 2.5\n\n"
+    swaps = {
+        "far": ("0 1 2.5", "0 7 1"), "minus": ("0 1 2.5", "-1 0 1"), "nan": ("2.5", "NaN"), "zero": ("2.5", "0"), "endless": ("2.5", "Infinity"), "comma": ("2.5", "2,5"), "bare": ("0 1 2.5", "0 1"), "half": ("0 1 2.5", "0.5 1 1"),
+        "foo": ("directed", "foo"), "bar": ("vertices 2", "bar 2"), "case": ("edges", "Edges"), "flag": ("weighted no", "weighted"), "nospot": ("b 3 +4", "b"), "onespot": ("b 3 +4", "b 3"), "part": ("b 3 +4", "b 3 4.5"),
+        "wide": ("b 3 +4", "b 3 3000000000"), "more": ("edges 1", "edges 2"), "less": ("vertices 2", "vertices 1"), "none": ("0 1 2.5\n\n", "\n"), "order": ("directed TRUE\nweighted no", "weighted no\ndirected TRUE"),
+    }
+    for name, (old, new) in swaps.items():
+        assert old in good
+        (tmp_path / name).write_text(good.replace(old, new))
     (tmp_path / "good").write_text(good)
-    (tmp_path / "far").write_text(good.replace("0 1 2,5", "0 7 1"))
-    (tmp_path / "heavy").write_text(good.replace("2,5", "NaN"))
-    (tmp_path / "old").write_text("3\nA\nB\nC\n010\n101\n010\n5,5\n")
+    (tmp_path / "dos").write_text(good.replace("\n", "\r\n"))
+    (tmp_path / "mac").write_text(good.replace("\n", "\r") + "after the last edge")
+    old = "3\nA\n B \nC\n0x1\n..1\n\n5,5\n -6 , 7\n\n"
+    (tmp_path / "old").write_text(old)
+    (tmp_path / "oldshort").write_text(old.replace("..1", ".."))
+    (tmp_path / "oldspot").write_text(old.replace("5,5", "5;5"))
     texts = graph_text.read_texts(spark, str(tmp_path))
     graphs, vertices, edges, bad = graph_text.parse_graph_text(texts)
-    assert {r["graph_id"] for r in bad.collect()} == {"far", "heavy"} and {r["graph_id"] for r in graphs.collect()} == {"good"}
-    assert [(r["src"], r["dst"], r["weight"]) for r in edges.collect()] == [(0, 1, 2.5)] and vertices.count() == 2
+    assert {r["graph_id"] for r in bad.collect()} == set(swaps) and {tuple(r) for r in graphs.collect()} == {(k, True, False, False) for k in ("good", "dos", "mac")}
+    assert sorted(map(tuple, edges.filter("graph_id = 'good'").collect())) == [("good", 0, 0, 1, 2.5)] and edges.count() == 3
+    assert sorted(map(tuple, vertices.filter("graph_id = 'dos'").collect())) == [("dos", 0, "a", 1, -2), ("dos", 1, "b", 3, 4)]
     v, e = graph_text.parse_adjacency_text(texts)
-    assert {(r["u"], r["v"]) for r in e.collect()} == {(0, 1), (1, 2)} and v.count() == 3
+    assert {(r["graph_id"], r["u"], r["v"]) for r in e.collect()} == {("old", 0, 2), ("old", 1, 2)}
+    assert sorted(map(tuple, v.collect())) == [("old", 0, "A", 5, 5), ("old", 1, "B", -6, 7), ("old", 2, "C", 0, 0)]
+    assert {r["graph_id"] for r in graph_text.rejected_adjacency(texts).collect()} == {"oldshort", "oldspot"}
+
+
+def test_graph_files_keep_coordinates(spark, tmp_path):
+    from arcwright.sources import graph_text
+
+    flags = spark.createDataFrame([("g", True, True, True), ("none", False, False, False)], "graph_id string, directed boolean, weighted boolean, multi boolean")
+    v = spark.createDataFrame([("g", "a  b", 7, -8), ("g", "c", 0, 9)], "graph_id string, name string, x int, y int")
+    e = spark.createDataFrame([("g", "c", "a  b", 0.1), ("g", "c", "c", 1e9)], "graph_id string, src_name string, dst_name string, weight double")
+    g = snapshot(flags, v, e, ["name"], ["weight"])
+    graph_text.write_graph_text(g, str(tmp_path / "out"))
+    graphs, vertices, edges, bad = graph_text.parse_graph_text(graph_text.read_texts(spark, str(tmp_path / "out")))
+    assert bad.count() == 0 and {tuple(r) for r in graphs.collect()} == {("g", True, True, True), ("none", False, False, False)}
+    assert sorted(map(tuple, vertices.collect())) == [("g", 0, "a_b", 7, -8), ("g", 1, "c", 0, 9)]
+    assert sorted(map(tuple, edges.collect())) == [("g", 0, 1, 0, 0.1), ("g", 1, 1, 1, 1e9)]
 
 
 def test_strong_components_of_long_ways_and_a_grid(spark):
