@@ -81,8 +81,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     The first occurrence of a chunk, by doc_id then line, stays.  Texts without a line
     break, empty and null texts come back as they are, and so does an empty table; chunks
     of blank lines are left alone.  Two columns follow those of ``docs``: _removed_chunks
-    and _removed_lines.
+    and _removed_lines.  Other columns may have any names but these two.
     """
+    told = {c: f"_other{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    back = [F.col(told.get(c, c)).alias(c) for c in docs.columns]
+    docs = docs.select(*[F.col(f"`{c}`").alias(told.get(c, c)) for c in docs.columns])
     gone = settle(removed_chunks(docs, min_lines), "gone")
     by = gone.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_m")).agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
     d = _marked(docs)
@@ -94,7 +97,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     text = F.transform(F.array(F.struct(lines.alias("l"), kept.alias("k"))), lambda x: F.array_join(F.transform(x["k"], lambda i: F.element_at(x["l"], i["i"])), "\n"))[0]
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text))
     return out.select(
-        *docs.columns,
+        *back,
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("_removed_chunks"),
         F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.aggregate("_gone", F.lit(0), lambda s, g: s + g["n"])).alias("_removed_lines"),
     )
