@@ -2,8 +2,8 @@
 
 Iterative jobs cut their lineage by writing each round as Parquet below the
 folder that the cluster names in ``spark.checkpoint.dir``, which the driver and
-all executors share.  Only where that setting is unset (tests, a laptop) is a
-folder of our own taken.
+all executors share.  Only where that setting is unset and driver and tasks are one process
+(tests, a laptop) is a folder of our own taken; on a cluster the setting is needed.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ def work_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")

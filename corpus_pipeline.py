@@ -32,12 +32,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id stays, once.
 
-    Rows with a null doc_id stand in no group, so all of them stay.
+    Rows are told apart by doc_id and text, so a text goes only for its own near copies.  Of
+    near copies that share the least doc_id one stays, and equal rows of a doc_id count once.
+    Texts without words have no near copies, and rows with a null doc_id stand in no group: all
+    of them stay.  Other columns are kept as they are, and an empty table stays empty.
     """
-    others = jaccard.near_documents(docs).filter("not kept and doc_id is not null").select("doc_id")
-    same = Window.partitionBy("doc_id", F.md5(F.col("text").cast("binary"))).orderBy("doc_id")
-    left = docs.join(others, "doc_id", "left_anti").withColumn("_turn", F.row_number().over(same))
-    return left.filter("_turn = 1 or doc_id is null").select(*docs.columns)
+    near = jaccard.near_documents(docs).filter("doc_id is not null and n_shingles > 0")
+    near = settle(near.select("doc_id", "text_key", "component_id", "kept"), "near")
+    stays = near.filter("kept").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
+    own = "_"  # no column of the table starts like those that are added
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    gone = near.join(stays, ["doc_id", "text_key"], "left_anti").select(F.col("doc_id").alias(f"{own}id"), F.col("text_key").alias(f"{own}gone")).distinct()
+    keyed = docs.withColumn(f"{own}key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    named = keyed.filter("doc_id is not null").join(gone, (F.col("doc_id") == F.col(f"{own}id")) & (F.col(f"{own}key") == F.col(f"{own}gone")), "left_anti")
+    same = Window.partitionBy("doc_id", f"{own}key").orderBy("doc_id")
+    left = named.withColumn(f"{own}turn", F.row_number().over(same)).filter(f"{own}turn = 1").select(*docs.columns)
+    return left.union(docs.filter("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
