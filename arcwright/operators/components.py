@@ -27,13 +27,13 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own)
 
 
-def star_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
+def star_components(pairs: DataFrame, max_rounds: int = 120) -> DataFrame:
     """Component of every vertex that occurs in ``pairs(u, v)``: rows (id, component).
 
     ``component`` is the least id in the component.  Loops and nulls are ignored; an
     empty input gives no rows.  A contraction is two aggregations with map-side combine
-    and two joins, whose hub keys AQE may split; after every second one the edge list is
-    written to the shared folder, and its check sum is observed while it is written.
+    and two joins, whose hub keys AQE may split; after each the edge list is written to the
+    shared folder, so plans stay small, and its check sum is observed while it is written.
     """
     sums = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")]
     first = Observation()
@@ -41,9 +41,7 @@ def star_components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = first.get
     for _ in range(max_rounds):
         shape = Observation()
-        edges = now
-        for _ in range(2):
-            edges = _small_star(_large_star(edges)).filter("u <> v").distinct()
+        edges = _small_star(_large_star(now)).filter("u <> v").distinct()
         after = settle(edges.observe(shape, *sums), "stars")
         discard(now)
         now = after
