@@ -25,11 +25,6 @@ def register(name: str, graph: str, work: Callable[[Graphs], DataFrame], sql: st
         ORACLES[name] = f"with {recursive}{oracle_prelude(graph)}{',' + ctes if ctes.strip() else ''}\n{final}"
 
 
-def first_sources(g: Graphs, most: int = 5) -> DataFrame:
-    """The stated sources: vids below ``most`` of each graph."""
-    return g.vertices.filter(F.col("vid") < most).select("graph_id", F.col("vid").alias("s"))
-
-
 def all_pairs(g: Graphs) -> DataFrame:
     """All ordered pairs of each graph; for small graphs."""
     return distance.all_sources(g).join(g.vertices.select("graph_id", F.col("vid").alias("t")), "graph_id")
@@ -46,7 +41,7 @@ register("underlying_multiplicity", "cs", adjacency.underlying_multiplicity, "se
 register("weight_matrix", "trade", adjacency.weight_matrix, "select graph_id, u, v, min_w from arcs")
 _LIST = "select graph_id, u, string_agg(cast(v as varchar), ',' order by v) as neighbours from {} group by all"
 register("out_neighbours", "click", lambda g: _array_as_text(adjacency.out_neighbours(g), "neighbours"), _LIST.format("arcs"))
-register("underlying_neighbours", "sparse", lambda g: _array_as_text(adjacency.underlying_neighbours(g), "neighbours"), _LIST.format("nbrs"))
+register("underlying_neighbours", "purchases", lambda g: _array_as_text(adjacency.underlying_neighbours(g), "neighbours"), _LIST.format("nbrs"))
 _PAIRS = "p as (select a.graph_id, a.vid as s, b.vid as t from vertices a join vertices b on a.graph_id = b.graph_id)"
 register(
     "count_between",
@@ -66,7 +61,7 @@ from p left join arcs a on a.graph_id = p.graph_id and a.u = s and a.v = t group
 )
 register("degrees", "cs", adjacency.degrees, "select graph_id, vid, degree, indeg, outdeg, cast(loops as bigint) as loops from deg")
 register("degrees_directed", "trade", adjacency.degrees, "select graph_id, vid, degree, cast(indeg as bigint) as indeg, cast(outdeg as bigint) as outdeg, cast(loops as bigint) as loops from deg")
-register("isolated_vertices", "cust_all", adjacency.isolated_vertices, "select d.graph_id, d.vid, v.name from deg d join vertices v on v.graph_id = d.graph_id and v.vid = d.vid where degree = 0")
+register("isolated_vertices", "daily", adjacency.isolated_vertices, "select d.graph_id, d.vid, v.name from deg d join vertices v on v.graph_id = d.graph_id and v.vid = d.vid where degree = 0")
 register("loop_vertices", "trade", adjacency.loop_vertices, "select graph_id, src as vid, count(*) as loops from edges where src = dst group by all")
 _ONCE = "select graph_id, count(*) as k from arcs join graphs using (graph_id) where (directed or u < v){} group by all"
 register("distinct_arcs", "click", adjacency.distinct_arcs, f"x as ({_ONCE.format('')})\n----select graph_id, coalesce(k, 0) as distinct_arcs from graphs left join x using (graph_id)")
@@ -118,15 +113,21 @@ _REACH = """reach as (
   union
   select r.graph_id, r.u, n.v from reach r join nbrs n on n.graph_id = r.graph_id and n.u = r.v),
 roots as (select graph_id, u as vid, min(v) as root from reach group by all)"""
-register("connected_components", "sparse", connectivity.connected_components, f"recursive:{_REACH}\n----select graph_id, vid, dense_rank() over (partition by graph_id order by root) - 1 as component from roots")
+# least labels, one row a vertex: ends on whole tables where listing all reached pairs does not
+_LABELS = """roots(graph_id, vid, root) using key (graph_id, vid) as (
+  select graph_id, vid, vid from vertices
+  union
+  select n.graph_id, n.v, min(r.root) from roots r join nbrs n on n.graph_id = r.graph_id and n.u = r.vid join recurring.roots o on o.graph_id = n.graph_id and o.vid = n.v
+  where r.root < o.root group by n.graph_id, n.v)"""
+register("connected_components", "purchases", connectivity.connected_components, f"recursive:{_LABELS}\n----select graph_id, vid, dense_rank() over (partition by graph_id order by root) - 1 as component from roots")
 register("connected_components_corpus", "local", connectivity.connected_components, f"recursive:{_REACH}\n----select graph_id, vid, dense_rank() over (partition by graph_id order by root) - 1 as component from roots")
 register("component_count", "local", connectivity.component_count, f"recursive:{_REACH}\n----select graph_id, count(distinct root) as components, count(distinct root) = 1 as connected from roots group by all")
-register("component_members", "sparse", connectivity.component_members, f"recursive:{_REACH}\n----select graph_id, root, count(*) as size from roots group by all")
-_SUMMARY = f"""recursive:{_REACH},
+register("component_members", "basket", connectivity.component_members, f"recursive:{_LABELS}\n----select graph_id, root, count(*) as size from roots group by all")
+_SUMMARY = f"""recursive:{_LABELS},
 cn as (select graph_id, root, count(*) as n from roots group by all),
 ce as (select e.graph_id, root, count(*) as m, count(*) filter (src = dst) as loops from edges e join roots r on r.graph_id = e.graph_id and r.vid = e.src group by all)
 ----select graph_id, root, n, coalesce(m, 0) as m, coalesce(m, 0) = n - 1 and coalesce(loops, 0) = 0 as is_tree from cn left join ce using (graph_id, root)"""
-register("component_summary", "sparse", connectivity.component_summary, _SUMMARY)
+register("component_summary", "basket", connectivity.component_summary, _SUMMARY)
 _DREACH = """dreach as (
   select graph_id, vid as u, vid as v from vertices
   union
@@ -135,9 +136,8 @@ sccs as (select a.graph_id, a.u as vid, min(a.v) as scc from dreach a join dreac
 register("strong_components", "click", connectivity.strong_components, f"recursive:{_DREACH}\n----select graph_id, vid, scc from sccs")
 register("strong_components_trade", "trade", connectivity.strong_components, f"recursive:{_DREACH}\n----select graph_id, vid, scc from sccs")
 register("strong_components_steps", "steps", connectivity.strong_components, f"recursive:{_DREACH}\n----select graph_id, vid, scc from sccs")
-# whole tables on which the comparing engine's recursion does not end; held against union-find in the tests
-register("connected_components_all", "cs", connectivity.connected_components, None)
-register("component_summary_all", "purchases", connectivity.component_summary, None)
+register("connected_components_all", "cs", connectivity.connected_components, f"recursive:{_LABELS}\n----select graph_id, vid, dense_rank() over (partition by graph_id order by root) - 1 as component from roots")
+register("component_summary_all", "purchases", connectivity.component_summary, _SUMMARY)
 register("strong_count", "click", connectivity.strong_count, f"recursive:{_DREACH}\n----select graph_id, count(distinct scc) as strong_components, count(distinct scc) = 1 as strongly_connected from sccs group by all")
 register(
     "disconnecting_set",
@@ -220,15 +220,15 @@ register("traceable", "click", families.traceable, f"recursive:{_PATHS}, {_SIZE}
 
 # distances
 _HOPS = """bfs as (
-  select graph_id, vid as s, vid as v, 0 as d from vertices where vid < {most}
+  select graph_id, vid as s, vid as v, 0 as d from vertices
   union
   select b.graph_id, b.s, a.v, b.d + 1 from bfs b join {steps} a on a.graph_id = b.graph_id and a.u = b.v where b.d < {bound}),
 hop as (select graph_id, s, v, min(d) as d from bfs group by all)"""
-_HOP_OUT = "select a.graph_id, a.vid as s, b.vid as v, coalesce(h.d, -1) as hops from vertices a join vertices b on a.graph_id = b.graph_id left join hop h on h.graph_id = a.graph_id and h.s = a.vid and h.v = b.vid where a.vid < {most}"
-register("hop_distance", "click", lambda g: distance.hop_distance(g, first_sources(g)), f"recursive:{_HOPS.format(most=5, steps='arcs', bound=5)}\n----{_HOP_OUT.format(most=5)}")
-register("underlying_hop_distance", "sparse", lambda g: distance.underlying_hop_distance(g, first_sources(g)), f"recursive:{_HOPS.format(most=5, steps='nbrs', bound=60)}\n----{_HOP_OUT.format(most=5)}")
-register("hop_distance_trade", "trade", lambda g: distance.hop_distance(g, distance.all_sources(g)), f"recursive:{_HOPS.format(most=10**9, steps='arcs', bound=25)}\n----{_HOP_OUT.format(most=10**9)}")
-register("hop_distance_orders", "order", lambda g: distance.hop_distance(g, distance.all_sources(g)), f"recursive:{_HOPS.format(most=10**9, steps='arcs', bound=26)}\n----{_HOP_OUT.format(most=10**9)}")
+_HOP_OUT = "select a.graph_id, a.vid as s, b.vid as v, coalesce(h.d, -1) as hops from vertices a join vertices b on a.graph_id = b.graph_id left join hop h on h.graph_id = a.graph_id and h.s = a.vid and h.v = b.vid"
+register("hop_distance", "click", lambda g: distance.hop_distance(g, distance.all_sources(g)), f"recursive:{_HOPS.format(steps='arcs', bound=5)}\n----{_HOP_OUT}")
+register("underlying_hop_distance", "daily", lambda g: distance.underlying_hop_distance(g, distance.all_sources(g)), f"recursive:{_HOPS.format(steps='nbrs', bound=5)}\n----{_HOP_OUT}")
+register("hop_distance_trade", "trade", lambda g: distance.hop_distance(g, distance.all_sources(g)), f"recursive:{_HOPS.format(steps='arcs', bound=25)}\n----{_HOP_OUT}")
+register("hop_distance_orders", "order", lambda g: distance.hop_distance(g, distance.all_sources(g)), f"recursive:{_HOPS.format(steps='arcs', bound=26)}\n----{_HOP_OUT}")
 _WAYS = """way as (
   select graph_id, vid as s, vid as v, [vid] as path, cast(0 as double) as d from vertices
   union
@@ -237,11 +237,11 @@ dist as (select graph_id, s, v, min(d) as d from way group by all)"""
 _FULL = "select a.graph_id, a.vid as s, b.vid as v, coalesce(h.d, 'infinity'::double) as dist from vertices a join vertices b on a.graph_id = b.graph_id left join dist h on h.graph_id = a.graph_id and h.s = a.vid and h.v = b.vid"
 register("distance_matrix", "click", distance.distance_matrix, f"recursive:{_WAYS.format(w='1')}\n----{_FULL}")
 _RELAX = """rel as (
-  select graph_id, vid as s, vid as v, cast(0 as double) as d, 0 as k from vertices where vid < 5
+  select graph_id, vid as s, vid as v, cast(0 as double) as d, 0 as k from vertices
   union
   select graph_id, s, v, min(d), k from (select r.graph_id, r.s, a.v, r.d + a.min_w as d, r.k + 1 as k from rel r join arcs a on a.graph_id = r.graph_id and a.u = r.v where r.k < 12) x group by all),
 dist as (select graph_id, s, v, min(d) as d from rel group by all)"""
-register("weighted_distance", "trade", lambda g: distance.weighted_distance(g, first_sources(g)), f"recursive:{_RELAX}\n----{_FULL} where a.vid < 5")
+register("weighted_distance", "trade", lambda g: distance.weighted_distance(g, distance.all_sources(g)), f"recursive:{_RELAX}\n----{_FULL}")
 register("degree_centrality", "cs", distance.degree_centrality, f"{_SIZE}\n----select v.graph_id, v.vid, round(case when n > 1 then count(b.u) / (n - 1) else 0 end, 9) as centrality from vertices v join sz using (graph_id) left join nbrs b on b.graph_id = v.graph_id and b.u = v.vid group by v.graph_id, v.vid, n")
 register(
     "closeness",
@@ -323,8 +323,8 @@ register(
 register(
     "path_weight",
     "trade",
-    lambda g: pairs.path_weight(g, pairs.geodesics(g, first_sources(g).join(g.vertices.filter("vid < 5").select("graph_id", F.col("vid").alias("t")), "graph_id"), most=1000)).select(*pairs.KEY, "weight").distinct(),
-    f"recursive:{_RELAX}\n----select graph_id, s, v as t, d as weight from dist where v < 5 and s <> v",
+    lambda g: pairs.path_weight(g, pairs.geodesics(g, all_pairs(g), most=1000)).select(*pairs.KEY, "weight").distinct(),
+    f"recursive:{_RELAX}\n----select graph_id, s, v as t, d as weight from dist where s <> v",
 )
 _TRAILS = """recursive:tr as (
   select graph_id, vid as s, vid as e, []::bigint[] as trail from vertices
@@ -332,8 +332,8 @@ _TRAILS = """recursive:tr as (
   select t.graph_id, t.s, x.dst, list_append(t.trail, x.eid) from tr t join edges x on x.graph_id = t.graph_id and x.src = t.e where not list_contains(t.trail, x.eid)),
 ok as (select *, row_number() over (partition by graph_id, s, e order by trail) as r from tr where s <> e or len(trail) > 0)
 ----select graph_id, s, e as t, cast(row_number() over (partition by graph_id, s, e order by len(trail), trail) - 1 as integer) as trail_no, array_to_string(trail, ',') as trail from ok where r <= 300"""
-for _name, _graph in (("trails", "visit"), ("trails_daily", "daily")):
-    register(_name, _graph, lambda g: _array_as_text(pairs.trails(g, all_pairs(g)), "trail"), _TRAILS)
+for _name in ("trails", "trails_daily"):
+    register(_name, "daily", lambda g: _array_as_text(pairs.trails(g, all_pairs(g)), "trail"), _TRAILS)
 register(
     "walk_counts",
     "click",
@@ -391,7 +391,7 @@ register("pair_report", "daily", _pair_report, None)
 
 # comparison
 register("complement", "click", compare.complement, "select a.graph_id, a.vid as u, b.vid as v from vertices a join vertices b on a.graph_id = b.graph_id and a.vid <> b.vid where not exists (select 1 from arcs x where x.graph_id = a.graph_id and x.u = a.vid and x.v = b.vid)")
-register("complement_size", "sparse", compare.complement_size, f"{_DENSITY}\n----select graph_id, cast(case when directed then n * (n - 1) else n * (n - 1) / 2 end - k as bigint) as complement_size from den")
+register("complement_size", "purchases", compare.complement_size, f"{_DENSITY}\n----select graph_id, cast(case when directed then n * (n - 1) else n * (n - 1) / 2 end - k as bigint) as complement_size from den")
 
 
 def next_pairs(g: Graphs, part: str = "@") -> DataFrame:
@@ -504,10 +504,10 @@ register("rename_vertices", "click", lambda g: edits.rename_vertices(g, g.vertic
 register("check_names", "click", lambda g: edits.check_names(g.vertices), "select graph_id, vid, name, case when length(name) > 4 then 'too long' end as reason from vertices")
 register(
     "check_new_edges",
-    "trade",
-    lambda g: edits.check_new_edges(Graphs(g.graphs.withColumn("multi", F.lit(False)), g.vertices, g.edges.filter("eid % 3 = 0")), g.edges.filter("eid % 3 = 1 and weight > 45").select("graph_id", F.col("eid").alias("turn"), "src", "dst")),
-    """nb as (select *, row_number() over (partition by graph_id, src, dst order by eid) as r from edges where eid % 3 = 1 and weight > 45)
-----select graph_id, eid as turn, src, dst, case when src = dst then 'loop' when r > 1 or exists (select 1 from edges e where e.graph_id = nb.graph_id and e.eid % 3 = 0 and e.src = nb.src and e.dst = nb.dst) then 'parallel' end as reason from nb""",
+    "daily",
+    lambda g: edits.check_new_edges(Graphs(g.graphs.withColumn("multi", F.lit(False)), g.vertices, g.edges), g.edges.select("graph_id", F.col("eid").alias("turn"), F.col("dst").alias("src"), F.col("src").alias("dst"))),
+    """nb as (select graph_id, eid, dst as src, src as dst, row_number() over (partition by graph_id, dst, src order by eid) as r from edges)
+----select graph_id, eid as turn, src, dst, case when src = dst then 'loop' when r > 1 or exists (select 1 from edges e where e.graph_id = nb.graph_id and e.src = nb.src and e.dst = nb.dst) then 'parallel' end as reason from nb""",
 )
 register("next_free_names", "local", lambda g: edits.next_free_names(g, 3), "select graph_id, cast(i as varchar) as name from graphs, range(0, 3) r(i)")
 register("format_number", "local", lambda g: g.edges.select("graph_id", "eid", report.format_number(F.col("weight") / 8).alias("shown")), "select graph_id, eid, case when weight / 8 = floor(weight / 8) then cast(cast(weight / 8 as bigint) as varchar) else regexp_replace(printf('%.3f', weight / 8), '\\.?0+$', '') end as shown from edges")
@@ -572,8 +572,15 @@ register(
     lambda g: containers.k_wide_distance(g).filter("k = 1"),
     f"recursive:{_PATHS}\n----select graph_id, s, e as t, cast(1 as integer) as k, cast(min(len(path) - 1) as integer) as d_k from walk where s <> e group by all",
 )
-
-
+# from each path in turn, every path in order of vids that is disjoint from those taken joins it
+_GREEDY = f"""recursive:{_PATHS}, way as (select graph_id, s, e as t, path[2:len(path) - 1] as inside, len(path) - 1 as length, row_number() over (partition by graph_id, s, e order by path) as r from walk where s <> e),
+greedy as (
+  select graph_id, s, t, r as seed, 0::bigint as i, inside as used, [length] as lengths from way
+  union
+  select graph_id, s, t, seed, r, case when fits then list_concat(used, inside) else used end, case when fits then list_append(lengths, length) else lengths end
+  from (select f.graph_id, f.s, f.t, f.seed, f.used, f.lengths, w.inside, w.length, w.r, w.r <> f.seed and not list_has_any(f.used, w.inside) as fits from greedy f join way w on w.graph_id = f.graph_id and w.s = f.s and w.t = f.t and w.r = f.i + 1) as stepped)
+----select graph_id, s, t, cast(k.i as integer) as k, cast(min(list_sort(lengths)[k.i]) as integer) as d_k from greedy, range(1, 7) k(i) where k.i <= len(lengths) group by all"""
+register("k_wide_distance", "daily", containers.k_wide_distance, _GREEDY)
 register("set_mode", "daily", lambda g: edits.set_mode(g, g.graphs.filter("graph_id < '5'").select("graph_id", F.lit(False).alias("directed"), F.lit(None).cast("boolean").alias("weighted"), F.lit(False).alias("multi"))).select("graph_id", "directed", "weighted", "multi"), "select graph_id, graph_id >= '5' as directed, weighted, graph_id >= '5' as multi from graphs")
 register("edge_name", "daily", report.edge_name, "select e.graph_id, eid, '(' || a.name || '→' || b.name || ')' as edge_name from edges e join vertices a on a.graph_id = e.graph_id and a.vid = src join vertices b on b.graph_id = e.graph_id and b.vid = dst")
 register("set_string", "daily", lambda g: report.set_string(blocks.block_members(g), g, ["graph_id", "block"]), f"{_BLOCKS}\n----select bm.graph_id, block, '{{' || string_agg(name, ',' order by bm.vid) || '}}' as text from bm join vertices v on v.graph_id = bm.graph_id and v.vid = bm.vid group by bm.graph_id, block")

@@ -33,11 +33,10 @@ def _ends(kind1: str, key1: str, kind2: str, key2: str) -> str:
     )
 
 
-_SPARSE = f"""select '{{}}' as graph_id, {_ends("c", "o_custkey", "p", "l_partkey")}, cast(1 as double) as weight, {LINE_ORDER}
-from lineitem join orders on l_orderkey = o_orderkey where l_quantity = 50"""
+_PURCHASES = f"""select '{{}}' as graph_id, {_ends("c", "o_custkey", "p", "l_partkey")}, cast(1 as double) as weight, {LINE_ORDER}
+from lineitem join orders on l_orderkey = o_orderkey"""
 
 _EVENTS = """select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as r from events"""
-_FIRST_EIGHT = f"select user_id, event_type, r from ({_EVENTS}) ranked where r <= 8"
 
 
 def _clicks(events: str) -> Recipe:
@@ -92,16 +91,7 @@ from ({_STEP}) a join ({_STEP}) b on a.user_id = b.user_id and b.r = a.r + 1""",
         f"""select cast(o_custkey as string) as graph_id, 'n' as skind, cast(n_nationkey as bigint) as skey, concat('n', cast(n_nationkey as string)) as src_name,
   p_brand as dkind, cast(0 as bigint) as dkey, p_brand as dst_name, l_quantity as weight, {LINE_ORDER} {_SOLD}""",
     ),
-    "sparse": Recipe(False, False, True, _SPARSE.format("sparse")),
-    "purchases": Recipe(False, False, True, _SPARSE.format("purchases").replace(" where l_quantity = 50", "")),
-    "cust_all": Recipe(
-        False,
-        False,
-        True,
-        _SPARSE.format("cust_all"),
-        "select 'cust_all' as graph_id, 'c' as kind, cast(c_custkey as bigint) as key, concat('c', cast(c_custkey as string)) as name from customer "
-        "union all select 'cust_all', 'p', cast(p_partkey as bigint), concat('p', cast(p_partkey as string)) from part",
-    ),
+    "purchases": Recipe(False, False, True, _PURCHASES.format("purchases")),
     "cs": Recipe(
         False, True, True, f"select 'cs' as graph_id, {_ends('c', 'o_custkey', 's', 'l_suppkey')}, l_quantity as weight, {LINE_ORDER} from lineitem join orders on l_orderkey = o_orderkey"
     ),
@@ -115,8 +105,6 @@ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey
   join nation a on a.n_nationkey = s_nationkey join nation b on b.n_nationkey = c_nationkey""",
     ),
     "click": _clicks(_EVENTS),
-    # trails are exponential in the edges: a graph of each user's first events, for that query alone
-    "visit": _clicks(_FIRST_EIGHT),
     "local": Recipe(
         False,
         True,
