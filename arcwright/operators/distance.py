@@ -9,25 +9,40 @@ from arcwright.functions.durable import discard, settle
 from arcwright.operators.model import Graphs
 
 
-def reached_from(steps: DataFrame, sources: DataFrame) -> DataFrame:
+KEPT_TABLES = 16  # tables of a search that are read side by side before they become one
+
+
+def _all_rows(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def reached_from(steps: DataFrame, sources: DataFrame, both_ways: bool = False) -> DataFrame:
     """BFS: (graph_id, s, v, d) for what each source reaches over steps(graph_id, u, v).
 
     Each level is a table of its own: a round reads the last level and what was reached, and
     writes only the new vertices.  What was reached is rewritten as one table every 16 levels.
+    Where every step can be taken back (``both_ways``), a level's neighbours lie in it, before
+    it or behind it, so a round reads the last two levels alone.
     """
     front = settle(sources.select("graph_id", "s", F.col("s").alias("v"), F.lit(0).alias("d")).distinct(), "level")
-    seen, parts, level = front, 1, 0
+    tables, level, last = [front], 0, front
     while True:
         level += 1
         grown = front.select("graph_id", "s", F.col("v").alias("u")).join(steps, ["graph_id", "u"]).select("graph_id", "s", "v").distinct()
+        known = last.union(front) if both_ways and level > 1 else _all_rows(tables)
         found = Observation()
-        fresh = grown.join(seen, ["graph_id", "s", "v"], "left_anti").withColumn("d", F.lit(level))
-        front = settle(fresh.observe(found, F.count("*").alias("n")), "level")
+        fresh = grown.join(known, ["graph_id", "s", "v"], "left_anti").withColumn("d", F.lit(level))
+        last, front = front, settle(fresh.observe(found, F.count("*").alias("n")), "level")
         if not found.get.get("n"):
-            return seen
-        seen, parts = seen.union(front), parts + 1
-        if parts > 16:
-            seen, parts = settle(seen, "seen"), 1
+            return _all_rows(tables)
+        tables.append(front)
+        if len(tables) > KEPT_TABLES:
+            older, tables = tables[:-2], [settle(_all_rows(tables[:-2]), "seen"), *tables[-2:]]
+            for t in older:
+                discard(t)
 
 
 def hop_distance(g: Graphs, sources: DataFrame) -> DataFrame:
@@ -39,7 +54,7 @@ def hop_distance(g: Graphs, sources: DataFrame) -> DataFrame:
 def underlying_hop_distance(g: Graphs, sources: DataFrame) -> DataFrame:
     """Hops when direction is ignored."""
     steps = settle(g.nbrs().select("graph_id", "u", "v"), "steps")
-    return _with_unreached(g, sources, reached_from(steps, sources))
+    return _with_unreached(g, sources, reached_from(steps, sources, both_ways=True))
 
 
 def _with_unreached(g: Graphs, sources: DataFrame, found: DataFrame) -> DataFrame:
@@ -47,26 +62,77 @@ def _with_unreached(g: Graphs, sources: DataFrame, found: DataFrame) -> DataFram
     return every.join(found, ["graph_id", "s", "v"], "left").select("graph_id", "s", "v", F.coalesce("d", F.lit(-1)).alias("hops"))
 
 
+AT = ["graph_id", "s", "v"]
+
+
+def _least(tables: list[DataFrame]) -> DataFrame:
+    """The least distance among all rows of each source and vertex, with its bucket."""
+    return _all_rows(tables).groupBy(*AT).agg(F.min("d").alias("d"), F.min("b").alias("b"))
+
+
 def reached_weights(g: Graphs, sources: DataFrame, by_hops: bool = False, max_rounds: int = 100_000) -> DataFrame:
     """(graph_id, s, v, d): least total weight over the lightest parallel edges (or 1 an arc).
 
-    Relaxation rounds: only distances that changed in the last round are pushed on.
+    Delta-stepping: a bucket is as wide as the mean size of a graph's weights, and buckets are
+    taken in turn.  Rounds push the rows that changed in the bucket over arcs no longer than
+    its width; when none changes any more, its vertices are pushed once over the longer arcs.
+    A round writes only rows that became better.  Negative weights are allowed, since a row
+    that falls back into an earlier bucket is pushed again; a negative cycle within reach has
+    no distances and raises after ``max_rounds``, which is an alarm and no bound on graphs.
     """
-    w = F.lit(1.0) if by_hops else F.col("min_w")
-    steps = settle(g.arcs().select("graph_id", "u", "v", w.alias("w")), "steps")
-    now = settle(sources.select("graph_id", "s", F.col("s").alias("v"), F.lit(0.0).alias("d"), F.lit(True).alias("new")).distinct(), "relax")
-    for _ in range(max_rounds):
-        front = now.filter("new").select("graph_id", "s", F.col("v").alias("u"), "d")
-        pushed = front.join(steps, ["graph_id", "u"]).groupBy("graph_id", "s", "v").agg(F.min(F.col("d") + F.col("w")).alias("via"))
-        both = now.select("graph_id", "s", "v", "d").join(pushed, ["graph_id", "s", "v"], "full")
-        better = F.col("d").isNull() | (F.col("via") < F.col("d") - 1e-12)
-        after = settle(both.select("graph_id", "s", "v", F.when(better & F.col("via").isNotNull(), F.col("via")).otherwise(F.col("d")).alias("d"), (better & F.col("via").isNotNull()).alias("new")), "relax")
-        more = after.filter("new").limit(1).count()
-        discard(now)
-        now = after
-        if not more:
-            return now.select("graph_id", "s", "v", "d")
-    raise RuntimeError("weights did not settle")
+    if by_hops:
+        steps = settle(g.arcs().select("graph_id", "u", "v"), "steps")
+        return reached_from(steps, sources).withColumn("d", F.col("d").cast("double"))
+    arcs = g.arcs().select("graph_id", "u", "v", F.col("min_w").alias("w"))
+    widths = arcs.groupBy("graph_id").agg(F.avg(F.abs("w")).alias("mean")).select("graph_id", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("width"))
+    steps = settle(arcs.join(widths, "graph_id"), "steps")
+    short, far = steps.filter("w <= width"), steps.filter("w > width")
+    known = [settle(sources.select("graph_id", "s", F.col("s").alias("v"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("b")).distinct(), "relax")]
+    rounds, spent = 0, []
+
+    def pushed(front: DataFrame, over: DataFrame, bucket: int) -> tuple[DataFrame, int]:
+        """The rows that became better, and how many of them are of this bucket or an earlier one."""
+        nonlocal known, rounds
+        rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError("weights did not settle")
+        via = front.select("graph_id", "s", F.col("v").alias("u"), "d").join(over, ["graph_id", "u"]).withColumn("d", F.col("d") + F.col("w"))
+        via = via.groupBy(*AT).agg(F.min("d").alias("d"), F.min(F.floor(F.col("d") / F.col("width"))).alias("b"))
+        before = _all_rows(known).select(*AT, F.col("d").alias("was"))
+        better = via.join(before, AT, "left").groupBy(*AT, "d", "b").agg(F.min("was").alias("was")).filter("was is null or d < was - 1e-12")
+        seen = Observation()
+        better = better.select(*AT, "d", "b").observe(seen, F.count("*").alias("n"), F.count_if(F.col("b") <= bucket).alias("here"))
+        better = settle(better, "relax")
+        told = seen.get
+        if told.get("n"):
+            known.append(better)
+        if len(known) > KEPT_TABLES:
+            spent.extend(known)
+            known = [settle(_least(known), "relax")]
+        return better, told.get("here") or 0
+
+    bucket: int | None = 0
+    while bucket is not None:
+        front = _least(known).filter(F.col("b") == bucket)
+        here = 1
+        while here:
+            touched = [front]
+            while here:
+                front, here = pushed(front, short, bucket)
+                front = front.filter(F.col("b") <= bucket)
+                touched.append(front)
+                if len(touched) > KEPT_TABLES:
+                    touched = [settle(_least(touched), "touched")]
+                    spent.extend(touched)
+            front, here = pushed(_least(touched), far, bucket)
+            front = front.filter(F.col("b") <= bucket)
+        bucket = _least(known).filter(F.col("b") > bucket).agg(F.min("b")).first()[0]
+        while spent:
+            discard(spent.pop())
+    out = settle(_least(known).select(*AT, "d"), "reached")
+    for t in known:
+        discard(t)
+    return out
 
 
 def weighted_distance(g: Graphs, sources: DataFrame) -> DataFrame:
