@@ -268,8 +268,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     index = read_index(spark, path).select("shard", "offset", "length", F.col("record_type").alias("indexed_type"))
-    found = read_archives(spark, path).drop("body").join(index, ["shard", "offset"])
-    return found.filter("record_type = indexed_type").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # every record has its line in the index and every line its record, or the query fails
+    found = read_archives(spark, path).drop("body").join(index, ["shard", "offset"], "full")
+    agree = F.when(F.col("record_type") == F.col("indexed_type"), True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("index and archive differ at"), "shard", F.col("offset").cast("string"))))
+    return found.filter(agree).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """
