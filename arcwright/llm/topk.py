@@ -3,9 +3,12 @@
 Rows are dealt into shards of bounded size.  A shard's task builds a ball tree and
 answers a block of queries by branch and bound: a node with centre c and radius r holds
 no score above q.c + |q| r, nodes are visited in the order of that bound, and a node
-below the query's current kth score is never opened.  The kth scores are shared: a
-first pass over every 16th shard gives each query a kth score that the search of all
-other shards starts from.
+below the query's current kth score is never opened.  The kth scores are shared: shards are
+searched in three passes of a sixteenth, a quarter and the rest of them, and after each pass
+every query's kth score so far is the floor that the next one starts from.
+
+A task holds one shard and a pack of up to QUERY_BLOCK * BLOCKS_A_PACK queries, and builds the
+shard's tree once for all of them, so a row is sent once for each 32,768 queries.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from arcwright.functions.durable import settle
 
 SHARD_ROWS = 1024
 QUERY_BLOCK = 512
-SEED_EVERY = 16
+BLOCKS_A_PACK = 64
+PASSES = ((0, 0), (1, 4), (5, 15))  # shard numbers modulo 16
 LEAF = 32
 
 
@@ -63,16 +67,17 @@ def _scores(q: np.ndarray, x: np.ndarray, how: str) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int, tree: tuple[np.ndarray, list[dict]] | None = None) -> list[tuple[int, int, int]]:
     """(query, vec, score) of the best k of this shard that may reach the shared kth score.
 
-    ``kth`` is the score that each query already holds k times over, or None.
+    ``kth`` is the score that each query already holds k times over, or None; ``tree`` is the
+    shard's ball tree where it is built already.
     """
     most = int(np.abs(x).max(initial=0)), int(np.abs(q).max(initial=0))
     bound = max(1, most[0]) * max(1, most[1]) * max(1, x.shape[1])
     how = "double" if bound < 2**53 else "long" if bound < 2**63 else "object"
     xf, qf = x.astype(np.float64), q.astype(np.float64)
-    order, nodes = build_balls(xf)
+    order, nodes = tree or build_balls(xf)
     norm = np.sqrt((qf**2).sum(axis=1))
     slack = 1e-9 * (1.0 + norm * np.sqrt((xf**2).sum(axis=1)).max(initial=0))
     floor = np.where(kth == None, -np.inf, kth).astype(np.float64)  # noqa: E711
@@ -127,22 +132,28 @@ def _searcher(k: int):
         found = []
         if len(shard) and len(block):
             x, ids = np.array(shard["v"].tolist(), dtype=np.int64).reshape(len(shard), -1), shard["vec_id"].to_numpy()
+            tree = build_balls(x.astype(np.float64))
             for pack in block["pack"]:
                 qids = np.array([p["query_id"] for p in pack], dtype=np.int64)
                 q = np.array([p["v"] for p in pack], dtype=np.int64).reshape(len(pack), -1)
                 kth = np.array([None if p["kth"] is None or p["kth"] != p["kth"] else int(p["kth"]) for p in pack], dtype=object)
-                found += search_shard(ids, x, qids, q, kth, k)
+                found += search_shard(ids, x, qids, q, kth, k, tree)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     return work
 
 
-def _search(base: DataFrame, queries: DataFrame, shards: DataFrame, blocks: int, k: int) -> DataFrame:
-    """Every query block against every shard in ``shards(shard)``; both sides are of bounded size."""
+def _search(base: DataFrame, queries: DataFrame, shards: int, turn: tuple[int, int], blocks: int, k: int) -> DataFrame:
+    """Every query block against every shard of one pass; both sides of a task are of bounded size."""
+    mine = F.pmod("shard", F.lit(16)).between(*turn)
     packs = queries.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "v", "kth")).alias("pack"))
-    left = base.join(F.broadcast(shards), "shard", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = packs.withColumn("shard", F.explode(F.lit([r["shard"] for r in shards.collect()])))
-    keys = ["dim", "shard", "block"]
+    most = (blocks - 1) // BLOCKS_A_PACK
+    left = base.filter(mine).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    # shard numbers in two steps, so that no row holds a long array of them
+    high = packs.withColumn("high", F.explode(F.sequence(F.lit(0), F.lit((shards - 1) // 1024))))
+    every = high.withColumn("shard", F.explode(F.sequence(F.col("high") * 1024, F.least(F.col("high") * 1024 + 1023, F.lit(shards - 1)))))
+    right = every.filter(mine).select("dim", "shard", F.floor(F.col("block") / BLOCKS_A_PACK).cast("int").alias("group"), "pack")
+    keys = ["dim", "shard", "group"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_searcher(k), "query_id long, vec_id long, score long")
 
 
@@ -162,22 +173,26 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     Returns query_id, rank, vec_id, score.
     """
     base = vectors.select("vec_id", "v").filter("vec_id is not null and v is not null").withColumn("dim", F.size("v"))
-    base = settle(base, "vectors")
+    # places are drawn once and written, so rows that repeat an id are spread over the shards
+    base = settle(base.withColumn("place", F.rand(6)), "vectors")
     ask = queries.select("query_id", "v").filter("query_id is not null and v is not null").withColumn("dim", F.size("v"))
-    ask = settle(ask.withColumn("kth", F.lit(None).cast("double")), "queries")
+    ask = settle(ask, "queries")
     shards = max(1, math.ceil(base.count() / SHARD_ROWS))
     blocks = max(1, math.ceil(ask.count() / QUERY_BLOCK))
-    base = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    base = base.withColumn("shard", F.floor(F.col("place") * shards).cast("int")).drop("place")
     ask = ask.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    spark = vectors.sparkSession
-    every = spark.range(shards).select(F.col("id").cast("int").alias("shard"))
-    seed = settle(_best(_search(base, ask, every.filter(F.col("shard") % SEED_EVERY == 0), blocks, k), k).drop("rank"), "seed")
-    kth = seed.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
-    # a double may stand above a long of more than 53 bits: step down so that the bound stays a lower one
-    kth = kth.withColumn("kth", F.when(F.abs("kth") < 2.0**52, F.col("kth")))
-    told = ask.drop("kth").join(kth, "query_id", "left")
-    rest = _search(base, told, every.filter(F.col("shard") % SEED_EVERY != 0), blocks, k)
-    return _best(seed.union(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best: DataFrame | None = None
+    for turn in PASSES:
+        if turn[0] >= shards:
+            break
+        told = ask.withColumn("kth", F.lit(None).cast("double"))
+        if best is not None:
+            kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
+            # a double may stand above a long of more than 53 bits, so such floors are left out
+            told = ask.join(kth.withColumn("kth", F.when(F.abs("kth") < 2.0**52, F.col("kth"))), "query_id", "left")
+        found = _search(base, told, shards, turn, blocks, k)
+        best = settle(_best(found if best is None else best.union(found), k).drop("rank"), "best")
+    return _best(best, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
