@@ -8,9 +8,17 @@ expected, and normal beyond), runs of letters above and below the middle of the
 and the lag-one serial correlation.  Fisher's rule makes one p-value of the three.
 
 Random tokens have p-values spread evenly over 0..1, and text has them near 0.  So within
-each encoding and length band the number of p-values above 1/2 tells how many tokens are
-random, hence what share of the tokens above any cut is not; the least cut that keeps this
-share below FDR is taken, and tokens above it are reported.
+each encoding and length band the number m of p-values above 1/2 tells how many tokens are
+random: about 2 m, of which 1 - c exceed a cut c.  Of the N(c) tokens above c the others are
+false.  The least cut with
+
+    N(c) - 2 (m - 1) (1 - c) <= FDR * N(c)
+
+is taken, and tokens above it are reported.  The one taken off m counts on the false side.
+Bands with fewer than 1 / FDR tokens above 1/2 are pooled within their encoding, and a pool
+with fewer than that reports nothing.  m scatters by about its root,
+so the share of false tokens is held on average over bands and not in each; tokens of text
+with p above 1/2 count as random ones, and the battery is what keeps them few.
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*"
 KINDS = ("assign", "access", "hex", "random")
 
 FDR = 0.1  # most of the reported tokens of a band that may be no random ones
+FEW_RANDOM = 10  # 1 / FDR: fewer p-values above 1/2 tell too little
 CUTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
 FEW_PAIRS = 200.0  # beyond so many expected equal pairs their number counts as normal
 
@@ -167,17 +176,18 @@ def _battery(token: Column) -> Column:
 
 
 def fdr_cuts(tokens: DataFrame) -> dict[str, int]:
-    """The least number of CUTS to exceed, by encoding and length band.
+    """The least number of CUTS to exceed, by encoding and length band; none where no cut holds.
 
     ``tokens`` has the columns encoding, band, bin.  The driver sees one row for each of at
-    most 4 encodings x 31 bands, whatever the corpus.  With m tokens above 1/2, one counted
-    on top, about 2 (m + 1) are random; of N tokens above a cut c, N - 2 (m + 1) (1 - c) are not.
+    most 4 encodings x 31 bands, whatever the corpus.  The rule stands at the module's head.
     """
-    above = [F.count_if(F.col("bin") > i).alias(f"n{i}") for i in range(len(CUTS))]
-    grid = tokens.groupBy("encoding", "band").agg(*above)
-    random = 2.0 * (F.col(f"n{len(CUTS) - 1}") + 1)
-    ok = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i}") - random * (1 - c) <= FDR * F.col(f"n{i}")), i + 1) for i, c in enumerate(CUTS)]
-    cuts = grid.select("encoding", "band", F.coalesce(*ok).alias("cut")).filter("cut is not null")
+    numbers = [f"n{i}" for i in range(len(CUTS))]
+    grid = tokens.groupBy("encoding", "band").agg(*[F.count_if(F.col("bin") > i).alias(n) for i, n in enumerate(numbers)])
+    few = F.col(numbers[-1]) < FEW_RANDOM
+    pools = grid.groupBy("encoding", F.when(few, -1).otherwise(F.col("band")).alias("pool")).agg(F.collect_list("band").alias("bands"), *[F.sum(n).alias(n) for n in numbers])
+    random = 2.0 * (F.col(numbers[-1]) - 1)
+    ok = [F.when(~few & (F.col(n) - random * (1 - c) <= FDR * F.col(n)), i + 1) for i, (n, c) in enumerate(zip(numbers, CUTS, strict=True))]
+    cuts = pools.select("encoding", F.explode("bands").alias("band"), F.coalesce(*ok).alias("cut")).filter("cut is not null")
     return {f"{r['encoding']}:{r['band']}": r["cut"] for r in cuts.collect()}
 
 

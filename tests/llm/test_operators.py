@@ -454,13 +454,15 @@ def test_battery_and_control_against_plain_loops(spark):
     found = [m for t in tokens for m in re.findall(secrets.TOKEN, f" {t} ")]
     told = [battery_p(t) for t in found]
     cuts = {}
-    for band in {b for b, _ in told}:
-        ps = [p for b, p in told if b == band]
-        random = 2 * (sum(p > secrets.CUTS[-1] for p in ps) + 1)
+    high = {b: sum(p > secrets.CUTS[-1] for x, p in told if x == b) for b in {b for b, _ in told}}
+    pools = {b: b if n >= secrets.FEW_RANDOM else b.split(":")[0] for b, n in high.items()}
+    for pool in set(pools.values()):
+        ps = [p for b, p in told if pools[b] == pool]
+        random = 2 * (sum(p > secrets.CUTS[-1] for p in ps) - 1)
         for c in secrets.CUTS:
             above = sum(p > c for p in ps)
-            if above and above - random * (1 - c) <= secrets.FDR * above:
-                cuts[band] = c
+            if sum(p > secrets.CUTS[-1] for p in ps) >= secrets.FEW_RANDOM and above - random * (1 - c) <= secrets.FDR * above:
+                cuts |= {b: c for b in pools if pools[b] == pool}
                 break
     want = [sum(p > cuts.get(b, 2) for b, p in map(battery_p, re.findall(secrets.TOKEN, f" {t} "))) for t in tokens]
     got = rows_of(secrets.scan_secrets(spark.createDataFrame([(i, f" {t} ") for i, t in enumerate(tokens)], "doc_id long, text string")), "doc_id")
@@ -468,6 +470,19 @@ def test_battery_and_control_against_plain_loops(spark):
     assert sum(want[:160]) >= 120 and sum(want[160:]) <= 12
 
 
+def test_control_is_silent_in_small_bands(spark):
+    def cuts(*bands):
+        rows = [(e, b, i) for e, b, bins in bands for i in bins]
+        return secrets.fdr_cuts(spark.createDataFrame(rows, "encoding string, band int, bin int"))
+
+    top = len(secrets.CUTS)
+    assert cuts(("hex", 5, [1])) == {} and cuts(("hex", 5, [1, 2])) == {} and cuts(("hex", 5, [top])) == {}
+    assert cuts(("hex", 5, [top] * 9)) == {} and cuts(("hex", 5, [0] * 500 + [1])) == {}
+    # small bands of one encoding are pooled, those of others are not
+    assert cuts(("hex", 4, [top] * 6), ("hex", 5, [top] * 6), ("base32", 5, [top] * 6)) == {"hex:4": 1, "hex:5": 1}
+    assert cuts() == {}
+
+
 def test_secrets_of_very_long_tokens_and_many_spans(spark):
     rng = np.random.default_rng(5)
     long = "".join(rng.choice(list(secrets._ALPHABETS["base64"]), 300_000))
