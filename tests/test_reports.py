@@ -133,6 +133,18 @@ def test_first_paths_of_a_complete_graph(spark):
     assert rows == want
 
 
+def test_path_lengths_count_every_path(spark):
+    k = 8
+    g = graphs_of(spark, {"k8": (k, [(i, j) for i in range(k) for j in range(i)]), "apart": (3, [(0, 1), (0, 1)])})
+    wanted = [("k8", 0, 7), ("k8", 7, 3), ("k8", 2, 2), ("apart", 0, 1), ("apart", 0, 2)]
+    got = pairs.path_lengths(g, spark.createDataFrame(wanted, "graph_id string, s long, t long"))
+    every = sum(math.perm(k - 2, inner) for inner in range(k - 1))
+    assert every == 1957  # beyond the 300 that a listing keeps
+    assert {(r["graph_id"], r["s"], r["t"]): (r["shortest"], r["longest"], r["paths"]) for r in got.collect()} == {
+        ("k8", 0, 7): (1, 7, every), ("k8", 7, 3): (1, 7, every), ("k8", 2, 2): (0, 0, 1), ("apart", 0, 1): (1, 1, 1),
+    }
+
+
 def test_containers_in_detail(spark):
     g = graphs_of(spark, {"k4less": (4, [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]), "cycle": (5, [(i, (i + 1) % 5) for i in range(5)])})
     rows = {(r["graph_id"], r["s"], r["t"], r["place"]): r for r in containers.container_detail(g).collect()}
