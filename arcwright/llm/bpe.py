@@ -1,14 +1,13 @@
 """Byte-level BPE: ranked merges, and decoding by putting binary pieces together.
 
-Text is cut into pieces by the tokenizer's pattern.  Every distinct piece of the corpus is
-encoded once, by a fold of Spark's higher-order functions: a piece is written with one
-character for each of its bytes, the rank map is a literal (an array of small maps,
-addressed by CRC-32), and the fold starts from single bytes and merges the leftmost pair of
-least rank until no pair is in the map.  The most frequent pieces, up to a stated bound, go
-to all tasks; all others are joined to the texts that hold them.
+Texts go in slices of bounded size through three steps of one stage, without a shuffle.  The
+first cuts a slice by the tokenizer's pattern: its distinct pieces as ids of single bytes, and
+for each text the numbers of its pieces.  The second encodes every distinct piece of the slice
+by a fold of Spark's higher-order functions, which merges the leftmost pair of least rank until
+no pair has one; the pairs that merge stand in a literal.  The third puts the texts' ids together.
 
 A fold takes time with the square of a piece's length, so pieces of more than FOLD_BYTES
-bytes are merged in the tasks by the same ranks over a heap.
+bytes are merged by the same ranks over a heap when they are cut.
 """
 
 from __future__ import annotations
@@ -16,8 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +24,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwright.functions.durable import settle
-from arcwright.llm.chunks import Coded, cut_texts, encode_column, slices
+from arcwright.llm.chunks import cut_texts, gathered, slices
 
-RANK_SLOTS = 16_384
-COMMON_WORDS = 65_536  # pieces in the table that all tasks hold
-PIECES_HELD = 300_000  # distinct pieces that a task counts before it tells them
 FOLD_BYTES = 256
-NO_RANK = 2**31 - 1
+SLICE_BYTES = 2_000_000  # of text, whose distinct pieces stand in one row
+ID_BITS = 20  # ids of a vocabulary are below 2 ** ID_BITS
+NONE = 1 << ID_BITS  # stands for the id of a pair that does not merge
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,61 +38,48 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _slots(entries: dict[str, object], slots: int) -> str:
-    table: list[dict] = [{} for _ in range(slots)]
-    for k, v in entries.items():
-        table[zlib.crc32(k.encode("utf-8")) % slots][k] = v
-    return json.dumps(table, ensure_ascii=False, separators=(",", ":"))
-
-
-def _literal(entries: dict[str, object], kind: str, slots: int = RANK_SLOTS) -> Column:
-    """A literal array of small maps; constant folding parses it once, on the driver."""
-    return F.from_json(F.lit(_slots(entries, slots)), f"array<map<string,{kind}>>")
-
-
-def _look(table: Column, key: Column) -> Column:
-    return F.try_element_at(F.element_at(table, (F.crc32(key.cast("binary")) % RANK_SLOTS + 1).cast("int")), key)
-
-
 def _let(value: Column, body) -> Column:
     """Bind ``value`` once: a one-element transform."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_word(word: Column, ranks: Column) -> Column:
-    """array<int> of token ids of one piece, written with a character for each byte."""
-    size = F.length(word)
-    one = F.lit(1)
-    nothing = F.lit(NO_RANK)
+def _merged(pairs: Column, left: Column, right: Column) -> Column:
+    """The id that two ids merge to, or NONE."""
+    found = lambda k, name: F.get(pairs[name], (k % F.size(pairs[name])).cast("int")).bitwiseXOR(k)
+    return _let(F.shiftleft(left + 1, 2 * ID_BITS) + F.shiftleft(right, ID_BITS), lambda k: F.least(found(k, "one"), found(k, "two"), F.lit(NONE)))
 
-    def step(acc: Column, _: Column) -> Column:
-        def merge(at: Column) -> Column:
-            p, r, i = acc["p"], acc["r"], at
-            new = F.concat(F.element_at(p, i), F.element_at(p, i + 1))
-            n = F.size(p)
 
-            def put(x: Column) -> Column:
-                before = F.when(i > 1, F.array(F.coalesce(_look(ranks, F.concat(F.get(p, i - 2), x)), nothing))).otherwise(F.array().cast("array<int>"))
-                after = F.when(i + 1 < n, F.array(F.coalesce(_look(ranks, F.concat(x, F.get(p, i + 1))), nothing))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(p, one, i - 1), F.array(x), F.slice(p, i + 2, F.greatest(n - i - 1, F.lit(0)))).alias("p"),
-                    F.concat(F.slice(r, one, F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.greatest(n - i - 2, F.lit(0)))).alias("r"),
-                )
+def fold_ids(ids: Column, pairs: Column) -> Column:
+    """array<bigint>: ``ids`` of one piece, merged until no pair of neighbours merges.
 
-            return _let(new, put)
+    The fold's array holds for each token the id it merges to with the next one, its place and
+    its id, packed in this order, so that the least number is the leftmost pair of least rank.
+    """
+    own = lambda x: x.bitwiseAND(NONE - 1)
+    packed = lambda rank, rest: F.shiftleft(rank, 2 * ID_BITS) + rest
+    mergeable = lambda x: F.array_min(x) < NONE << 2 * ID_BITS
+
+    def step(acc: Column, _: Column) -> Column:
+        def merge(i: Column) -> Column:
+            this, before, after = F.get(acc, i - 1), F.get(acc, i - 2), F.get(acc, i + 1)
+            new = F.shiftright(this, 2 * ID_BITS)
+            turned = packed(_merged(pairs, own(before), new), before.bitwiseAND((1 << 2 * ID_BITS) - 1))
+            here = packed(F.when(after.isNull(), F.lit(NONE)).otherwise(_merged(pairs, new, own(after))), this.bitwiseAND(NONE - 1 << ID_BITS) + new)
+            rest = F.slice(acc, i + 2, F.size(acc) - i - 1)
+            return F.when(i > 1, F.concat(F.slice(acc, F.lit(1), i - 2), F.array(turned, here), rest)).otherwise(F.concat(F.array(here), rest))
 
-        return _let(F.array_min(acc["r"]), lambda low: F.when(low.isNull() | (low == nothing), acc).otherwise(_let(F.array_position(acc["r"], low).cast("int"), merge)))
+        return F.when(mergeable(acc), _let(F.array_position(acc, F.array_min(acc)).cast("int"), merge)).otherwise(acc)
 
-    letters = F.transform(F.sequence(one, size), lambda i: F.substring(word, i, one))
-    pairs = F.when(size > 1, F.transform(F.sequence(one, size - 1), lambda i: F.coalesce(_look(ranks, F.substring(word, i, F.lit(2))), nothing))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(letters.alias("p"), pairs.alias("r"))
-    folded = F.when(size > 1, F.aggregate(F.sequence(one, size - 1), start, step)).otherwise(start)
-    return F.transform(folded["p"], lambda x: _look(ranks, x))
+    last = F.size(ids) - 1
+    ranked = F.transform(ids, lambda x, i: packed(F.when(i < last, _merged(pairs, x, F.get(ids, i + 1))).otherwise(F.lit(NONE)), F.shiftleft(i.cast("bigint"), ID_BITS) + x))
+    merged = lambda start: F.when(mergeable(start), F.transform(F.aggregate(F.sequence(F.lit(1), last), start, step), own)).otherwise(ids)
+    return F.when(last > 0, _let(ranked, merged)).otherwise(ids)
 
 
-def word_ids(word: Column, ranks: Column) -> Column:
-    """A piece that is a token is that token; any other is folded."""
-    return _let(_look(ranks, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold_word(word, ranks)))
+def word_ids(word: Column, pairs: Column) -> Column:
+    """Ids of a piece written with a character for each of its bytes."""
+    letters = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.get(pairs["bytes"], F.ascii(F.substring(word, i, F.lit(1)))))
+    return _let(letters, lambda ids: fold_ids(ids, pairs))
 
 
 def _as_bytes(text: Column) -> Column:
@@ -108,11 +91,41 @@ class Vocabulary:
     """Ranks by token, and the literal that the fold needs."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= NONE:
+            raise ValueError(f"ids of 2 ** {ID_BITS} or more")
         self.ranks = ranks
-        self.ids = {t.decode("latin-1"): i for t, i in ranks.items()}
 
     def rank_map(self) -> Column:
-        return _literal(self.ids, "int")
+        """Ids of single bytes, and two tables of pairs: a pair stands in one of them, at its key modulo the size."""
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs[(left + 1 << ID_BITS | right) << ID_BITS] = rank
+        size = len(pairs) * 5 // 4 | 1
+        while not (tables := _two_places(pairs, size, size + 2)):
+            size += 1000
+        single = [self.ranks.get(bytes([i])) for i in range(256)]
+        told = json.dumps({"bytes": single, "one": tables[0], "two": tables[1]}, separators=(",", ":"))
+        return F.from_json(F.lit(told), "struct<bytes:array<bigint>,one:array<bigint>,two:array<bigint>>")
+
+
+def _two_places(pairs: dict[int, int], *sizes: int) -> list[list[int]] | None:
+    """Each key + value at key % size in one of two tables, empty places 0; None if some find no place."""
+    tables = [[0] * n for n in sizes]
+    mask = NONE - 1
+    for key, value in pairs.items():
+        entry, turn = key | value, 0
+        for _ in range(500):
+            at = (entry & ~mask) % sizes[turn]
+            entry, tables[turn][at] = tables[turn][at], entry
+            if not entry:
+                break
+            turn = 1 - turn
+        else:
+            return None
+    return tables
 
 
 def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -140,148 +153,119 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _distinct_pieces(pattern: str):
-    """Pieces of a run of texts with their numbers, from the distinct chunks of each column."""
+def _cut_slices(ranks: dict[bytes, int], pattern: str, slice_bytes: int):
+    """A row for each slice: its documents, where their pieces end, all pieces by number, and the distinct ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern)
-        counts: Counter[str] = Counter()
-
-        def told() -> pa.RecordBatch:
-            return pa.record_batch({"word": pa.array(list(counts.keys()), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
-
         for batch in batches:
-            for part in slices(batch):
-                chunks, _ = cut_texts(part.column("text"))
-                for chunk, n in zip(*_counted(chunks), strict=True):
-                    for piece in cut.findall(chunk):
-                        counts[piece] += n
-                if len(counts) > PIECES_HELD:
-                    yield told()
-                    counts.clear()
-        if counts:
-            yield told()
+            for part in slices(batch, most=slice_bytes):
+                chunks, first = cut_texts(part.column("text"))
+                told = chunks.dictionary_encode()
+                number: dict[str, int] = {}
+                flat, lengths = array("i"), array("i")  # piece numbers of the distinct chunks
+                for chunk in told.dictionary.to_pylist():
+                    pieces = cut.findall(chunk)
+                    lengths.append(len(pieces))
+                    flat.extend([number.setdefault(x, len(number)) for x in pieces])
+                of_chunk = np.array(lengths, dtype=np.int64)
+                pieces, ends = gathered(np.array(flat, dtype=np.int32), np.cumsum(of_chunk) - of_chunk, of_chunk, told.indices.to_numpy())
+                stops = np.concatenate([[0], ends])[first]
+                ids, offsets = array("i"), array("i", [0])
+                for piece in number:
+                    raw = piece.encode()
+                    whole = ranks.get(raw)
+                    if whole is not None:
+                        ids.append(whole)
+                    elif len(raw) > FOLD_BYTES:
+                        ids.extend(heap_merges(raw, ranks))
+                    else:
+                        ids.extend([ranks[raw[i : i + 1]] for i in range(len(raw))])
+                    offsets.append(len(ids))
+                distinct = pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(np.array(ids, dtype=np.int64)))
+                row = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.record_batch({
+                    "docs": row(pa.array(part.column("doc_id"))),
+                    "stops": row(pa.array(stops.astype(np.int64))),
+                    "pieces": pa.array([pieces.tobytes()], pa.binary()),
+                    "distinct": row(distinct),
+                })
 
     return work
 
 
-def _counted(chunks: pa.StringArray) -> tuple[list[str], list[int]]:
-    if not len(chunks):
-        return [], []
-    told = chunks.dictionary_encode()
-    return told.dictionary.to_pylist(), np.bincount(told.indices.to_numpy()).tolist()
+def _folded_slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, slice_bytes: int) -> DataFrame:
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cut = rows.mapInArrow(_cut_slices(ranks, pattern, slice_bytes), "docs array<long>, stops array<long>, pieces binary, distinct array<array<long>>")
+    folded = _let(Vocabulary(ranks).rank_map(), lambda pairs: F.transform("distinct", lambda ids: fold_ids(ids, pairs)))
+    return cut.select("docs", "stops", "pieces", folded.alias("distinct"))
 
 
-def folded_pieces(rows: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Every distinct piece of all texts with its ids by the fold: rows (word, n, ids).
-
-    Pieces of more than FOLD_BYTES bytes are left to ``heap_merges`` in the tasks: the fold
-    takes time with the square of a piece's length.
-    """
-    words = rows.select("text").mapInArrow(_distinct_pieces(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.octet_length("word") <= FOLD_BYTES)
-    literal = Vocabulary(ranks).rank_map()
-    dealt = settle(words, "words")
-    return settle(dealt.repartition("word").select("word", "n", _let(literal, lambda r: word_ids(_as_bytes(F.col("word")), r)).alias("ids")), "pieces")
-
-
-def _rare_words(pattern: str, common: set[str]):
-    """The pieces of each text that the common table lacks, named by the text's key."""
+def _put_together(ranks: dict[bytes, int], decoded: bool):
+    """A row for each document of a slice: doc_id, ids and, if asked for, the bytes decoded from them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = regex.compile(pattern)
+        tokens = _tokens(ranks) if decoded else []
         for batch in batches:
-            for part in slices(batch):
-                chunks, first = cut_texts(part.column("text"))
-                if not len(chunks):
-                    continue
-                told = chunks.dictionary_encode()
-                rare = [[p for p in cut.findall(c) if p not in common and len(p) <= FOLD_BYTES and len(p.encode()) <= FOLD_BYTES] for c in told.dictionary.to_pylist()]
-                some = np.array([bool(x) for x in rare])
-                numbers = told.indices.to_numpy()
-                at = np.flatnonzero(some[numbers])
-                # a chunk counts once for a text
-                pairs = np.unique(np.stack([np.searchsorted(first, at, side="right") - 1, numbers[at]], axis=1), axis=0) if len(at) else np.zeros((0, 2), dtype=np.int64)
-                keys = np.array(part.column("key"))
-                key = [k for k, c in zip(keys[pairs[:, 0]].tolist(), pairs[:, 1].tolist(), strict=True) for _ in rare[c]]
-                word = [p for c in pairs[:, 1].tolist() for p in rare[c]]
-                yield pa.record_batch({"key": pa.array(key, pa.int64()), "word": pa.array(word, pa.string())})
+            for i in range(batch.num_rows):
+                docs, stops, distinct = (batch.column(c).slice(i, 1).flatten() for c in ("docs", "stops", "distinct"))
+                lengths = distinct.value_lengths().to_numpy().astype(np.int64)
+                pieces = np.frombuffer(batch.column("pieces")[i].as_buffer(), dtype=np.int32)
+                flat, ends = gathered(distinct.flatten().to_numpy().astype("<u4"), np.cumsum(lengths) - lengths, lengths, pieces)
+                at = np.concatenate([[0], ends])[stops.to_numpy()]
+                ids = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                out = {"doc_id": docs, "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    out["decoded"] = pa.array([_joined(tokens, x) for x in ids], pa.binary())
+                yield pa.record_batch(out)
 
     return work
 
 
-def _encoder(ranks: dict[bytes, int], pattern: str, common: dict[str, bytes]):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = regex.compile(pattern)
-        for batch in batches:
-            for part in slices(batch):
-                rare = part.column("rare")
-                held = rare.flatten()
-                words, ids = held.field("word"), held.field("ids")
-                told = {w: np.frombuffer(b, dtype="<u4") for w, b in zip(words.to_pylist(), ids.to_pylist(), strict=True)}
-
-                def ids_of(piece: str, told: dict = told) -> np.ndarray:
-                    got = common.get(piece)
-                    if got is None:
-                        got = told.get(piece)
-                    # only pieces of more than FOLD_BYTES are in neither table
-                    return np.array(heap_merges(piece.encode(), ranks), dtype="<u4") if got is None else got
-
-                def chunks(some: list[str], ids_of=ids_of) -> Iterator[np.ndarray]:
-                    for c in some:
-                        pieces = cut.findall(c)
-                        yield ids_of(pieces[0]) if len(pieces) == 1 else np.concatenate([ids_of(p) for p in pieces])
-
-                coded = encode_column(part.column("text"), Coded("I", 0), chunks)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": pa.array(coded, pa.binary())})
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for t, i in ranks.items():
+        tokens[i] = t
+    return tokens
 
-    return work
 
+def _joined(tokens: list[bytes], ids: bytes) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, table_words: int = COMMON_WORDS) -> DataFrame:
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``docs(doc_id, text)`` as token ids: rows (doc_id, ids).
 
     ``ids`` is binary, little-endian unsigned 32-bit integers.  One row per row of
     ``docs``; a null or empty text has no ids.  Repeated rows are encoded one by one; other
-    columns are ignored.  Each distinct piece of the corpus is folded once; the
-    ``table_words`` most frequent ones go to all tasks, the others are joined to the texts
-    that hold them.
+    columns are ignored.  Each distinct piece of about ``slice_bytes`` bytes of text is
+    folded once; a longer text is a slice of its own.
     """
-    # a key of the text alone: texts that share one get the pieces of both, which is no harm
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    pieces = folded_pieces(rows, ranks, pattern)
-    top = pieces.orderBy(F.desc("n"), "word").limit(table_words).select("word", "ids").toArrow()
-    common = {w: np.array(ids, dtype="<u4") for w, ids in zip(top.column("word").to_pylist(), top.column("ids").to_pylist(), strict=True)}
-    rare = rows.select("key", "text").mapInArrow(_rare_words(pattern, set(common)), "key long, word string").distinct()
-    # the ids as hexadecimal text turn into bytes at once: four bytes each, the lowest first
-    text = lambda i: _let(F.lpad(F.hex(i.cast("long")), 8, "0"), lambda h: F.concat(*[F.substring(h, at, 2) for at in (7, 5, 3, 1)]))
-    code = F.unhex(F.array_join(F.transform("ids", text), ""))
-    named = rare.join(pieces.select("word", code.alias("ids")).hint("merge"), "word")
-    lists = named.groupBy("key").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
-    # merge: the lists grow with the corpus, so the plan is the shuffled one at every size
-    full = rows.join(lists.hint("merge"), "key", "left").select("doc_id", "text", F.coalesce("rare", F.array().cast("array<struct<word:string,ids:binary>>")).alias("rare"))
-    return full.mapInArrow(_encoder(ranks, pattern, common), "doc_id long, ids binary")
+    return _folded_slices(docs, ranks, pattern, slice_bytes).mapInArrow(_put_together(ranks, False), "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``coded(doc_id, ids)`` with the column ``decoded``: the tokens' bytes, put together."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for t, i in ranks.items():
-            tokens[i] = t
+        tokens = _tokens(ranks)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                out = [b"".join(map(tokens.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in part.column("ids").to_pylist()]
+                out = [_joined(tokens, x) for x in part.column("ids").to_pylist()]
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": part.column("ids"), "decoded": pa.array(out, pa.binary())})
 
     return coded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids binary, decoded binary")
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 of the ids and of the bytes decoded from them."""
+    """doc_id, n_tokens and SHA-256 of the ids and of the bytes decoded from them.
+
+    Ids are decoded where they are put together, so that a task has two Python workers, not three.
+    """
     ranks = read_ranks(path)
-    return decode(encode(docs, ranks, pattern), ranks).select(
+    both = _folded_slices(docs, ranks, pattern, SLICE_BYTES).mapInArrow(_put_together(ranks, True), "doc_id long, ids binary, decoded binary")
+    return both.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -591,6 +591,20 @@ def test_bpe_joins_pieces_outside_the_table(spark, library, table_words):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], np.frombuffer(r["ids"], dtype="<u4").tolist(), bytes(r["decoded"])) for r in got) == want
 
 
+def test_bpe_sends_no_text_through_a_shuffle(spark, library):
+    import hashlib
+
+    ranks, own = library
+    texts = [None, "", *TEXTS[:10], "rare " * 50, "q" * 4000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    done = bpe.bpe_digests(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for r in done.collect():
+        want = own.encode_ordinary(texts[r["doc_id"]] or "")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(want), sha(np.array(want, dtype="<u4").tobytes()), sha((texts[r["doc_id"]] or "").encode()))
+
+
 def test_fold_and_heap_merge_alike(spark, library):
     ranks, own = library
     words = ["thshin", " anthereion", "cafés", "\U0001f600\U0001f600", "aaaaaaa", "zqxj", " 123456", "a", "%%%&&&"]
