@@ -37,6 +37,7 @@ RARE = 2  # and at least to take part by its smoothed score
 SKETCH = 32  # least hashes of a text's shingles; texts that share half of them are near copies
 WORDS = re.compile(r"[^\W_]+")
 CACHE_WORDS = 400_000
+SCORE_SLICE = 512  # texts scored at once
 
 
 @dataclass
@@ -303,9 +304,9 @@ def score_toxicity(docs: DataFrame, model: Crf, threshold: float = 0.5) -> DataF
         scorer = Scorer(model)
         for batch in batches:
             texts = [x if isinstance(x, str) else "" for x in batch["text"]]
-            for i in range(0, len(texts), 4096):
-                score, spans = scorer.score(texts[i : i + 4096])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[i : i + 4096].to_numpy(), "score": score, "predicted": (score >= threshold).astype("int32"), "spans": spans})
+            for i in range(0, len(texts), SCORE_SLICE):
+                score, spans = scorer.score(texts[i : i + SCORE_SLICE])
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[i : i + SCORE_SLICE].to_numpy(), "score": score, "predicted": (score >= threshold).astype("int32"), "spans": spans})
 
     return docs.select("doc_id", "text").mapInPandas(work, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
 
@@ -316,8 +317,8 @@ def drop_toxic(docs: DataFrame, model: Crf, threshold: float = 0.5) -> DataFrame
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
+            for a in range(0, batch.num_rows, SCORE_SLICE):
+                part = batch.slice(a, SCORE_SLICE)
                 score, _ = scorer.score([x or "" for x in part.column(at).to_pylist()], with_spans=False)
                 yield part.filter(pa.array(score < threshold))
 

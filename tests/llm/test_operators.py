@@ -591,6 +591,26 @@ def test_bpe_joins_pieces_outside_the_table(spark, library, table_words):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], np.frombuffer(r["ids"], dtype="<u4").tolist(), bytes(r["decoded"])) for r in got) == want
 
 
+def test_toxic_texts_are_scored_in_small_slices(monkeypatch):
+    seen = []
+
+    def score(self, texts, with_spans=True):
+        seen.append(len(texts))
+        return np.array([len(x) / 10 for x in texts]), [[] for _ in texts]
+
+    class Docs:  # hands out the function that the tasks run
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, work, schema):
+            return work
+
+    monkeypatch.setattr(toxicity.Scorer, "score", score)
+    batch = pa.record_batch({"doc_id": pa.array(range(5000)), "text": pa.array(["ab" if i % 2 else "abcdefgh" for i in range(5000)])})
+    left = toxicity.drop_toxic(Docs(), toxicity.Crf())(iter([batch]))
+    assert [i for x in left for i in x.column("doc_id").to_pylist()] == list(range(1, 5000, 2))
+    assert sum(seen) == 5000 and max(seen) <= 1000
+
+
 def test_bpe_sends_no_text_through_a_shuffle(spark, library):
     import hashlib
 
