@@ -1,11 +1,15 @@
 """Byte-level BPE: ranked merges, and decoding by putting binary pieces together.
 
 Texts go in slices of bounded size through three steps of one stage, without a shuffle.  The
-first cuts a slice by the tokenizer's pattern: its distinct pieces as ids of single bytes, and
-for each text the numbers of its pieces.  The second encodes every distinct piece of the slice
-by a fold of Spark's higher-order functions, which merges the leftmost pair of least rank until
+first cuts a slice by the tokenizer's pattern: for each text the numbers of its pieces, and the
+pieces that its task has not met before as ids of single bytes.  The second encodes these by a
+fold of Spark's higher-order functions, which merges the leftmost pair of least rank until
 no pair has one; the pairs that merge stand in a literal.  The third puts the texts' ids together.
 
+The first and the third step keep a task's pieces from slice to slice, so a task folds each of
+them once.  They keep about KEPT_BYTES at most; the pieces of a slice that finds no room are
+forgotten after it and folded anew when they come again.
+
 A fold takes time with the square of a piece's length, so pieces of more than FOLD_BYTES
 bytes are merged by the same ranks over a heap when they are cut.
 """
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 from arcwright.llm.chunks import cut_texts, gathered, slices
 
 FOLD_BYTES = 256
-SLICE_BYTES = 2_000_000  # of text, whose distinct pieces stand in one row
+SLICE_BYTES = 2_000_000  # of text, whose new pieces stand in one row
+KEPT_BYTES = 24_000_000  # of the pieces that a task keeps, PIECE_BYTES added for each
+PIECE_BYTES = 100
 ID_BITS = 20  # ids of a vocabulary are below 2 ** ID_BITS
 NONE = 1 << ID_BITS  # stands for the id of a pair that does not merge
 
@@ -52,28 +58,30 @@ def _merged(pairs: Column, left: Column, right: Column) -> Column:
 def fold_ids(ids: Column, pairs: Column) -> Column:
     """array<bigint>: ``ids`` of one piece, merged until no pair of neighbours merges.
 
-    The fold's array holds for each token the id it merges to with the next one, its place and
-    its id, packed in this order, so that the least number is the leftmost pair of least rank.
+    The fold's array holds for each token the id it merges to with the next one, its index and
+    its id, packed in this order, so that the least number is the leftmost pair of least rank
+    and tells where it stands (array_position leaves its loop by an exception, which costs more
+    than all the rest of a step); the tokens after a merge move up by one index.
     """
     own = lambda x: x.bitwiseAND(NONE - 1)
     packed = lambda rank, rest: F.shiftleft(rank, 2 * ID_BITS) + rest
-    mergeable = lambda x: F.array_min(x) < NONE << 2 * ID_BITS
+    one = F.lit(1 << ID_BITS)
 
     def step(acc: Column, _: Column) -> Column:
-        def merge(i: Column) -> Column:
-            this, before, after = F.get(acc, i - 1), F.get(acc, i - 2), F.get(acc, i + 1)
-            new = F.shiftright(this, 2 * ID_BITS)
+        def merge(low: Column, i: Column) -> Column:
+            before, after = F.get(acc, i - 1), F.get(acc, i + 2)
+            new = F.shiftright(low, 2 * ID_BITS)
             turned = packed(_merged(pairs, own(before), new), before.bitwiseAND((1 << 2 * ID_BITS) - 1))
-            here = packed(F.when(after.isNull(), F.lit(NONE)).otherwise(_merged(pairs, new, own(after))), this.bitwiseAND(NONE - 1 << ID_BITS) + new)
-            rest = F.slice(acc, i + 2, F.size(acc) - i - 1)
-            return F.when(i > 1, F.concat(F.slice(acc, F.lit(1), i - 2), F.array(turned, here), rest)).otherwise(F.concat(F.array(here), rest))
+            here = packed(F.when(after.isNull(), F.lit(NONE)).otherwise(_merged(pairs, new, own(after))), low.bitwiseAND(NONE - 1 << ID_BITS) + new)
+            rest = F.transform(F.slice(acc, i + 3, F.size(acc)), lambda x: x - one)
+            return F.when(i > 0, F.concat(F.slice(acc, F.lit(1), i - 1), F.array(turned, here), rest)).otherwise(F.concat(F.array(here), rest))
 
-        return F.when(mergeable(acc), _let(F.array_position(acc, F.array_min(acc)).cast("int"), merge)).otherwise(acc)
+        found = lambda low: _let(own(F.shiftright(low, ID_BITS)).cast("int"), lambda i: merge(low, i))
+        return _let(F.array_min(acc), lambda low: F.when(low < NONE << 2 * ID_BITS, found(low)).otherwise(acc))
 
     last = F.size(ids) - 1
     ranked = F.transform(ids, lambda x, i: packed(F.when(i < last, _merged(pairs, x, F.get(ids, i + 1))).otherwise(F.lit(NONE)), F.shiftleft(i.cast("bigint"), ID_BITS) + x))
-    merged = lambda start: F.when(mergeable(start), F.transform(F.aggregate(F.sequence(F.lit(1), last), start, step), own)).otherwise(ids)
-    return F.when(last > 0, _let(ranked, merged)).otherwise(ids)
+    return F.when(last > 0, F.transform(F.aggregate(F.sequence(F.lit(1), last), ranked, step), own)).otherwise(ids)
 
 
 def word_ids(word: Column, pairs: Column) -> Column:
@@ -153,42 +161,96 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _cut_slices(ranks: dict[bytes, int], pattern: str, slice_bytes: int):
-    """A row for each slice: its documents, where their pieces end, all pieces by number, and the distinct ones."""
+class _Pieces:
+    """Numbers of a task's pieces: a token's is its id, the others follow in order of arrival.
+
+    ``at`` holds the number of a chunk that is one piece, and a tuple of them for any other.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int):
+        self.ranks, self.cut, self.room = ranks, regex.compile(pattern), room
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
+        self.at: dict[str, int | tuple[int, ...]] = {}
+        self.next = _count(ranks)
+
+    def numbers(self, chunks: list[str]) -> tuple[array, array, list[bytes], bool]:
+        """The numbers of a slice's chunks side by side, how many each has, its new pieces, and whether they are kept."""
+        flat, lengths = array("i"), array("i")
+        new: list[bytes] = []
+        met: list[str] = []
+        for chunk in chunks:
+            told = self.at.get(chunk)
+            if told is None:
+                pieces = self.cut.findall(chunk)
+                if pieces == [chunk]:
+                    told = self._number(chunk, new, met)
+                else:
+                    told = self.at[chunk] = tuple([self._number(x, new, met) for x in pieces])
+                    met.append(chunk)
+            if isinstance(told, int):
+                flat.append(told)
+                lengths.append(1)
+            else:
+                flat.extend(told)
+                lengths.append(len(told))
+        needs = sum(map(len, met)) + PIECE_BYTES * len(met)
+        kept = needs <= self.room
+        if kept:
+            self.room -= needs
+            self.next += len(new)
+        else:
+            for x in met:
+                del self.at[x]
+        return flat, lengths, new, kept
+
+    def _number(self, piece: str, new: list[bytes], met: list[str]) -> int:
+        told = self.at.get(piece)
+        if told is None:
+            raw = piece.encode()
+            told = self.ranks.get(raw)
+            if told is None:
+                told = self.next + len(new)
+                new.append(raw)
+            self.at[piece] = told
+            met.append(piece)
+        return told
+
+    def start(self, new: list[bytes]) -> pa.ListArray:
+        """What the fold starts from: ids of single bytes, and of long pieces those merged over a heap."""
+        lengths = np.fromiter(map(len, new), dtype=np.int32, count=len(new))
+        ids, a = [], 0
+        for i in [*np.flatnonzero(lengths > FOLD_BYTES).tolist(), len(new)]:
+            ids.append(self.single[np.frombuffer(b"".join(new[a:i]), dtype=np.uint8)])
+            if i < len(new):
+                ids.append(np.array(heap_merges(new[i], self.ranks), dtype=np.int64))
+                lengths[i] = len(ids[-1])
+            a = i + 1
+        flat = np.concatenate(ids)
+        if (flat < 0).any():
+            raise ValueError("a byte of a text is no token")
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+
+
+def _cut_slices(ranks: dict[bytes, int], pattern: str, slice_bytes: int, kept_bytes: int = KEPT_BYTES):
+    """A row for each slice: its documents, where their pieces end, all pieces by number, the new ones, and whether these are kept."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = regex.compile(pattern)
+        known = _Pieces(ranks, pattern, kept_bytes)
         for batch in batches:
             for part in slices(batch, most=slice_bytes):
                 chunks, first = cut_texts(part.column("text"))
                 told = chunks.dictionary_encode()
-                number: dict[str, int] = {}
-                flat, lengths = array("i"), array("i")  # piece numbers of the distinct chunks
-                for chunk in told.dictionary.to_pylist():
-                    pieces = cut.findall(chunk)
-                    lengths.append(len(pieces))
-                    flat.extend([number.setdefault(x, len(number)) for x in pieces])
+                flat, lengths, new, kept = known.numbers(told.dictionary.to_pylist())
                 of_chunk = np.array(lengths, dtype=np.int64)
                 pieces, ends = gathered(np.array(flat, dtype=np.int32), np.cumsum(of_chunk) - of_chunk, of_chunk, told.indices.to_numpy())
                 stops = np.concatenate([[0], ends])[first]
-                ids, offsets = array("i"), array("i", [0])
-                for piece in number:
-                    raw = piece.encode()
-                    whole = ranks.get(raw)
-                    if whole is not None:
-                        ids.append(whole)
-                    elif len(raw) > FOLD_BYTES:
-                        ids.extend(heap_merges(raw, ranks))
-                    else:
-                        ids.extend([ranks[raw[i : i + 1]] for i in range(len(raw))])
-                    offsets.append(len(ids))
-                distinct = pa.ListArray.from_arrays(pa.array(np.array(offsets, dtype=np.int32)), pa.array(np.array(ids, dtype=np.int64)))
                 row = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 yield pa.record_batch({
                     "docs": row(pa.array(part.column("doc_id"))),
                     "stops": row(pa.array(stops.astype(np.int64))),
                     "pieces": pa.array([pieces.tobytes()], pa.binary()),
-                    "distinct": row(distinct),
+                    "new": row(known.start(new)),
+                    "kept": pa.array([kept]),
                 })
 
     return work
@@ -196,22 +258,30 @@ def _cut_slices(ranks: dict[bytes, int], pattern: str, slice_bytes: int):
 
 def _folded_slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, slice_bytes: int) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cut = rows.mapInArrow(_cut_slices(ranks, pattern, slice_bytes), "docs array<long>, stops array<long>, pieces binary, distinct array<array<long>>")
-    folded = _let(Vocabulary(ranks).rank_map(), lambda pairs: F.transform("distinct", lambda ids: fold_ids(ids, pairs)))
-    return cut.select("docs", "stops", "pieces", folded.alias("distinct"))
+    cut = rows.mapInArrow(_cut_slices(ranks, pattern, slice_bytes), "docs array<long>, stops array<long>, pieces binary, new array<array<long>>, kept boolean")
+    folded = _let(Vocabulary(ranks).rank_map(), lambda pairs: F.transform("new", lambda ids: fold_ids(ids, pairs)))
+    return cut.select("docs", "stops", "pieces", folded.alias("new"), "kept")
 
 
 def _put_together(ranks: dict[bytes, int], decoded: bool):
-    """A row for each document of a slice: doc_id, ids and, if asked for, the bytes decoded from them."""
+    """A row for each document of a slice: doc_id, ids and, if asked for, the bytes decoded from them.
+
+    Slices come in the order in which their task cut them.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(ranks) if decoded else []
+        runs = np.arange(_count(ranks), dtype="<u4")  # ids of the pieces by number, side by side
+        lengths = np.ones(len(runs), dtype=np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                docs, stops, distinct = (batch.column(c).slice(i, 1).flatten() for c in ("docs", "stops", "distinct"))
-                lengths = distinct.value_lengths().to_numpy().astype(np.int64)
+                docs, stops, new = (batch.column(c).slice(i, 1).flatten() for c in ("docs", "stops", "new"))
                 pieces = np.frombuffer(batch.column("pieces")[i].as_buffer(), dtype=np.int32)
-                flat, ends = gathered(distinct.flatten().to_numpy().astype("<u4"), np.cumsum(lengths) - lengths, lengths, pieces)
+                all_runs = np.concatenate([runs, new.flatten().to_numpy().astype("<u4")])
+                all_lengths = np.concatenate([lengths, new.value_lengths().to_numpy().astype(np.int64)])
+                if batch.column("kept")[i].as_py():
+                    runs, lengths = all_runs, all_lengths
+                flat, ends = gathered(all_runs, np.cumsum(all_lengths) - all_lengths, all_lengths, pieces)
                 at = np.concatenate([[0], ends])[stops.to_numpy()]
                 ids = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 out = {"doc_id": docs, "ids": pa.array(ids, pa.binary())}
@@ -222,8 +292,12 @@ def _put_together(ranks: dict[bytes, int], decoded: bool):
     return work
 
 
+def _count(ranks: dict[bytes, int]) -> int:
+    return max(ranks.values(), default=-1) + 1
+
+
 def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    tokens = [b""] * _count(ranks)
     for t, i in ranks.items():
         tokens[i] = t
     return tokens
@@ -238,8 +312,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, slice_bytes:
 
     ``ids`` is binary, little-endian unsigned 32-bit integers.  One row per row of
     ``docs``; a null or empty text has no ids.  Repeated rows are encoded one by one; other
-    columns are ignored.  Each distinct piece of about ``slice_bytes`` bytes of text is
-    folded once; a longer text is a slice of its own.
+    columns are ignored.  Texts are cut by slices of about ``slice_bytes`` bytes; a longer text
+    is a slice of its own.
     """
     return _folded_slices(docs, ranks, pattern, slice_bytes).mapInArrow(_put_together(ranks, False), "doc_id long, ids binary")
 
