@@ -2,7 +2,7 @@
 
 Texts go in slices of bounded size through three steps of one stage, without a shuffle.  The
 first cuts a slice by the tokenizer's pattern: for each text the numbers of its pieces, and the
-pieces that its task has not met before as ids of single bytes.  The second encodes these by a
+pieces that its task has not met before as single bytes.  The second encodes these by a
 fold of Spark's higher-order functions, which merges the leftmost pair of least rank until
 no pair has one; the pairs that merge stand in a literal.  The third puts the texts' ids together.
 
@@ -21,6 +21,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -50,38 +51,47 @@ def _let(value: Column, body) -> Column:
 
 
 def _merged(pairs: Column, left: Column, right: Column) -> Column:
-    """The id that two ids merge to, or NONE."""
-    found = lambda k, name: F.get(pairs[name], (k % F.size(pairs[name])).cast("int")).bitwiseXOR(k)
-    return _let(F.shiftleft(left + 1, 2 * ID_BITS) + F.shiftleft(right, ID_BITS), lambda k: F.least(found(k, "one"), found(k, "two"), F.lit(NONE)))
+    """The id that two ids merge to, or NONE; NONE also where the left or the right one is null."""
+    return F.least(F.get(pairs["merged"], F.get(pairs["at"], left) + right).bitwiseXOR(F.shiftleft(left, ID_BITS)), F.lit(NONE))
 
 
 def fold_ids(ids: Column, pairs: Column) -> Column:
-    """array<bigint>: ``ids`` of one piece, merged until no pair of neighbours merges.
+    """array<bigint>: ``ids`` of one piece, merged until no pair of neighbours merges."""
+    start = F.transform(ids, lambda x, i: _packed(_merged(pairs, x, F.get(ids, i + 1)), F.shiftleft(i.cast("bigint"), ID_BITS) + x))
+    return F.when(F.size(ids) > 1, F.transform(fold_packed(start, pairs), _own)).otherwise(ids)
 
-    The fold's array holds for each token the id it merges to with the next one, its index and
-    its id, packed in this order, so that the least number is the leftmost pair of least rank
-    and tells where it stands (array_position leaves its loop by an exception, which costs more
-    than all the rest of a step); the tokens after a merge move up by one index.
+
+def _own(x: Column) -> Column:
+    return x.bitwiseAND(NONE - 1)
+
+
+def _packed(rank: Column, rest: Column) -> Column:
+    return F.shiftleft(rank, 2 * ID_BITS) + rest
+
+
+def fold_packed(start: Column, pairs: Column) -> Column:
+    """The same on packed numbers: for each token the id it merges to with the next one, its index and its id.
+
+    Packed in this order, the least number is the leftmost pair of least rank and tells where
+    it stands (array_position leaves its loop by an exception, which costs more than all the
+    rest of a step); the tokens after a merge move up by one index.
     """
-    own = lambda x: x.bitwiseAND(NONE - 1)
-    packed = lambda rank, rest: F.shiftleft(rank, 2 * ID_BITS) + rest
     one = F.lit(1 << ID_BITS)
 
     def step(acc: Column, _: Column) -> Column:
         def merge(low: Column, i: Column) -> Column:
             before, after = F.get(acc, i - 1), F.get(acc, i + 2)
             new = F.shiftright(low, 2 * ID_BITS)
-            turned = packed(_merged(pairs, own(before), new), before.bitwiseAND((1 << 2 * ID_BITS) - 1))
-            here = packed(F.when(after.isNull(), F.lit(NONE)).otherwise(_merged(pairs, new, own(after))), low.bitwiseAND(NONE - 1 << ID_BITS) + new)
+            turned = _packed(_merged(pairs, _own(before), new), before.bitwiseAND((1 << 2 * ID_BITS) - 1))
+            here = _packed(_merged(pairs, new, _own(after)), low.bitwiseAND(NONE - 1 << ID_BITS) + new)
             rest = F.transform(F.slice(acc, i + 3, F.size(acc)), lambda x: x - one)
-            return F.when(i > 0, F.concat(F.slice(acc, F.lit(1), i - 1), F.array(turned, here), rest)).otherwise(F.concat(F.array(here), rest))
+            return F.when(i > 0, F.flatten(F.array(F.slice(acc, F.lit(1), i - 1), F.array(turned, here), rest))).otherwise(F.flatten(F.array(F.array(here), rest)))
 
-        found = lambda low: _let(own(F.shiftright(low, ID_BITS)).cast("int"), lambda i: merge(low, i))
+        found = lambda low: _let(_own(F.shiftright(low, ID_BITS)).cast("int"), lambda i: merge(low, i))
         return _let(F.array_min(acc), lambda low: F.when(low < NONE << 2 * ID_BITS, found(low)).otherwise(acc))
 
-    last = F.size(ids) - 1
-    ranked = F.transform(ids, lambda x, i: packed(F.when(i < last, _merged(pairs, x, F.get(ids, i + 1))).otherwise(F.lit(NONE)), F.shiftleft(i.cast("bigint"), ID_BITS) + x))
-    return F.when(last > 0, F.transform(F.aggregate(F.sequence(F.lit(1), last), ranked, step), own)).otherwise(ids)
+    last = F.size(start) - 1
+    return F.when(F.array_min(start) < NONE << 2 * ID_BITS, F.aggregate(F.sequence(F.lit(1), last), start, step)).otherwise(start)
 
 
 def word_ids(word: Column, pairs: Column) -> Column:
@@ -104,36 +114,52 @@ class Vocabulary:
         self.ranks = ranks
 
     def rank_map(self) -> Column:
-        """Ids of single bytes, and two tables of pairs: a pair stands in one of them, at its key modulo the size."""
-        pairs = {}
+        """Ids of single bytes, and the pairs that merge: ``merged`` has a pair's left id and result at the place ``at`` of the left id plus the right id.
+
+        A token has one such pair, since its bytes merge by themselves as they do between others.
+        """
+        rows: dict[int, dict[int, int]] = {}
         for token, rank in self.ranks.items():
-            for i in range(1, len(token)):
-                left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
-                if left is not None and right is not None:
-                    pairs[(left + 1 << ID_BITS | right) << ID_BITS] = rank
-        size = len(pairs) * 5 // 4 | 1
-        while not (tables := _two_places(pairs, size, size + 2)):
-            size += 1000
+            if (pair := self._last_merge(token)) is not None:
+                rows.setdefault(pair[0], {})[pair[1]] = rank
+        at, merged = _displaced(rows, _count(self.ranks))
         single = [self.ranks.get(bytes([i])) for i in range(256)]
-        told = json.dumps({"bytes": single, "one": tables[0], "two": tables[1]}, separators=(",", ":"))
-        return F.from_json(F.lit(told), "struct<bytes:array<bigint>,one:array<bigint>,two:array<bigint>>")
-
-
-def _two_places(pairs: dict[int, int], *sizes: int) -> list[list[int]] | None:
-    """Each key + value at key % size in one of two tables, empty places 0; None if some find no place."""
-    tables = [[0] * n for n in sizes]
-    mask = NONE - 1
-    for key, value in pairs.items():
-        entry, turn = key | value, 0
-        for _ in range(500):
-            at = (entry & ~mask) % sizes[turn]
-            entry, tables[turn][at] = tables[turn][at], entry
-            if not entry:
+        told = json.dumps({"bytes": single, "at": at, "merged": merged}, separators=(",", ":"))
+        return F.from_json(F.lit(told), "struct<bytes:array<bigint>,at:array<bigint>,merged:array<bigint>>")
+
+    def _last_merge(self, token: bytes) -> tuple[int, int] | None:
+        """The two ids that a token's bytes come down to; None for a single byte, or if they stop before."""
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            low, i = min((self.ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(pairwise(parts)))
+            if low == NONE:
+                return None
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        left, right = (self.ranks.get(x) for x in parts) if len(parts) == 2 else (None, None)
+        return None if left is None or right is None else (left, right)
+
+
+def _displaced(rows: dict[int, dict[int, int]], ids: int) -> tuple[list[int], list[int]]:
+    """Sparse rows laid over each other in one table, the fullest first, each where its entries meet free cells."""
+    empty = NONE << ID_BITS  # no left id is NONE
+    at, merged = [0] * ids, np.full(2 * ids + 512, empty, dtype=np.int64)
+    start, full = 0, 0
+    for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        rights = np.array(list(row))
+        if 2 * len(row) <= full:  # among the rows of half the size, the search starts anew
+            start, full = 0, len(row)
+        full, step = full or len(row), 32 if len(row) < 8 else 256
+        while True:
+            if start + step + ids > len(merged):
+                merged = np.concatenate([merged, np.full(ids, empty, dtype=np.int64)])
+            fits = (merged[start + np.arange(step)[:, None] + rights] == empty).all(axis=1)
+            if fits.any():
                 break
-            turn = 1 - turn
-        else:
-            return None
-    return tables
+            start += step
+        start += int(fits.argmax())
+        at[left] = start
+        merged[start + rights] = [left << ID_BITS | x for x in row.values()]
+    return at, merged[: max(at, default=0) + ids].tolist()
 
 
 def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -170,6 +196,10 @@ class _Pieces:
     def __init__(self, ranks: dict[bytes, int], pattern: str, room: int):
         self.ranks, self.cut, self.room = ranks, regex.compile(pattern), room
         self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
+        self.pair = np.full(1 << 16, NONE, dtype=np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pair[token[0] << 8 | token[1]] = rank
         self.at: dict[str, int | tuple[int, ...]] = {}
         self.next = _count(ranks)
 
@@ -178,9 +208,8 @@ class _Pieces:
         flat, lengths = array("i"), array("i")
         new: list[bytes] = []
         met: list[str] = []
-        for chunk in chunks:
-            told = self.at.get(chunk)
-            if told is None:
+        for chunk, told in zip(chunks, map(self.at.get, chunks), strict=True):
+            if told is None and (told := self.at.get(chunk)) is None:
                 pieces = self.cut.findall(chunk)
                 if pieces == [chunk]:
                     told = self._number(chunk, new, met)
@@ -216,19 +245,25 @@ class _Pieces:
         return told
 
     def start(self, new: list[bytes]) -> pa.ListArray:
-        """What the fold starts from: ids of single bytes, and of long pieces those merged over a heap."""
-        lengths = np.fromiter(map(len, new), dtype=np.int32, count=len(new))
-        ids, a = [], 0
-        for i in [*np.flatnonzero(lengths > FOLD_BYTES).tolist(), len(new)]:
-            ids.append(self.single[np.frombuffer(b"".join(new[a:i]), dtype=np.uint8)])
-            if i < len(new):
-                ids.append(np.array(heap_merges(new[i], self.ranks), dtype=np.int64))
-                lengths[i] = len(ids[-1])
-            a = i + 1
-        flat = np.concatenate(ids)
-        if (flat < 0).any():
-            raise ValueError("a byte of a text is no token")
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+        """What the fold starts from: single bytes, packed with the ids that they merge to; long pieces are merged over a heap before."""
+        lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        packed, a = [], 0
+        for b in [*np.flatnonzero(lengths > FOLD_BYTES).tolist(), len(new)]:
+            data = np.frombuffer(b"".join(new[a:b]), dtype=np.uint8)
+            ends = np.cumsum(lengths[a:b])
+            if (self.single[data] < 0).any():
+                raise ValueError("a byte of a text is no token")
+            rank = np.full(len(data), NONE, dtype=np.int64)
+            rank[:-1] = self.pair[data[:-1].astype(np.int64) << 8 | data[1:]]
+            rank[ends - 1] = NONE
+            index = np.arange(len(data)) - np.repeat(ends - lengths[a:b], lengths[a:b])
+            packed.append(rank << 2 * ID_BITS | index << ID_BITS | self.single[data])
+            if b < len(new):
+                packed.append(NONE << 2 * ID_BITS | np.array(heap_merges(new[b], self.ranks), dtype=np.int64))
+                lengths[b] = len(packed[-1])
+            a = b + 1
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(packed)))
 
 
 def _cut_slices(ranks: dict[bytes, int], pattern: str, slice_bytes: int, kept_bytes: int = KEPT_BYTES):
@@ -259,7 +294,7 @@ def _cut_slices(ranks: dict[bytes, int], pattern: str, slice_bytes: int, kept_by
 def _folded_slices(docs: DataFrame, ranks: dict[bytes, int], pattern: str, slice_bytes: int) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cut = rows.mapInArrow(_cut_slices(ranks, pattern, slice_bytes), "docs array<long>, stops array<long>, pieces binary, new array<array<long>>, kept boolean")
-    folded = _let(Vocabulary(ranks).rank_map(), lambda pairs: F.transform("new", lambda ids: fold_ids(ids, pairs)))
+    folded = _let(Vocabulary(ranks).rank_map(), lambda pairs: F.transform("new", lambda start: fold_packed(start, pairs)))
     return cut.select("docs", "stops", "pieces", folded.alias("new"), "kept")
 
 
@@ -277,7 +312,7 @@ def _put_together(ranks: dict[bytes, int], decoded: bool):
             for i in range(batch.num_rows):
                 docs, stops, new = (batch.column(c).slice(i, 1).flatten() for c in ("docs", "stops", "new"))
                 pieces = np.frombuffer(batch.column("pieces")[i].as_buffer(), dtype=np.int32)
-                all_runs = np.concatenate([runs, new.flatten().to_numpy().astype("<u4")])
+                all_runs = np.concatenate([runs, (new.flatten().to_numpy() & (NONE - 1)).astype("<u4")])
                 all_lengths = np.concatenate([lengths, new.value_lengths().to_numpy().astype(np.int64)])
                 if batch.column("kept")[i].as_py():
                     runs, lengths = all_runs, all_lengths
