@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from arcwright.llm.chunks import cut_texts, gathered, slices
 
 FOLD_BYTES = 256
-SLICE_BYTES = 2_000_000  # of text, whose new pieces stand in one row
+SLICE_BYTES = 1_000_000  # of text, whose new pieces stand in one row
 KEPT_BYTES = 24_000_000  # of the pieces that a task keeps, PIECE_BYTES added for each
 PIECE_BYTES = 100
 ID_BITS = 20  # ids of a vocabulary are below 2 ** ID_BITS
