@@ -6,7 +6,8 @@ import pytest
 from test_graph_queries import graphs_of
 from test_reports import plain_blocks
 
-from arcwright.operators import blocks, connectivity, distance, families, packs
+from arcwright.jobs import graph_queries
+from arcwright.operators import blocks, connectivity, distance, families, flow, packs, pairs
 from arcwright.operators.model import Drawn, Graphs
 
 RNG = random.Random(11)
@@ -67,3 +68,19 @@ def test_raw_rows_are_numbered_alike_packed_and_indexed(spark, monkeypatch, list
     some = Drawn(True, False, True, ends, edges, listed, ["o1"])
     assert packs.rest(some) is not None and packs.rest(some) is not some
     assert rows(connectivity.component_summary(some)) == rows(connectivity.component_summary(whole))
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_searches_of_small_graphs_take_no_rounds_and_agree_with_the_distributed_way(spark, monkeypatch, directed):
+    few = {k: NAMED[k] for k in ("none", "lone", "loop", "apart", "ring", "g0", "g1", "g2", "g3", "g4")} | {"k5": (5, [(i, j) for i in range(5) for j in range(5) if i != j]), "p3": (4, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 0)])}
+    g = graphs_of(spark, few, directed=directed)
+    limited = [(flow.vertex_connectivity, flow._large_vertex, 40), (flow.edge_connectivity, flow._large_edge, 40), (families.hamiltonian, families._large_hamiltonian, 5), (families.traceable, families._large_traceable, 5), (families.maximal_non_hamiltonian, families._large_maximal, 5)]
+    with monkeypatch.context() as m:
+        for module, name in ((flow, "_least"), (families, "spanning_states"), (pairs, "semipath")):
+            m.setattr(module, name, no_rounds)
+        alone = [rows(f(g, most)) for f, _, most in limited]
+        arrows = rows(pairs.semipath_arrows(g))
+    pick = range(len(limited)) if directed else (0, 4)
+    for i in pick:
+        assert alone[i] == rows(limited[i][1](g, limited[i][2])), limited[i][1].__name__
+    assert arrows == rows(pairs.semipath_arrows(g, graph_queries.all_pairs(g)))
